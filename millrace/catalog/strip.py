@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What to drop at the root, in each step, and at every depth of a step.
 ROOT_KEYS = ("render_map", "job_stats")
@@ -14,30 +15,35 @@ STEP_KEYS = ("view",)
 DEEP_KEYS = ("view", "x", "y", "height", "width", "color", "render_map", "detail_map")
 
 
-def _without(node, keys):
-    if isinstance(node, dict):
-        return {k: _without(v, keys) for k, v in node.items() if k not in keys}
-    return [_without(v, keys) for v in node] if isinstance(node, list) else node
+def slim_json():
+    """The function over Arrow batches; all it needs is inside, so executors need no copy of this package."""
+    root_keys, step_keys, deep_keys = set(ROOT_KEYS), set(STEP_KEYS), set(DEEP_KEYS)
 
+    def without(node, keys, deep):
+        if isinstance(node, list):
+            return [without(v, keys, deep) for v in node] if deep else node
+        if not isinstance(node, dict):
+            return node
+        return {k: without(v, keys, deep) if deep else v for k, v in node.items() if k not in keys}
 
-def _slim(text: str | None) -> str | None:
-    try:
-        doc = json.loads(text)
-    except (TypeError, ValueError):
-        return None
-    if not isinstance(doc, dict):
-        return None
-    slim = {k: v for k, v in doc.items() if k not in ROOT_KEYS}
-    if isinstance(slim.get("snaps"), list):
-        slim["snaps"] = [{k: v for k, v in s.items() if k not in STEP_KEYS} for s in slim["snaps"]]
-    if isinstance(slim.get("snap_map"), dict):
-        slim["snap_map"] = {k: _without(s, DEEP_KEYS) for k, s in slim["snap_map"].items()}
-    return json.dumps(slim, ensure_ascii=False, separators=(",", ":"))
+    def slim(text):
+        try:
+            doc = json.loads(text)
+        except (TypeError, ValueError):
+            return None
+        if not isinstance(doc, dict):
+            return None
+        doc = without(doc, root_keys, False)
+        if isinstance(doc.get("snaps"), list):
+            doc["snaps"] = [without(step, step_keys, False) for step in doc["snaps"]]
+        if isinstance(doc.get("snap_map"), dict):
+            doc["snap_map"] = {k: without(step, deep_keys, True) for k, step in doc["snap_map"].items()}
+        return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
 
+    def slim_batch(texts: pd.Series) -> pd.Series:
+        return texts.map(slim)
 
-@F.pandas_udf("string")
-def slim_json(texts: pd.Series) -> pd.Series:
-    return texts.map(_slim)
+    return F.pandas_udf(slim_batch, T.StringType())
 
 
 def strip_layout(files: DataFrame, text: str = "text") -> DataFrame:
@@ -47,35 +53,32 @@ def strip_layout(files: DataFrame, text: str = "text") -> DataFrame:
     is a function over Arrow batches. Analyses need no stripped text: `parse_exports` does not
     read the canvas, and `layout_free_values` filters it.
     """
-    return files.withColumn(text, slim_json(F.col(text)))
+    return files.withColumn(text, slim_json()(F.col(text)))
 
 
 def layout_free_values(named_steps: DataFrame, depth: int = 12, key: str = "path") -> DataFrame:
-    """`key, position, step_id, at, value`: each innermost setting value by its place (`a.b[0].c`).
+    """`key, position, step_id, place, value`: each innermost setting value by its place (`a.b[0].c`).
 
     One generator per level of nesting, no shuffle; settings nested deeper than `depth` are an error.
     """
     tvf = named_steps.sparkSession.tvf
-    rows = named_steps.select(key, "position", "step_id", F.lit("").alias("at"), F.col("settings").alias("value"))
+    own = [key, "position", "step_id"]
+    rows = named_steps.select(*own, F.lit("").alias("_at"), F.col("settings").alias("_node"))
     for _ in range(depth):
-        spread = rows.lateralJoin(tvf.variant_explode_outer(F.col("value").outer()).alias("e"))
+        # A value that is no list or object, or is empty, gives one row without key and value.
+        rows = rows.lateralJoin(tvf.variant_explode_outer(F.col("_node").outer()).alias("e"))
+        rows = rows.filter(F.col("e.key").isNull() | ~F.col("e.key").isin(*DEEP_KEYS))
+        in_list = F.concat("_at", F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))
+        in_object = F.concat_ws(".", F.nullif(F.col("_at"), F.lit("")), "e.key")
         inner = F.col("e.value").isNotNull()
-        place = (
-            F.when(F.col("e.key").isNull(), F.concat(F.col("at"), F.lit("["), F.col("e.pos").cast("string"), F.lit("]")))
-            .when(F.col("at") == "", F.col("e.key"))
-            .otherwise(F.concat(F.col("at"), F.lit("."), F.col("e.key")))
+        rows = rows.select(
+            *own,
+            F.when(inner, F.when(F.col("e.key").isNull(), in_list).otherwise(in_object)).otherwise(F.col("_at")).alias("_at"),
+            F.when(inner, F.col("e.value")).otherwise(F.col("_node")).alias("_node"),
         )
-        kept = spread.filter(F.col("e.key").isNull() | ~F.col("e.key").isin(*DEEP_KEYS))
-        rows = kept.select(
-            key,
-            "position",
-            "step_id",
-            F.when(inner, place).otherwise(F.col("at")).alias("at"),
-            F.when(inner, F.col("e.value")).otherwise(F.col("value")).alias("value"),
-        )
-    kind = F.schema_of_variant("value")
+    kind = F.schema_of_variant("_node")
     too_deep = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | (kind.startswith("ARRAY<") & (kind != "ARRAY<VOID>"))
     text = F.when(too_deep, F.raise_error(F.lit(f"settings nest deeper than {depth} levels"))).otherwise(
-        F.col("value").cast("string")
+        F.col("_node").cast("string")
     )
-    return rows.select(key, "position", "step_id", "at", text.alias("value"))
+    return rows.select(*own, F.col("_at").alias("place"), text.alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.session import cut_lineage
@@ -20,30 +20,33 @@ def step_depth(
 
     Peels the graphs level by level: steps without incoming links are ready, their outgoing links
     are taken away, and steps that thereby lost their last incoming link are ready next. A link is
-    taken away once, and a level is one round of joins over the links that are left, so the rounds
-    number the levels of the deepest graph. Steps on or behind a cycle are never ready: their depth
-    is null. `steps` adds steps that no link names.
+    taken away once. A level is one round over the links that are left, written to the shared
+    folder, so the rounds number the levels of the deepest graph. Steps on or behind a cycle are
+    never ready: their depth is null. `steps` adds steps that no link names.
     """
-    left = links.select(F.col(graph), F.col(src).alias("_src"), F.col(dst).alias("_dst")).distinct()
-    named = left.select(graph, F.col("_src").alias(step))
+    left = links.select(F.col(graph), F.col(src).alias("_src"), F.col(dst).alias("_dst"))
+    seen = left.select(graph, F.inline(F.array(_seen("_src", False), _seen("_dst", True))))
     if steps is not None:
-        named = named.unionByName(steps.select(graph, step))
-    targets = left.select(graph, F.col("_dst").alias(step)).distinct()
-    ready = named.distinct().join(targets, [graph, step], "left_anti")
-
-    levels, depth = [], 0
-    while not ready.isEmpty():
-        ready = cut_lineage(ready)
-        levels.append(ready.withColumn("depth", F.lit(depth)))
-        marks = ready.select(F.col(graph), F.col(step).alias("_src"), F.lit(True).alias("_gone"))
-        marked = cut_lineage(left.join(marks, [graph, "_src"], "left"))
-        gone = marked.filter("_gone").select(graph, F.col("_dst").alias(step)).distinct()
+        seen = seen.unionByName(steps.select(graph, F.col(step).alias("_step"), F.lit(False).alias("_waits")))
+    levels, depth, gone = [], 0, None
+    while gone is None or gone > 0:
+        ready = seen.groupBy(graph, "_step").agg(F.bool_or("_waits").alias("_waits")).filter("not _waits")
+        levels.append(ready.select(graph, F.col("_step").alias(step), F.lit(depth).alias("depth")))
+        marks = ready.select(graph, F.col("_step").alias("_src"), F.lit(True).alias("_gone"))
+        counted = Observation()
+        marked = left.join(marks, [graph, "_src"], "left").observe(counted, F.count("_gone").alias("gone"))
+        marked = cut_lineage(marked, "links")
+        gone = counted.get["gone"]
+        seen = marked.select(graph, F.col("_dst").alias("_step"), F.col("_gone").isNull().alias("_waits"))
         left = marked.filter("_gone is null").drop("_gone")
-        ready = gone.join(left.select(graph, F.col("_dst").alias(step)).distinct(), [graph, step], "left_anti")
         depth += 1
 
-    stuck = left.select(graph, F.col("_dst").alias(step)).union(left.select(graph, F.col("_src").alias(step))).distinct()
+    stuck = left.select(graph, F.explode(F.array("_src", "_dst")).alias(step)).distinct()
     result = stuck.withColumn("depth", F.lit(None).cast("int"))
     for level in levels:
         result = result.unionByName(level)
     return result
+
+
+def _seen(column: str, waits: bool):
+    return F.struct(F.col(column).alias("_step"), F.lit(waits).alias("_waits"))

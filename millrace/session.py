@@ -46,7 +46,9 @@ def new_shared_dir(spark: SparkSession, purpose: str) -> str:
     return shared_dir(spark, "millrace", f"{purpose}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of the executors that made them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
+    """The rows as a table in the shared folder: they survive the loss of the executors that made
+    them, and the plans built on them know their size."""
+    folder = new_shared_dir(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
