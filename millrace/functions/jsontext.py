@@ -11,30 +11,30 @@ from pyspark.sql import functions as F
 LAYOUT_KEYS = ("snaps", "snap_map")
 
 
+def _in_list(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def _in_object(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
+
+
 def is_json(text: Column) -> Column:
     """One whole JSON value with nothing after it.
 
-    The parser stops after the first value, so the text is also parsed inside a list and an object,
-    where a leftover is an error, and the list must have one entry.
+    The parser stops after the first value and does not mind what follows, so the text is parsed as
+    the entry of a list and as the value of an object. A leftover would have to go on with a comma in
+    both, and then be a list entry and a key with its value at once, which no text is.
     """
-    in_list = F.concat(F.lit("["), text, F.lit("]"))
-    in_object = F.concat(F.lit('{"k":'), text, F.lit("}"))
-    whole = (
-        F.try_parse_json(text).isNotNull()
-        & F.try_parse_json(in_list).isNotNull()
-        & F.try_parse_json(in_object).isNotNull()
-        & (F.json_array_length(in_list) == 1)
-    )
-    return F.coalesce(whole, F.lit(False))
+    return F.coalesce(_in_list(text).isNotNull() & _in_object(text).isNotNull(), F.lit(False))
 
 
 def is_json_object(text: Column) -> Column:
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    return is_json(text) & F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    return is_json(text) & F.json_object_keys(text).isNotNull()
 
 
 def is_pipeline_export(text: Column, keys: tuple[str, ...] = LAYOUT_KEYS) -> Column:
-    """A JSON object that has one of the layout keys at its top level."""
-    names = F.json_object_keys(text)
-    has_key = reduce(Column.__or__, [F.array_contains(names, k) for k in keys])
-    return is_json_object(text) & F.coalesce(has_key, F.lit(False))
+    """A JSON object that has one of the layout keys at its top level; a null entry counts as present."""
+    parsed = _in_object(text)
+    has_key = reduce(Column.__or__, [F.try_variant_get(parsed, f"$.k.{k}", "variant").isNotNull() for k in keys])
+    return F.coalesce(has_key & _in_list(text).isNotNull(), F.lit(False))

@@ -24,10 +24,11 @@ def step_depth(
     folder, so the rounds number the levels of the deepest graph. Steps on or behind a cycle are
     never ready: their depth is null. `steps` adds steps that no link names.
     """
-    left = links.select(F.col(graph), F.col(src).alias("_src"), F.col(dst).alias("_dst"))
+    left = cut_lineage(links.select(F.col(graph), F.col(src).alias("_src"), F.col(dst).alias("_dst")), "links")
     seen = left.select(graph, F.inline(F.array(_seen("_src", False), _seen("_dst", True))))
     if steps is not None:
-        seen = seen.unionByName(steps.select(graph, F.col(step).alias("_step"), F.lit(False).alias("_waits")))
+        named = cut_lineage(steps.select(graph, F.col(step).alias("_step")), "steps")
+        seen = seen.unionByName(named.withColumn("_waits", F.lit(False)))
     levels, depth, gone = [], 0, None
     while gone is None or gone > 0:
         ready = seen.groupBy(graph, "_step").agg(F.bool_or("_waits").alias("_waits")).filter("not _waits")

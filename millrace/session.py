@@ -52,3 +52,10 @@ def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
     folder = new_shared_dir(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan of few, small files before heavy work per row. A scan that has a task for
+    every core already, as any large table does, stays as it is and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -36,16 +36,14 @@ def archive_write(
     """
     spark = df.sparkSession
     month = (month_stamp(at) if stamp is None else stamp).alias(MONTH)
-    fresh = latest_versions(df.select("*", month), name, modified)
+    arrived = df.select("*", month, F.lit(1).alias("_run"))
     existing = _existing(df, folder)
     if existing is not None:
-        fresh = fresh.unionByName(
-            existing.join(fresh.select(MONTH).distinct(), MONTH, "left_semi").join(
-                fresh.select(MONTH, name), [MONTH, name], "left_anti"
-            ).select(*fresh.columns)
-        )
+        touched = existing.join(arrived.select(MONTH).distinct(), MONTH, "left_semi")
+        arrived = arrived.unionByName(touched.withColumn("_run", F.lit(0)))
+    kept = latest_versions(arrived, name, ["_run", *modified]).drop("_run")
     (
-        fresh.hint("rebalance", MONTH)
+        kept.hint("rebalance", MONTH)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH)

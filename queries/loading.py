@@ -8,7 +8,7 @@ from millrace.operators.sets import union
 from millrace.plans.staging_load import load_staging, staged_from_files, staged_from_lines
 from millrace.session import new_shared_dir
 from millrace.sources.delimited import CORRUPT, decode_bytes, parse_delimited, parse_text, with_parsed_line
-from queries.registry import query, table
+from queries.registry import query, spread_table, table
 
 
 def order_lines(spark, sf):
@@ -112,7 +112,7 @@ WHERE trim(u.line) <> ''
 )
 def parse_text_lines(spark, sf):
     """Every line of every document as a record with its number."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     good, _ = split_errors(parse_text(docs, "text", ("record",)))
     return good.select("doc_id", "line_no", "record")
 

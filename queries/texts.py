@@ -8,7 +8,7 @@ from millrace.operators.aggregates import assemble
 from millrace.operators.joins import classify_by_substring
 from millrace.operators.sets import union_positional
 from millrace.sinks.writers import csv_format
-from queries.registry import query, table
+from queries.registry import query, spread_table, table
 
 
 @query(
@@ -97,7 +97,7 @@ def redact_secrets(spark, sf):
     kind = F.when(case == 0, "email").when(case == 1, "smb").otherwise("ftp")
     line = F.when(case == 0, email).when(case == 1, smb).otherwise(ftp)
     code = F.concat(line, F.lit("\n"), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", redacted_by_kind(code, kind).alias("code"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", redacted_by_kind(code, kind).alias("code"))
 
 
 @query(
@@ -135,7 +135,7 @@ def split_cells(spark, sf):
         F.lit(f"{marker}\r\n"), F.lit('source = "'), F.col("source"), F.lit(f'"\n{marker}\n\n'),
     )
     cells = F.posexplode(text.cells(script)).alias("cell_no", "cell")
-    return table(spark, sf, "documents").select("doc_id", cells).withColumn("cell_no", F.col("cell_no") + 1)
+    return spread_table(spark, sf, "documents", "doc_id", "text", "lang", "source").select("doc_id", cells).withColumn("cell_no", F.col("cell_no") + 1)
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS page FROM conversations GROUP BY conv_id")
@@ -147,7 +147,7 @@ def assemble_turns(spark, sf):
 @query("SELECT doc_id, rtrim(text, chr(10)) AS text FROM documents")
 def lines_and_back(spark, sf):
     """Every text cut into lines and put together again."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "text"))
+    lines = spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "text"))
     return assemble(lines, ["doc_id"], "n", "text")
 
 
@@ -170,7 +170,7 @@ FROM documents
 """
 )
 def html_lines(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.html_lines(F.col("text")).alias("escaped"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.html_lines(F.col("text")).alias("escaped"))
 
 
 @query(
