@@ -6,6 +6,8 @@ Each operator works inside one document's row, so none of them shuffles, except
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +20,37 @@ STEP_TYPE = (
     "instance_id: string, instance_version: int, property_map: variant, settings: variant, class_build_tag: string>"
 )
 LINK_TYPE = "struct<src_id: string, src_view_id: string, dst_id: string, dst_view_id: string, isGoto: boolean>"
-EXPORT_TYPE = (
-    "struct<class_fqid: string, snode_id: string, instance_id: string, instance_version: int, "
-    f"link_map: map<string, {LINK_TYPE}>, link_serial: int, property_map: variant, info: variant, "
-    f"snaps: array<{STEP_TYPE}>, snap_map: map<string, {STEP_TYPE}>, path_id: string, path_snode: string>"
-)
+EXPORT_FIELDS = {
+    "class_fqid": "string",
+    "snode_id": "string",
+    "instance_id": "string",
+    "instance_version": "int",
+    "link_map": f"map<string, {LINK_TYPE}>",
+    "link_serial": "int",
+    "property_map": "variant",
+    "info": "variant",
+    "snaps": f"array<{STEP_TYPE}>",
+    "snap_map": f"map<string, {STEP_TYPE}>",
+    "path_id": "string",
+    "path_snode": "string",
+}
 UNKNOWN_STEP = "Unknown"
 UNLABELLED_STEP = "Snap"
 
 
-def parse_exports(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """`key, doc`: the export as a nested record without its canvas data. Other fields are not read."""
-    return files.select(F.col(key), F.from_json(F.col(text), EXPORT_TYPE).alias("doc"))
+STEP_FIELDS = ("snaps", "snap_map")
+LINK_FIELDS = ("link_map",)
+PARAMETER_FIELDS = ("property_map",)
+NAME_FIELDS = ("property_map", "info")
+
+
+def parse_exports(files: DataFrame, key: str = "path", text: str = "text", fields: Sequence[str] = ()) -> DataFrame:
+    """`key, doc`: the export as a nested record, without its canvas data.
+
+    Only the given top-level fields are parsed (all by default); the parser skips the others.
+    """
+    kinds = ", ".join(f"{f}: {EXPORT_FIELDS[f]}" for f in fields or EXPORT_FIELDS)
+    return files.select(F.col(key), F.from_json(F.col(text), f"struct<{kinds}>").alias("doc"))
 
 
 def steps(docs: DataFrame, key: str = "path") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.paths import extension, numbered_name, stem
+from millrace.session import cut_lineage
 
 ROWS_PER_CHUNK = 5_000_000
 
@@ -79,9 +80,14 @@ def cut_hot_keys(
         cells = [*keys, *levels]
         places = [_as_number(df.schema[o].dataType, F.col(f"`{o}`")) for o in order]
         varied = [F.min(p) < F.max(p) for p in places]
-        axis = F.coalesce(*[F.when(v, F.lit(i)) for i, v in enumerate(varied)])
-        low = F.coalesce(*[F.when(v, F.min(p)) for v, p in zip(varied, places)])
-        high = F.coalesce(*[F.when(v, F.max(p)) for v, p in zip(varied, places)])
+        # A later column may cut only where the values before it (not just their numbers) are all equal.
+        axis = F.lit(None)
+        for i, o in reversed(list(enumerate(order))):
+            present = F.count(F.col(o))
+            equal = ((present == F.count(F.lit(1))) & (F.min(o) == F.max(o))) | (present == 0)
+            axis = F.when(varied[i], F.lit(i)).when(equal, axis)
+        low = F.get(F.array(*[F.min(p) for p in places]), axis)
+        high = F.get(F.array(*[F.max(p) for p in places]), axis)
         sizes = (
             df.groupBy(*cells)
             .agg(F.count(F.lit(1)).alias("_n"), axis.alias("_axis"), low.alias("_low"), high.alias("_high"))
@@ -130,7 +136,7 @@ def _join_small(df: DataFrame, per_chunk: DataFrame, names: Sequence[str]) -> Da
     input by the very keys that are to be cut.
     """
     renamed = per_chunk.withColumnsRenamed({n: f"_r{n}" for n in names})
-    condition = reduce(Column.__and__, [df[n].eqNullSafe(renamed[f"_r{n}"]) for n in names])
+    condition = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_r{n}")) for n in names])
     return df.join(F.broadcast(renamed), condition, "left").drop(*[f"_r{n}" for n in names])
 
 
@@ -145,50 +151,43 @@ def unique_names(
     """Later files of a name, in order of arrival, get `_1`, `_2`, ... before the extension.
 
     `taken` holds names (in a column called as `name`) that exist already. A name of the batch or
-    an existing one is never given out as a numbered name: those numbers are passed over.
+    an existing one is never given out as a numbered name: those numbers are passed over. Whether
+    there are any is looked up at once; if so, the numbered rows are written to the shared folder.
     """
-    numbered = running(df, [name], order, row_number="_nth", rows_per_chunk=rows_per_chunk)
+    wished = running(df, [name], order, row_number="_wish", rows_per_chunk=rows_per_chunk)
+    # The first file of a free name needs no number; for an existing name even the first does.
     if taken is None:
-        occupied, existing = df.select(name).distinct(), None
+        wished = wished.withColumn("_wish", F.col("_wish") - 1)
     else:
-        existing = taken.select(name).distinct()
-        occupied = df.select(name).union(existing).distinct()
-
-    # A file's wish is its number in the line of those that need a number: 0 for a free name.
-    if existing is None:
-        wished = numbered.withColumn("_wish", F.col("_nth") - 1)
-    else:
-        marked = numbered.join(existing.withColumn("_exists", F.lit(True)), name, "left")
-        wished = marked.withColumn("_wish", F.col("_nth") - F.when(F.col("_exists"), 0).otherwise(1)).drop("_exists")
-
-    # Occupied `base_k.ext` of a base in this batch: the i-th of them (from 0) pushes wish w on by one
-    # when k - i <= w. So sort wishes and these thresholds together and count the thresholds passed.
-    number = F.regexp_extract(stem(F.col(name)), r"(?s)_([1-9][0-9]{0,17})\z", 1)
-    base = F.concat(
-        F.regexp_replace(stem(F.col(name)), r"_[1-9][0-9]{0,17}\z", ""), extension(F.col(name))
-    )
-    numbers = (
-        occupied.select(base.alias(f"{name}"), number.alias("_text"))
-        .filter(F.col("_text") != "")
-        .select(name, F.col("_text").cast("bigint").alias("_number"))
-    )
-    blocked = numbers.join(df.select(name).distinct(), name, "left_semi")
-    ranked = running(blocked, [name], ["_number"], row_number="_i", rows_per_chunk=rows_per_chunk)
-    thresholds = ranked.select(
-        name, (F.col("_number") - F.col("_i") + 1).alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_one")
-    )
-    # Only names that have thresholds take part in the second numbering.
-    touched = thresholds.select(name).distinct()
-    plain = wished.join(touched, name, "left_anti").withColumn("_shift", F.lit(0).cast("bigint"))
-    pushed = wished.join(touched, name, "left_semi")
-    both = pushed.withColumns({"_at": F.col("_wish"), "_kind": F.lit(1)}).unionByName(
-        thresholds, allowMissingColumns=True
-    )
-    shifted = running(
-        both, [name], ["_at", "_kind"], count_before={"_shift": "_one"}, rows_per_chunk=rows_per_chunk
-    ).filter("_kind = 1")
-    all_rows = plain.select(*df.columns, "_wish", "_shift").unionByName(shifted.select(*df.columns, "_wish", "_shift"))
-    return all_rows.withColumn(column, numbered_name(F.col(name), F.col("_wish") + F.col("_shift"))).drop("_wish", "_shift")
+        existing = taken.select(name).distinct().withColumn("_exists", F.lit(True))
+        wish = F.col("_wish") - F.when(F.col("_exists"), 0).otherwise(1)
+        wished = wished.join(existing, name, "left").withColumn("_wish", wish).drop("_exists")
+    blocked = _blocked_numbers(df.select(name), taken, name)
+    shift = F.lit(0)
+    if not blocked.isEmpty():
+        # The i-th blocked number k (from 1) pushes wish w on by one when k - i < w. So the wishes
+        # are put in one line with these thresholds, and each counts the thresholds before it.
+        ranked = running(cut_lineage(blocked), [name], ["_number"], row_number="_i", rows_per_chunk=rows_per_chunk)
+        thresholds = ranked.select(name, (F.col("_number") - F.col("_i") + 1).alias("_at"), F.lit(1).alias("_blocked"))
+        line = cut_lineage(wished).withColumn("_at", F.col("_wish")).unionByName(thresholds, allowMissingColumns=True)
+        line = line.withColumn("_last", F.col("_wish").isNotNull().cast("int"))
+        wished = running(
+            line, [name], ["_at", "_last"], count_before={"_shift": "_blocked"}, rows_per_chunk=rows_per_chunk
+        ).filter("_last = 1")
+        shift = F.when(F.col("_wish") > 0, F.col("_shift")).otherwise(0)
+    return wished.select(*df.columns, numbered_name(F.col(name), F.col("_wish") + shift).alias(column))
+
+
+def _blocked_numbers(names: DataFrame, taken: DataFrame | None, name: str) -> DataFrame:
+    """`name, _number`: where `base_7.ext` occurs or exists, the number 7 is blocked for `base.ext`,
+    if that occurs."""
+    distinct = names.distinct()
+    occupied = distinct if taken is None else distinct.union(taken.select(name)).distinct()
+    body = stem(F.col(name))
+    number = F.regexp_extract(body, r"(?s)_([1-9][0-9]{0,17})\z", 1)
+    base = F.concat(F.regexp_replace(body, r"_[1-9][0-9]{0,17}\z", ""), extension(F.col(name)))
+    numbered = occupied.filter(number != "").select(base.alias(name), number.cast("bigint").alias("_number"))
+    return numbered.join(distinct, name, "left_semi")
 
 
 def sort_ascending(df: DataFrame, *columns: str) -> DataFrame:

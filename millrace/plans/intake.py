@@ -33,13 +33,16 @@ def files_with_text(files: DataFrame) -> DataFrame:
 
 def catalog(files: DataFrame, key: str = "path", text: str = "text") -> Catalog:
     valid, junk = triage(files, text)
-    docs = exports.parse_exports(valid, key, text)
-    steps = exports.minimised_steps(docs, key)
+
+    def docs(fields):
+        return exports.parse_exports(valid, key, text, fields)
+
+    steps = exports.minimised_steps(docs(exports.STEP_FIELDS), key)
     return Catalog(
-        pipelines=exports.pipeline_name(docs, key),
+        pipelines=exports.pipeline_name(docs(exports.NAME_FIELDS), key),
         steps=classify_by_substring(steps, "name", "class_id"),
-        links=exports.links(docs, key),
-        parameters=exports.parameters(docs, key),
+        links=exports.links(docs(exports.LINK_FIELDS), key),
+        parameters=exports.parameters(docs(exports.PARAMETER_FIELDS), key),
         settings=exports.settings_long(steps, key),
         junk=junk,
     )

@@ -57,3 +57,8 @@ def intake_to(target: str) -> Callable[[DataFrame, int], None]:
         )
 
     return write
+
+
+def read_intake(spark: SparkSession, target: str) -> DataFrame:
+    """What the runs so far have put there."""
+    return spark.read.parquet(target).withColumn("is_export", F.col("is_export").cast("boolean"))

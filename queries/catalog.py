@@ -56,8 +56,8 @@ def export_files(spark, sf):
     return spread_table(spark, sf, "part").select(path.alias("path"), body.alias("text"))
 
 
-def docs_of(spark, sf):
-    return exports.parse_exports(export_files(spark, sf))
+def docs_of(spark, sf, fields):
+    return exports.parse_exports(export_files(spark, sf), fields=fields)
 
 
 STEPS_SQL = """
@@ -85,12 +85,12 @@ WHERE p_partkey % 2 = 0
 
 @query(NAMES_SQL)
 def catalog_steps(spark, sf):
-    return exports.minimised_steps(docs_of(spark, sf)).drop("settings")
+    return exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS)).drop("settings")
 
 
 @query(LINKS_SQL)
 def catalog_links(spark, sf):
-    return exports.links(docs_of(spark, sf))
+    return exports.links(docs_of(spark, sf, exports.LINK_FIELDS))
 
 
 @query(
@@ -102,7 +102,7 @@ FROM part, (VALUES (0, 'Brand'), (1, 'Size')) AS v(position, name) WHERE p_partk
 """
 )
 def catalog_params(spark, sf):
-    return exports.parameters(docs_of(spark, sf))
+    return exports.parameters(docs_of(spark, sf, exports.PARAMETER_FIELDS))
 
 
 @query(
@@ -116,7 +116,7 @@ FROM ({STEPS_SQL}) s JOIN (VALUES ('c', 'passThrough', false, 'false'),
 """
 )
 def catalog_settings(spark, sf):
-    return exports.settings_long(exports.minimised_steps(docs_of(spark, sf)))
+    return exports.settings_long(exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS)))
 
 
 @query(
@@ -131,7 +131,7 @@ FROM ({STEPS_SQL}) s JOIN (VALUES ('c', 'passThrough.value', 'false'), ('c', 'ta
 )
 def catalog_inner_values(spark, sf):
     """Innermost settings without canvas keys; a step left without any has no row here."""
-    values = strip.layout_free_values(exports.minimised_steps(docs_of(spark, sf)), depth=6)
+    values = strip.layout_free_values(exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS)), depth=6)
     return values.filter("place <> ''")
 
 
@@ -143,7 +143,7 @@ FROM part
 """
 )
 def catalog_pipeline_names(spark, sf):
-    return exports.pipeline_name(docs_of(spark, sf))
+    return exports.pipeline_name(docs_of(spark, sf, exports.NAME_FIELDS))
 
 
 @query("SELECT 'in/part_' || p_partkey || '_sanitized.json' AS path, 'part_' || p_partkey AS pipeline FROM part WHERE p_partkey % 2 = 0")
@@ -197,8 +197,8 @@ FROM l LEFT JOIN n a ON a.path = l.path AND a.step_id = l.src_id LEFT JOIN n b O
 """
 )
 def catalog_edges(spark, sf):
-    docs = docs_of(spark, sf)
-    return exports.edges_with_steps(exports.links(docs), exports.minimised_steps(docs))
+    links = exports.links(docs_of(spark, sf, exports.LINK_FIELDS))
+    return exports.edges_with_steps(links, exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS)))
 
 
 @query(

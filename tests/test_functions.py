@@ -1,0 +1,178 @@
+import html
+import json
+import os.path
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions import choice, dates, paths, text
+from millrace.functions.jsontext import is_json, is_json_object, is_pipeline_export
+from millrace.functions.redaction import redacted
+
+MARK = text.CELL_MARKER
+
+
+def apply(spark, values, make):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[0] for r in rows.orderBy("i").select(make(F.col("v"))).collect()]
+
+
+def test_redacts_mail_code(spark):
+    code = 'flow.send(server="mail.example.org", port=587, user="someone@example.org", password="hidden")'
+    (out,) = apply(spark, [code], lambda v: redacted(v, "email"))
+    assert out == (
+        'flow.send(server=dbutils.widgets.get("Email_Server"), port=dbutils.widgets.get("Email_Port"), '
+        'user=dbutils.secrets.get(scope="enterprise", key="email_user"), '
+        'password=dbutils.secrets.get(scope="enterprise", key="email_password"))'
+    )
+
+
+def test_redacts_share_code(spark):
+    code = "client.connect(host='files.example.org', Share=\"in\", port = \"445\", user=\"a\", PASSWORD= \"b\")"
+    (out,) = apply(spark, [code], lambda v: redacted(v, "smb"))
+    assert out == (
+        'client.connect(host=dbutils.widgets.get("SMB_Host"), Share=dbutils.widgets.get("SMB_Share"), '
+        'port = dbutils.widgets.get("SMB_Port"), user=dbutils.secrets.get(scope="enterprise", key="smb_user"), '
+        'PASSWORD= dbutils.secrets.get(scope="enterprise", key="smb_password"))'
+    )
+
+
+def test_redaction_leaves_what_it_does_not_know(spark):
+    kept = ['host="a" port=1', "password='single'", 'password=""', 'server="a\'', "port=\"12'"]
+    assert apply(spark, kept, lambda v: redacted(v, "email"))[1:4] == kept[1:4]
+    assert apply(spark, kept, lambda v: redacted(v, "other")) == kept
+    (option,) = apply(spark, ['x.Option( "user" , "me" )'], lambda v: redacted(v, "ftp"))
+    assert option == 'x.Option( "user" , dbutils.secrets.get(scope="enterprise", key="ftp_user") )'
+
+
+FENCE = "`" * 3
+
+
+@pytest.mark.parametrize(
+    "reply, code",
+    [
+        (f"Sure:\n{FENCE}python\nx = 1\n{FENCE}\nbye", "x = 1"),
+        ("  x = 2 \n", "x = 2"),
+        (f"{FENCE}\nx = 3\n{FENCE}", "\nx = 3\n"),
+        (f"{FENCE}pythona{FENCE} {FENCE}python b {FENCE}", "a"),
+        (f"{FENCE}python open", "python open"),
+        ("", ""),
+    ],
+)
+def test_fenced_code(spark, reply, code):
+    assert apply(spark, [reply], lambda v: text.fenced_code(v)) == [code]
+
+
+SCRIPTS = [
+    f"\nimport x\n{MARK}\nprint(1)\n{MARK}\ny = []\n",
+    f"{MARK}\n{MARK}\n \n  a\n\n b \n \n{MARK}",
+    f"a {MARK}\n  {MARK}\t\nb\r\nc\x0cd",
+    f"a\r\n{MARK}\r\nb",
+    f"# {MARK}\n{MARK}x",
+    "\n\n",
+    "",
+    f"  \n\t{MARK}\n    deep\n        deeper  \n\n\n",
+    " \nx y\n　",
+]
+
+
+def cells_by_hand(script):
+    found, cell = [], []
+    for line in [*script.splitlines(), MARK]:
+        if line.strip() != MARK:
+            cell.append(line)
+            continue
+        filled = [i for i, kept in enumerate(cell) if kept.strip()]
+        if filled:
+            found.append("\n".join(cell[filled[0] : filled[-1] + 1]))
+        cell = []
+    return found
+
+
+def test_cells(spark):
+    assert apply(spark, SCRIPTS, lambda v: text.cells(v)) == [cells_by_hand(s) for s in SCRIPTS]
+
+
+def test_many_blank_lines(spark):
+    script = "\n" * 50_000 + "a" + " \n" * 50_000 + MARK + "\n" * 50_000
+    assert apply(spark, [script], lambda v: text.cells(v)) == [["a"]] or apply(
+        spark, [script], lambda v: text.cells(v)
+    ) == [["a "]]
+
+
+def test_lines(spark):
+    samples = ["", "a", "a\n", "a\n\n", "\n", "a\r\nb\rc\x0bd\x1ce f", "\r\n\r\n"]
+    assert apply(spark, samples, lambda v: text.lines(v)) == [s.splitlines() for s in samples]
+
+
+def test_names(spark):
+    samples = [" Insert to Rows", "a-b__c", "Größe 1", ""]
+    assert apply(spark, samples, text.clean_step_name) == [re.sub("[^a-zA-Z0-9_]", "_", s) for s in samples]
+    assert apply(spark, samples, text.clean_pipeline_name) == [
+        re.sub("_+", "_", re.sub("[^a-zA-Z0-9_-]", "_", s)) for s in samples
+    ]
+
+
+def test_paths(spark):
+    samples = ["/a/b.json", "b.tar.gz", ".hidden", "..x.y", "dir.d/none", "a.", "x/.a.b", "...", "s.", "", "a\nb.c"]
+    assert apply(spark, samples, paths.base_name) == [os.path.basename(s) for s in samples]
+    assert apply(spark, samples, paths.extension) == [os.path.splitext(os.path.basename(s))[1] for s in samples]
+    assert apply(spark, samples, paths.stem) == [os.path.splitext(os.path.basename(s))[0] for s in samples]
+    assert apply(spark, ["x_sanitized", "_sanitized", "x"], paths.without_suffix) == ["x", "", "x"]
+
+
+def test_html(spark):
+    samples = ["a<b & 'c' \"d\"\n&amp;", "", "\n"]
+    assert apply(spark, samples, text.html_escaped) == [html.escape(s) for s in samples]
+    assert apply(spark, samples, text.html_lines) == [html.escape(s).replace("\n", "<br>") for s in samples]
+
+
+def test_literal_parts(spark):
+    assert apply(spark, ["a.b|c", "x"], lambda v: text.part_at(v, ".", 1)) == ["b|c", None]
+    assert apply(spark, ["a^b^c", None], lambda v: text.part_at(v, "^", 2)) == ["c", None]
+    assert apply(spark, [r"a\b\\c"], lambda v: text.parts(v, "\\")) == [["a", "b", "", "c"]]
+    assert apply(spark, ["x.y.z"], lambda v: text.replaced(v, ".", "")) == ["xyz"]
+
+
+JSON_SAMPLES = [
+    '{"snaps":[]}', '{"snap_map":{}}', ' {"snaps":null}\n', '{"other":1}', "[]", '[{"snaps":1}]', "1", '"snaps"', "null",
+    "true", "", " ", "{", '{"snaps":[]', '{"snaps":[]} x', '{"snaps":[]}{"snaps":[]}', "{'snaps':1}", '{"snaps":1,"snaps":2}',
+    '{"snaps":1},"k":{}', '{"snaps":1}]', '{"snaps":1}}', '"a":1', '1,2', '{"x":{"snaps":1}}', '{"snaps":1,}', '{snaps:1}',
+    '{"snaps":01}', '{"snaps":"a\tb"}', '"a", "b":1', '{"snaps":1} ] [', '{"a":1}, {"snaps":1}', "{} , 1", '1e999', "// c\n1", "nope",
+]
+
+
+def parsed(sample):
+    try:
+        return True, json.loads(sample)
+    except ValueError:
+        return False, None
+
+
+def test_json_tests_agree_with_a_json_parser(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    expected = [parsed(s) for s in JSON_SAMPLES]
+    assert list(zip(JSON_SAMPLES, apply(spark, JSON_SAMPLES, is_json))) == [
+        (s, ok) for s, (ok, _) in zip(JSON_SAMPLES, expected)
+    ]
+    assert apply(spark, JSON_SAMPLES, is_json_object) == [isinstance(v, dict) for _, v in expected]
+    assert apply(spark, JSON_SAMPLES, is_pipeline_export) == [
+        isinstance(v, dict) and ("snaps" in v or "snap_map" in v) for _, v in expected
+    ]
+
+
+def test_stamps_have_a_fixed_zone(spark):
+    at = F.lit("2024-07-15 18:05:09").cast("timestamp")
+    row = spark.range(1).select(dates.month_stamp(at), dates.message_stamp(at)).first()
+    assert tuple(row) == ("202407", "2024-07-15 01:05:09 PM")
+
+
+def test_defaults(spark):
+    rows = spark.createDataFrame([("", "b"), (None, ""), ("a", None)], "x string, y string")
+    x, y = F.col("x"), F.col("y")
+    assert [r[0] for r in rows.select(choice.value_or("-", x, y)).collect()] == ["", "", "a"]
+    assert [r[0] for r in rows.select(choice.value_or("-", x, y, empty_is_missing=True)).collect()] == ["b", "-", "a"]
+    assert [r[0] for r in rows.select(choice.in_list(x, ["a"])).collect()] == [False, False, True]
+    assert [r[0] for r in rows.select(text.joined("<", x, 1, ">", null_as="")).collect()] == ["<1>", "<1>", "<a1>"]
+    assert [r[0] for r in rows.select(text.joined("<", x, 1, ">")).collect()] == ["<1>", None, "<a1>"]
