@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,22 +9,23 @@ from pyspark.sql import functions as F
 LAYOUT_KEYS = ("snaps", "snap_map")
 
 
-def _in_list(text: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+def _as_object_value(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
 
 
-def _in_object(text: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
+def _is_one_list_entry(text: Column) -> Column:
+    return F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
 
 
 def is_json(text: Column) -> Column:
     """One whole JSON value with nothing after it.
 
-    The parser stops after the first value and does not mind what follows, so the text is parsed as
-    the entry of a list and as the value of an object. A leftover would have to go on with a comma in
-    both, and then be a list entry and a key with its value at once, which no text is.
+    The parsers stop after the first value and do not mind what follows, so the text is read as the
+    value of an object (the strict parser) and as the entry of a list (a quick count). A leftover
+    would have to go on with a comma in both, and then be a list entry and a key with its value at
+    once, which no text is.
     """
-    return F.coalesce(_in_list(text).isNotNull() & _in_object(text).isNotNull(), F.lit(False))
+    return F.coalesce(_as_object_value(text).isNotNull() & _is_one_list_entry(text), F.lit(False))
 
 
 def is_json_object(text: Column) -> Column:
@@ -35,6 +34,6 @@ def is_json_object(text: Column) -> Column:
 
 def is_pipeline_export(text: Column, keys: tuple[str, ...] = LAYOUT_KEYS) -> Column:
     """A JSON object that has one of the layout keys at its top level; a null entry counts as present."""
-    parsed = _in_object(text)
-    has_key = reduce(Column.__or__, [F.try_variant_get(parsed, f"$.k.{k}", "variant").isNotNull() for k in keys])
-    return F.coalesce(has_key & _in_list(text).isNotNull(), F.lit(False))
+    entries = F.try_variant_get(_as_object_value(text), "$.k", "map<string, variant>")
+    has_key = F.arrays_overlap(F.map_keys(entries), F.array(*[F.lit(k) for k in keys]))
+    return F.coalesce(_is_one_list_entry(text) & has_key, F.lit(False))

@@ -12,7 +12,8 @@ from millrace.functions.paths import WORKING_PREFIX, base_name
 from millrace.operators.graph import step_depth
 from millrace.operators.joins import classify_by_substring
 from millrace.operators.ordering import unique_names
-from millrace.operators.routing import triage
+from millrace.operators.routing import with_export_flag
+from millrace.session import cut_lineage
 from millrace.sources.delimited import decode_bytes
 
 
@@ -32,7 +33,10 @@ def files_with_text(files: DataFrame) -> DataFrame:
 
 
 def catalog(files: DataFrame, key: str = "path", text: str = "text") -> Catalog:
-    valid, junk = triage(files, text)
+    """All tables from one reading of the files: the triaged texts are written to the shared folder,
+    parted into exports and junk, and each table parses the fields it needs."""
+    flagged = cut_lineage(with_export_flag(files.select(key, text), text, "_ok"), "triaged")
+    valid, junk = flagged.filter("_ok").drop("_ok"), flagged.filter("not _ok").drop("_ok")
 
     def docs(fields):
         return exports.parse_exports(valid, key, text, fields)
@@ -50,8 +54,8 @@ def catalog(files: DataFrame, key: str = "path", text: str = "text") -> Catalog:
 
 def steps_in_order(found: Catalog, key: str = "path") -> DataFrame:
     """Steps with their level in the graph: the order in which data flows, not the order in the file."""
-    depth = step_depth(found.links, graph=key, steps=found.steps)
-    return found.steps.join(depth, [key, "step_id"], "left")
+    steps = cut_lineage(found.steps, "steps")
+    return steps.join(step_depth(found.links, graph=key, steps=steps), [key, "step_id"], "left")
 
 
 def quarantine_names(junk: DataFrame, order: list[str], taken: DataFrame | None = None, key: str = "path") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -27,7 +28,13 @@ def query_view(df: DataFrame, view: str, sql: str, args: Mapping | None = None)
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A short inline table, as constants of the plan: its size is known, and no task has to make it."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    records = [
+        F.struct(*[F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*records)))
 
 
 def jdbc_query(
