@@ -162,13 +162,15 @@ def unique_names(
         existing = taken.select(name).distinct().withColumn("_exists", F.lit(True))
         wish = F.col("_wish") - F.when(F.col("_exists"), 0).otherwise(1)
         wished = wished.join(existing, name, "left").withColumn("_wish", wish).drop("_exists")
-    blocked = _blocked_numbers(df.select(name), taken, name)
+    blocked = cut_lineage(_blocked_numbers(df.select(name), taken, name))
     shift = F.lit(0)
     if not blocked.isEmpty():
         # The i-th blocked number k (from 1) pushes wish w on by one when k - i < w. So the wishes
         # are put in one line with these thresholds, and each counts the thresholds before it.
-        ranked = running(cut_lineage(blocked), [name], ["_number"], row_number="_i", rows_per_chunk=rows_per_chunk)
-        thresholds = ranked.select(name, (F.col("_number") - F.col("_i") + 1).alias("_at"), F.lit(1).alias("_blocked"))
+        ranked = running(blocked, [name], ["_number"], row_number="_i", rows_per_chunk=rows_per_chunk)
+        thresholds = cut_lineage(
+            ranked.select(name, (F.col("_number") - F.col("_i") + 1).alias("_at"), F.lit(1).alias("_blocked"))
+        )
         line = cut_lineage(wished).withColumn("_at", F.col("_wish")).unionByName(thresholds, allowMissingColumns=True)
         line = line.withColumn("_last", F.col("_wish").isNotNull().cast("int"))
         wished = running(

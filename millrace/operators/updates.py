@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def mark_matched(df: DataFrame, keys: DataFrame, on: Sequence[str], column: str) -> DataFrame:
+    """All rows, with a column that tells whether the key is in `keys`."""
+    marks = keys.select(*on).dropDuplicates().withColumn(column, F.lit(True))
+    return df.join(marks, list(on), "left").select(*df.columns, F.coalesce(column, F.lit(False)).alias(column))
+
+
 def update_matched(df: DataFrame, keys: DataFrame, on: Sequence[str], changes: dict[str, Column]) -> DataFrame:
     """The table with new values in the rows whose key is in `keys`; all other rows stay as they are."""
-    marks = keys.select(*on).dropDuplicates().withColumn("_hit", F.lit(True))
-    joined = df.join(marks, list(on), "left")
+    marked = mark_matched(df, keys, on, "_hit")
     changed = {c: F.when(F.col("_hit"), value).otherwise(F.col(c)) for c, value in changes.items() if c in df.columns}
     added = {c: F.when(F.col("_hit"), value) for c, value in changes.items() if c not in df.columns}
-    return joined.withColumns({**changed, **added}).select(*df.columns, *added)
+    return marked.withColumns({**changed, **added}).select(*df.columns, *added)
 
 
 def move_matched(queue: DataFrame, done: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import lookup
-from millrace.operators.routing import route
-from millrace.operators.sets import union
+from millrace.operators.routing import with_route
 from millrace.sinks.archive import archive_write
-from millrace.sinks.outbox import Notice, Run, notification_rows
-from millrace.sinks.writers import named_step
+from millrace.sinks.outbox import Notice, Run, routed_notifications
+from millrace.sinks.writers import named_step, with_retries
 
 # Output names of the router.
 SUCCESS, WARNING = "output0", "output1"
@@ -34,13 +33,8 @@ def notices(facts: dict[str, Column]) -> dict[str, Notice]:
 def messages(counted: DataFrame, texts: dict[str, Notice], run: Run) -> DataFrame:
     """Documents with requests give success messages, those without give warnings; a null count gives none."""
     count = F.col("RequestCount")
-    routed = route(counted, [(count > 0, SUCCESS), (count <= 0, WARNING)])
-    return union(
-        *[
-            notification_rows(rows.withColumn("route", F.lit(name)), texts[name], run)
-            for name, rows in routed.items()
-        ]
-    )
+    routed = with_route(counted, [(count > 0, SUCCESS), (count <= 0, WARNING)])
+    return routed_notifications(routed, "route", texts, run)
 
 
 def archive_and_notify(
@@ -52,9 +46,13 @@ def archive_and_notify(
     name: str = "file_name",
     modified: str = "modificationTime",
     file_id: str = "FileId",
+    retries: int = 2,
+    interval: float = 1.0,
 ) -> DataFrame:
     """Archives at once; returns the messages for the outbox."""
     with named_step("archive"):
-        archive_write(files.drop(file_id), archive_folder, name, [modified], run.at)
+        with_retries(
+            lambda: archive_write(files.drop(file_id), archive_folder, name, [modified], run.at), retries, interval
+        )
     listed = files.select(file_id, name)
     return messages(with_request_count(listed, requests, file_id), notices(facts), run)

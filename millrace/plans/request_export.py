@@ -12,7 +12,9 @@ from millrace.operators.aggregates import conditional_count, count_column, count
 from millrace.operators.joins import anti_join, semi_join
 from millrace.operators.mapping import add_constant
 from millrace.operators.routing import split_errors
-from millrace.operators.updates import move_matched, update_matched
+from millrace.operators.sets import union
+from millrace.operators.updates import mark_matched
+from millrace.session import cut_lineage
 from millrace.sinks.writers import csv_format, guard_non_empty, named_step, write_csv, write_error_report
 
 
@@ -43,19 +45,20 @@ def request_export(
     """`queue` has `key` and `status`, `valid_ids` has `key`, `items` are the rows of each request.
 
     Requests with a valid id are exported with those of their items that have no `error`, become
-    complete and go to the log; the others stay in the queue.
+    complete and go to the log; the others stay in the queue. The queue and the items are joined
+    once each; what both joins give is written to the shared folder, as several outputs read it.
     """
-    valid = semi_join(queue, valid_ids, key)
-    good, bad = split_errors(semi_join(items, valid, key), error)
-    marked = update_matched(queue, valid, [key], {"status": F.lit("complete")})
-    done, left = move_matched(marked, valid.select(key), [key])
+    marked = cut_lineage(mark_matched(queue, valid_ids, [key], "_valid"), "queue")
+    valid, left = (rows.drop("_valid") for rows in (marked.filter("_valid"), marked.filter("not _valid")))
+    done = valid.withColumn("status", F.lit("complete"))
+    good, bad = split_errors(cut_lineage(semi_join(items, valid.select(key), key), "items"), error)
     return RequestExport(
         export_lines=csv_format(add_constant(good, "Status", "Fulfilled")),
         summary=conditional_count(good, [key], kind, kinds),
         request_count=count_column(valid, key, "RequestCount"),
         error_count=count_nulls(bad, detail, "ErrorCount"),
         errors=bad,
-        requests=marked,
+        requests=union(done, left),
         log=done,
         queue=left,
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.aggregates import row_count
 from millrace.operators.routing import split_errors
-from millrace.sinks.writers import named_step, observed_write, truncate_load, write_csv
+from millrace.sinks.writers import named_step, observed_write, truncate_load, with_retries, write_csv
 from millrace.sources.delimited import CORRUPT, STAGING_COLUMNS, parse_delimited, with_parsed_line
 
 
@@ -33,7 +33,15 @@ def staged_from_lines(df: DataFrame, line: str, columns=STAGING_COLUMNS, **optio
     return StagedRows(*split_errors(parsed))
 
 
-def load_staging(spark: SparkSession, path: str, table: str, bad_rows: str | None = None, **options) -> int:
+def load_staging(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    bad_rows: str | None = None,
+    retries: int = 0,
+    interval: float = 1.0,
+    **options,
+) -> int:
     """Replace the staging table by the good rows of the files and return their number.
 
     The count comes from the write itself. The table is emptied when the new rows are ready, so a
@@ -41,7 +49,9 @@ def load_staging(spark: SparkSession, path: str, table: str, bad_rows: str | Non
     """
     staged = staged_from_files(spark, path, **options)
     with named_step("load staging"):
-        rows = observed_write(staged.rows, lambda df: truncate_load(df, table))
+        rows = with_retries(
+            lambda: observed_write(staged.rows, lambda df: truncate_load(df, table)), retries, interval
+        )
     if bad_rows is not None:
         with named_step("write bad rows"):
             write_csv(staged.bad, bad_rows)

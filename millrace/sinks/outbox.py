@@ -70,18 +70,33 @@ def message_body(notice: Notice, run: Run) -> Column:
 
 def notification_rows(df: DataFrame, notice: Notice, run: Run) -> DataFrame:
     """One message per document; the document's own fields stay in front."""
+    return _messages(df, F.lit(notice.subject), message_body(notice, run), run)
+
+
+def _messages(df: DataFrame, subject: Column, body: Column, run: Run) -> DataFrame:
     return df.select(
         "*",
         run.sender.alias("sender"),
         recipient_list(run.recipients).alias("receiver"),
-        F.lit(notice.subject).alias("subject"),
-        message_body(notice, run).alias("body"),
+        subject.alias("subject"),
+        body.alias("body"),
         F.lit(MESSAGE_TYPE).alias("message_type"),
         F.lit(BATCH_SIZE).alias("batch_size"),
         F.lit(RETRIES).alias("retries"),
     )
 
 
+def routed_notifications(df: DataFrame, route: str, notices: Mapping[str, Notice], run: Run) -> DataFrame:
+    """One message per document, with the texts of its route; one pass for all routes."""
+
+    def by_route(make) -> Column:
+        return F.coalesce(*[F.when(F.col(route) == name, make(notice)) for name, notice in notices.items()])
+
+    subject = by_route(lambda n: F.lit(n.subject))
+    body = by_route(lambda n: message_body(n, run))
+    return _messages(df, subject, body, run)
+
+
 def with_content(messages: DataFrame) -> DataFrame:
     """Messages that have a sender; `content` is subject and body."""
     kept = messages.filter(F.col("sender").isNotNull())

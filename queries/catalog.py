@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import exports, strip
 from millrace.operators.aggregates import top_level_key_profile
 from millrace.operators.graph import step_depth
-from millrace.operators.routing import triage
+from millrace.operators.routing import with_export_flag
 from millrace.operators.sets import union
 from millrace.plans.intake import catalog as build_catalog
 from millrace.plans.intake import steps_in_order
@@ -275,10 +275,8 @@ UNION ALL SELECT 'd' || doc_id, 'junk' FROM documents
 """
 )
 def intake_triage(spark, sf):
-    valid, junk = triage(mixed_files(spark, sf))
-    return union(
-        valid.select("path", F.lit("valid").alias("verdict")), junk.select("path", F.lit("junk").alias("verdict"))
-    )
+    verdict = F.when(F.col("is_export"), "valid").otherwise("junk")
+    return with_export_flag(mixed_files(spark, sf)).select("path", verdict.alias("verdict"))
 
 
 @query(

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import month_stamp
+from millrace.functions.text import lines
 from millrace.session import new_shared_dir
 from millrace.sinks import archive, writers
 from millrace.sources import files
+from millrace.streaming.intake import intake_to, new_files, read_intake, run_available
 from queries.registry import query, table
 
 
@@ -31,6 +33,18 @@ def file_inventory(spark, sf):
     return listed.groupBy(kind.alias("file_name")).agg(F.sum("length").alias("bytes"))
 
 
+@query("SELECT 'text' AS kind, CAST(o_orderkey AS VARCHAR) AS line FROM orders")
+def stream_intake_files(spark, sf):
+    """Files taken by a stream that ends when all are processed, each once; their lines afterwards."""
+    folder, target, state = (new_shared_dir(spark, name) for name in ("stream-in", "stream-out", "stream-state"))
+    table(spark, sf, "orders").select(F.col("o_orderkey").cast("string")).repartition(8).write.text(folder)
+    for _ in range(2):
+        run_available(new_files(spark, folder), intake_to(target), state)
+    kind = F.when(F.col("is_export"), "export").otherwise("text").alias("kind")
+    found = read_intake(spark, target).select(kind, F.explode(lines(F.col("text"))).alias("line"))
+    return found
+
+
 ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
 
@@ -103,6 +117,15 @@ def insert_into_table(spark, sf):
     return spark.table(name)
 
 
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def append_table_rows(spark, sf):
+    """Two appends to a catalog table, by column name."""
+    name = _new_table(spark, "append", "c_custkey BIGINT, c_name STRING")
+    writers.append_table(table(spark, sf, "customer").select("c_custkey", "c_name"), name)
+    writers.append_table(table(spark, sf, "supplier").selectExpr("s_suppkey AS c_custkey", "s_name AS c_name"), name)
+    return spark.table(name)
+
+
 @query("SELECT s_suppkey, s_name FROM supplier")
 def truncate_load_table(spark, sf):
     """The second load replaces the first."""

@@ -250,6 +250,19 @@ def copy_branches(spark, sf):
     )
 
 
+@query(
+    """
+SELECT c_mktsegment, count(*) AS n, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS kept FROM customer
+WHERE c_acctbal > 0 GROUP BY c_mktsegment
+"""
+)
+def copy_kept(spark, sf):
+    """Two actions on one flow that is stored once."""
+    first, second = routing.copy(table(spark, sf, "customer").filter("c_acctbal > 0").select("c_mktsegment"), keep=True)
+    kept = first.count()
+    return second.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(kept).cast("bigint"))
+
+
 @query(
     """
 SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, NULL AS segment FROM supplier

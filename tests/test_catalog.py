@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.catalog import exports, strip
+from millrace.operators.routing import triage
 from millrace.plans.intake import catalog, files_with_text, quarantine_names, steps_in_order
 from millrace.sources.exports import read_pipeline_exports
 from millrace.sources.files import read_binary
@@ -93,6 +94,12 @@ def test_intake(spark, folder):
     ]
 
 
+def test_triage_loses_nothing(spark, folder):
+    files = files_with_text(read_binary(spark, folder))
+    valid, junk = triage(files)
+    assert valid.count() == 3 and valid.count() + junk.count() == files.count()
+
+
 def test_settings(spark, folder):
     found = catalog(read_pipeline_exports(spark, folder, "*.json").filter(~F.col("path").contains("bytes")))
     rows = {(r.step_id, r.setting): (r.is_expression, r.value) for r in found.settings.collect()}
