@@ -41,17 +41,20 @@ def request_export(
     kinds: Mapping[str, str],
     error: Column,
     detail: str,
+    share: bool = False,
 ) -> RequestExport:
     """`queue` has `key` and `status`, `valid_ids` has `key`, `items` are the rows of each request.
 
     Requests with a valid id are exported with those of their items that have no `error`, become
-    complete and go to the log; the others stay in the queue. The queue and the items are joined
-    once each; what both joins give is written to the shared folder, as several outputs read it.
+    complete and go to the log; the others stay in the queue. `share` is for taking several of the
+    outputs: what the joins of the queue and of the items give is then computed at once and written
+    to the shared folder, where all outputs read it.
     """
-    marked = cut_lineage(mark_matched(queue, valid_ids, [key], "_valid"), "queue")
+    kept = cut_lineage if share else (lambda df: df)
+    marked = kept(mark_matched(queue, valid_ids, [key], "_valid"))
     valid, left = (rows.drop("_valid") for rows in (marked.filter("_valid"), marked.filter("not _valid")))
     done = valid.withColumn("status", F.lit("complete"))
-    good, bad = split_errors(cut_lineage(semi_join(items, valid.select(key), key), "items"), error)
+    good, bad = split_errors(kept(semi_join(items, valid.select(key), key)), error)
     return RequestExport(
         export_lines=csv_format(add_constant(good, "Status", "Fulfilled")),
         summary=conditional_count(good, [key], kind, kinds),

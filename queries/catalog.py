@@ -42,7 +42,7 @@ LIST_LAYOUT = """
 
 
 def _filled(template):
-    out = F.lit(template)
+    out = F.lit(template) if isinstance(template, str) else template
     fields = {"k": "p_partkey", "name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size"}
     for mark, column in fields.items():
         out = F.replace(out, F.lit("{" + mark + "}"), F.col(column).cast("string"))
@@ -88,6 +88,29 @@ def catalog_steps(spark, sf):
     return exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS)).drop("settings")
 
 
+@query(
+    """
+SELECT p_partkey AS path, CASE p_size % 6 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN 'id' || p_partkey
+       WHEN 3 THEN 'Unknown' WHEN 4 THEN 'Snap' END AS name
+FROM part
+"""
+)
+def catalog_step_names(spark, sf):
+    """Own name; label; instance id; a label that is no object; nothing at all; a null label."""
+    step = (
+        F.when(F.col("p_size") % 6 == 0, F.lit('{"name":"{name}","property_map":{"info":{"label":{"value":"no"}}}}'))
+        .when(F.col("p_size") % 6 == 1, F.lit('{"name":"Unknown","property_map":{"info":{"label":{"value":"{brand}"}}}}'))
+        .when(F.col("p_size") % 6 == 2, F.lit('{"instance_id":"id{k}","property_map":{"info":{"label":{}}}}'))
+        .when(F.col("p_size") % 6 == 3, F.lit('{"instance_id":"id{k}","property_map":{"info":{"label":"text"}}}'))
+        .when(F.col("p_size") % 6 == 4, F.lit('{"property_map":{}}'))
+        .otherwise(F.lit('{"instance_id":"id{k}","property_map":{"info":{"label":{"value":null}}}}'))
+    )
+    text = _filled(F.concat(F.lit('{"snaps":['), step, F.lit("]}")))
+    files = spread_table(spark, sf, "part").select(F.col("p_partkey").alias("path"), text.alias("text"))
+    docs = exports.parse_exports(files, fields=exports.STEP_FIELDS)
+    return exports.minimised_steps(docs).select("path", "name")
+
+
 @query(LINKS_SQL)
 def catalog_links(spark, sf):
     return exports.links(docs_of(spark, sf, exports.LINK_FIELDS))

@@ -97,14 +97,14 @@ def archive_notify_job(spark, sf):
     )
 
 
-def export_run(spark, sf):
+def export_run(spark, sf, share=False):
     queue = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     valid = table(spark, sf, "orders").filter("o_orderpriority <> '5-LOW'").select("o_orderkey")
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linestatus", "l_returnflag")
     items = items.withColumn("detail", F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")))
     run = request_export(
         queue, valid, items, "o_orderkey", "l_linestatus", {"finished": "F", "open": "O"},
-        F.col("l_returnflag") == "R", "detail",
+        F.col("l_returnflag") == "R", "detail", share,
     )
     return run, queue, valid
 
@@ -145,7 +145,7 @@ UNION ALL SELECT 'rejected', count(*) FROM orders WHERE o_orderpriority = '5-LOW
 )
 def request_export_counts(spark, sf):
     """All branches of the job, reconciled."""
-    run, queue, valid = export_run(spark, sf)
+    run, queue, valid = export_run(spark, sf, share=True)
     n = F.count(F.lit(1)).alias("n")
     return union(
         run.request_count.select(F.lit("requests").alias("part"), F.col("RequestCount").alias("n")),

@@ -10,13 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, or another one."""
 
     def register(function):
-        QUERIES[function.__name__] = function
+        key = name or function.__name__
+        QUERIES[key] = function
         if sql is not None:
-            ORACLES[function.__name__] = sql.strip()
+            ORACLES[key] = sql.strip()
         return function
 
     return register

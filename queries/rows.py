@@ -284,7 +284,7 @@ def union_positional(spark, sf):
     return sets.union_positional(docs.selectExpr("lang AS a", "source AS b"), docs.select("source", "lang"))
 
 
-@query("SELECT DISTINCT lang, source FROM documents")
+@query("SELECT DISTINCT lang, source FROM documents", name="distinct_rows")
 def distinct_rows_lang_source(spark, sf):
     return distinct_rows(table(spark, sf, "documents").select("lang", "source"))
 

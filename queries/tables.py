@@ -84,14 +84,23 @@ def summary_by_type(spark, sf):
 
 @query(
     """
-SELECT d.lang, count(l.quality) AS labelled, count(*) FILTER (WHERE l.quality IS NULL) AS unlabelled
+SELECT d.lang, count(*) FILTER (WHERE l.quality IS NULL) AS unlabelled
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang
 """
 )
-def count_and_null_count(spark, sf):
+def null_count(spark, sf):
     labelled = joins.lookup(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id")
-    present = aggregates.count_column(labelled, "quality", "labelled", ["lang"])
-    return joins.join_equi(present, aggregates.count_nulls(labelled, "quality", "unlabelled", ["lang"]), "lang")
+    return aggregates.count_nulls(labelled, "quality", "unlabelled", ["lang"])
+
+
+@query(
+    """
+SELECT d.lang, count(l.quality) AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang
+"""
+)
+def present_count(spark, sf):
+    labelled = joins.lookup(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id")
+    return aggregates.count_column(labelled, "quality", "labelled", ["lang"])
 
 
 @query('SELECT o_orderstatus, count(o_orderkey) AS "RequestCount" FROM orders GROUP BY o_orderstatus')
@@ -215,14 +224,18 @@ def sort_ascending(spark, sf):
     """
 SELECT o_orderkey, w.weight FROM orders o
 JOIN (VALUES ('1-URGENT', 5), ('2-HIGH', 4), ('3-MEDIUM', 3)) w(priority, weight) ON o.o_orderpriority = w.priority
-"""
+""",
+    name="literal_rows",
 )
 def literal_rows_join(spark, sf):
     weights = literal_rows(spark, [("1-URGENT", 5), ("2-HIGH", 4), ("3-MEDIUM", 3)], "o_orderpriority string, weight int")
     return joins.join_equi(table(spark, sf, "orders"), weights, "o_orderpriority").select("o_orderkey", "weight")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 5 AND o_orderdate >= DATE '1995-01-01'")
+@query(
+    "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 5 AND o_orderdate >= DATE '1995-01-01'",
+    name="query_view",
+)
 def query_view_args(spark, sf):
     return query_view(
         table(spark, sf, "orders"),

@@ -138,6 +138,16 @@ def split_cells(spark, sf):
     return spread_table(spark, sf, "documents", "doc_id", "text", "lang", "source").select("doc_id", cells).withColumn("cell_no", F.col("cell_no") + 1)
 
 
+@query("SELECT doc_id, text || chr(10) || 'lang: ' || lang AS cell FROM documents")
+def assemble_cells(spark, sf):
+    """Scripts cut into cells and put together again, without their marker lines."""
+    script = F.concat("text", F.lit(f"\n\n{text.CELL_MARKER}\n\nlang: "), "lang", F.lit(f"\n{text.CELL_MARKER}\n"))
+    cells = spread_table(spark, sf, "documents", "doc_id", "text", "lang").select(
+        "doc_id", F.posexplode(text.cells(script)).alias("cell_no", "cell")
+    )
+    return assemble(cells, ["doc_id"], "cell_no", "cell")
+
+
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS page FROM conversations GROUP BY conv_id")
 def assemble_turns(spark, sf):
     pages = assemble(table(spark, sf, "conversations"), ["conv_id"], "turn", "text")
@@ -179,9 +189,10 @@ SELECT 'key,label,size' AS line, true AS is_header
 UNION ALL
 SELECT p_partkey || ',' || '"' || p_name || ', 12"" ' || p_brand || '"' || ',' || CASE WHEN p_size > 25 THEN '' ELSE p_size::VARCHAR END, false
 FROM part
-"""
+""",
+    name="csv_format",
 )
-def csv_format_quoted(spark, sf):
+def csv_format_with_header(spark, sf):
     """Separators and quotes inside fields, nulls, and a header row."""
     label = F.concat("p_name", F.lit(', 12" '), "p_brand")
     size = F.when(F.col("p_size") <= 25, F.col("p_size"))

@@ -124,7 +124,7 @@ def test_request_export_files(spark, tmp_path):
     queue = spark.createDataFrame([(1, "new"), (2, "new")], "id int, status string")
     items = spark.createDataFrame([(1, "m", 0, "d"), (1, "f", 1, None)], "id int, kind string, bad int, detail string")
     ids = spark.createDataFrame([(1,)], "id int")
-    run = request_export(queue, ids, items, "id", "kind", {"m": "m", "f": "f"}, F.col("bad") == 1, "detail")
+    run = request_export(queue, ids, items, "id", "kind", {"m": "m", "f": "f"}, F.col("bad") == 1, "detail", share=True)
     report = write_request_export(run, str(tmp_path))
     assert report and glob.glob(report + "/part-*")
     assert [r.value for r in spark.read.text(f"{tmp_path}/export").collect()] == ["1,m,0,d,Fulfilled"]
