@@ -34,9 +34,13 @@ def running(
     """Window columns per key, in ascending order of `order` (end it with a tie-breaker).
 
     `row_number` names a count from 1; `previous` and `count_before` map a new column to the one
-    whose last value, or number of values, in the rows before it takes.
+    whose last value, or number of values, in the rows before it takes. Without keys the whole frame
+    is one sequence; above `rows_per_chunk` rows it too is cut.
     """
     previous, count_before = dict(previous or {}), dict(count_before or {})
+    columns_in = df.columns
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     chunked = cut_hot_keys(df, keys, order, rows_per_chunk, rounds)
     sequence = F.struct(*order)
 
@@ -66,7 +70,7 @@ def running(
         columns[name] = F.when(place == 1, F.col(f"_last_{name}")).otherwise(F.lag(source).over(local))
     for name, source in count_before.items():
         columns[name] = F.count(source).over(before) + F.coalesce(f"_count_{name}", F.lit(0))
-    return whole.select(*df.columns, *[value.alias(name) for name, value in columns.items()])
+    return whole.select(*columns_in, *[value.alias(name) for name, value in columns.items()])
 
 
 def cut_hot_keys(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import month_stamp
@@ -37,7 +38,7 @@ def archive_write(
     spark = df.sparkSession
     month = (month_stamp(at) if stamp is None else stamp).alias(MONTH)
     arrived = df.select("*", month, F.lit(1).alias("_run"))
-    existing = _existing(df, folder)
+    existing = _existing(spark, folder)
     if existing is not None:
         touched = existing.join(arrived.select(MONTH).distinct(), MONTH, "left_semi")
         arrived = arrived.unionByName(touched.withColumn("_run", F.lit(0)))
@@ -52,16 +53,17 @@ def archive_write(
     spark.catalog.refreshByPath(folder)
 
 
-def read_archive(df_or_spark, folder: str) -> DataFrame:
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """The archive; a filter on `yyyymm` reads only those months."""
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
     archived = spark.read.parquet(folder)
     return archived.withColumn(MONTH, F.col(MONTH).cast("string"))
 
 
-def _existing(df: DataFrame, folder: str) -> DataFrame | None:
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return read_archive(spark, folder)
+def _existing(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return read_archive(spark, folder)
+    except AnalysisException as error:
+        # The first run finds no folder, or an empty one.
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -15,7 +15,7 @@ from queries.registry import query, table
 def binary_scan(spark, sf):
     """Whole files as bytes."""
     folder = new_shared_dir(spark, "binary")
-    table(spark, sf, "customer").select("c_name").write.text(folder)
+    table(spark, sf, "customer").select("c_name").write.option("maxRecordsPerFile", 100_000).text(folder)
     content = F.col("content").cast("string")
     return files.read_binary(spark, folder).agg(
         F.sum("length").alias("bytes"),
@@ -37,7 +37,8 @@ def file_inventory(spark, sf):
 def stream_intake_files(spark, sf):
     """Files taken by a stream that ends when all are processed, each once; their lines afterwards."""
     folder, target, state = (new_shared_dir(spark, name) for name in ("stream-in", "stream-out", "stream-state"))
-    table(spark, sf, "orders").select(F.col("o_orderkey").cast("string")).repartition(8).write.text(folder)
+    keys = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string"))
+    keys.write.option("maxRecordsPerFile", 10_000).text(folder)
     for _ in range(2):
         run_available(new_files(spark, folder), intake_to(target), state)
     kind = F.when(F.col("is_export"), "export").otherwise("text").alias("kind")

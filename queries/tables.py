@@ -130,6 +130,19 @@ def lag_rownum(spark, sf):
     return windows.select("event_id", "user_id", "row_num", "delayed")
 
 
+@query(
+    """
+SELECT event_id, row_number() OVER w AS delayed_row_id, lag(event_id, 1) OVER w AS delayed_row
+FROM events WINDOW w AS (ORDER BY ts, event_id)
+"""
+)
+def lag_rownum_whole_table(spark, sf):
+    """One sequence over all rows."""
+    events = table(spark, sf, "events").select("event_id", "ts")
+    windows = ordering.running(events, [], ["ts", "event_id"], row_number="delayed_row_id", previous={"delayed_row": "event_id"})
+    return windows.drop("ts")
+
+
 @query(
     """
 SELECT event_id, user_id, count(event_id) OVER (PARTITION BY user_id ORDER BY event_id

@@ -43,6 +43,17 @@ def test_running_equals_plain_windows(spark, order, rounds, size):
     assert sorted(map(tuple, got.select(picked).collect())) == sorted(map(tuple, want.select(picked).collect()))
 
 
+@pytest.mark.parametrize("size", [11, 100_000])
+def test_without_keys_the_frame_is_one_sequence(spark, size):
+    rows = skewed_rows(spark)
+    got = ordering.running(rows, [], ["s", "b"], row_number="n", previous={"last": "v"}, rows_per_chunk=size)
+    plain = Window.orderBy("s", "b")
+    want = rows.select("*", F.row_number().over(plain).cast("bigint").alias("n"), F.lag("v").over(plain).alias("last"))
+    assert got.columns == want.columns
+    picked = ["b", "n", "last"]
+    assert sorted(map(tuple, got.select(picked).collect())) == sorted(map(tuple, want.select(picked).collect()))
+
+
 def test_hot_keys_are_cut(spark):
     rows = skewed_rows(spark).filter("key = 'hot'")
     chunks = ordering.cut_hot_keys(rows, ["key"], ["b"], rows_per_chunk=20).groupBy("_chunk").count().collect()
