@@ -19,6 +19,10 @@ from millrace.functions.paths import extension, numbered_name, stem
 from millrace.session import cut_lineage
 
 ROWS_PER_CHUNK = 5_000_000
+# From this chunk size on, a table with a row per chunk is broadcast whatever the size of the input.
+BROADCAST_FROM = 1_000_000
+# Reports up to this length are selected by a top-k, which keeps them in the memory of each task.
+TOP_ROWS = 100_000
 
 
 def running(
@@ -36,6 +40,9 @@ def running(
     `row_number` names a count from 1; `previous` and `count_before` map a new column to the one
     whose last value, or number of values, in the rows before it takes. Without keys the whole frame
     is one sequence; above `rows_per_chunk` rows it too is cut.
+
+    The input is read three times: twice only its keys and order, to count. Write an input that is
+    costly to compute first (`session.cut_lineage`).
     """
     previous, count_before = dict(previous or {}), dict(count_before or {})
     columns_in = df.columns
@@ -59,7 +66,7 @@ def running(
         *[F.sum(f"_count_{n}").over(earlier).alias(f"_count_{n}") for n in count_before],
     )
 
-    whole = _join_small(chunked, carried, [*keys, "_chunk"])
+    whole = _join_small(chunked, carried, [*keys, "_chunk"], rows_per_chunk)
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     place = F.row_number().over(local)
@@ -97,7 +104,7 @@ def cut_hot_keys(
             .agg(F.count(F.lit(1)).alias("_n"), axis.alias("_axis"), low.alias("_low"), high.alias("_high"))
             .filter((F.col("_n") > rows_per_chunk) & F.col("_axis").isNotNull())
         )
-        joined = _join_small(df, sizes, cells)
+        joined = _join_small(df, sizes, cells, rows_per_chunk)
         place = F.coalesce(*[F.when(F.col("_axis") == i, p) for i, p in enumerate(places)])
         share = (place - F.col("_low")) / (F.col("_high") - F.col("_low"))
         piece = F.when(F.col("_n").isNull(), 0).otherwise(
@@ -131,17 +138,19 @@ def _as_number(kind: T.DataType, value: Column) -> Column:
     raise TypeError(f"cannot cut along a column of type {kind.simpleString()}")
 
 
-def _join_small(df: DataFrame, per_chunk: DataFrame, names: Sequence[str]) -> DataFrame:
+def _join_small(df: DataFrame, per_chunk: DataFrame, names: Sequence[str], rows_per_chunk: int) -> DataFrame:
     """Left join in which a null key meets a null key.
 
-    The right side is broadcast because its size is bounded: it has a row per hot key or chunk, each
-    hot key stands for more than `rows_per_chunk` rows, and it has about one chunk for as many. At the
-    default that is below one row in a million of the input. A sort-merge join would shuffle the
-    input by the very keys that are to be cut.
+    The right side has a row per hot key or chunk; each hot key stands for more than `rows_per_chunk`
+    rows and has about one chunk for as many. At the default that is below one row in a million of
+    the input, so it is broadcast: a sort-merge join would shuffle the input by the very keys that
+    are to be cut. With small chunks there is no such bound, and Spark chooses by the size it finds.
     """
     renamed = per_chunk.withColumnsRenamed({n: f"_r{n}" for n in names})
     condition = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_r{n}")) for n in names])
-    return df.join(F.broadcast(renamed), condition, "left").drop(*[f"_r{n}" for n in names])
+    if rows_per_chunk >= BROADCAST_FROM:
+        renamed = F.broadcast(renamed)
+    return df.join(renamed, condition, "left").drop(*[f"_r{n}" for n in names])
 
 
 def unique_names(
@@ -202,13 +211,21 @@ def sort_ascending(df: DataFrame, *columns: str) -> DataFrame:
 
 def limit(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
     """Record cap; with an order, the first rows of it."""
+    if order and n > TOP_ROWS:
+        return running(df, [], order, row_number="_nth").filter(F.col("_nth") <= n).drop("_nth")
     return (df.orderBy(*order) if order else df).limit(n)
 
 
-def tail(df: DataFrame, order: Sequence[str], n: int = 1, offset: int = 0) -> DataFrame:
+def tail(df: DataFrame, order: Sequence[str], n: int = 1, offset: int = 0, top_rows: int = TOP_ROWS) -> DataFrame:
     """The last `n` documents, leaving out the very last `offset`, in ascending order.
 
-    `n + offset` is the size of a report: each task keeps that many rows.
+    A report of more than `top_rows` rows is cut out of the numbered frame, for which the rows are
+    counted at once.
     """
-    from_end = df.orderBy(*[F.col(c).desc() for c in order]).limit(n + offset).offset(offset)
-    return from_end.orderBy(*[F.col(c).asc() for c in order])
+    if n + offset > top_rows:
+        last = df.count() - offset
+        nth = F.col("_nth")
+        report = running(df, [], order, row_number="_nth").filter((nth > last - n) & (nth <= last)).drop("_nth")
+    else:
+        report = df.orderBy(*[F.col(c).desc() for c in order]).limit(n + offset).offset(offset)
+    return report.orderBy(*[F.col(c).asc() for c in order])

@@ -107,9 +107,20 @@ def test_same_name_four_times(spark):
     assert [r["unique_name"] for r in named.collect()] == ["a.json", "a_1.json", "a_2.json", "a_3.json"]
 
 
-def test_tail(spark):
+@pytest.mark.parametrize("top_rows", [0, 100])
+def test_tail(spark, top_rows):
     rows = spark.range(20)
-    assert [r.id for r in ordering.tail(rows, ["id"]).collect()] == [19]
-    assert [r.id for r in ordering.tail(rows, ["id"], 3, 2).collect()] == [15, 16, 17]
-    assert [r.id for r in ordering.tail(rows, ["id"], 5, 18).collect()] == [0, 1]
-    assert ordering.tail(rows, ["id"], 5, 25).collect() == []
+
+    def ids(*size):
+        return [r.id for r in ordering.tail(rows, ["id"], *size, top_rows=top_rows).collect()]
+
+    assert ids(1, 0) == [19]
+    assert ids(3, 2) == [15, 16, 17]
+    assert ids(5, 18) == [0, 1]
+    assert ids(5, 25) == []
+
+
+def test_long_limit(spark):
+    rows = spark.range(150_000).select((F.lit(149_999) - F.col("id")).alias("id"))
+    first = ordering.limit(rows, 120_000, ["id"])
+    assert first.count() == 120_000 and first.agg(F.max("id")).first()[0] == 119_999
