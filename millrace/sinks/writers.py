@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 log = logging.getLogger("millrace")
 
 
@@ -66,11 +68,16 @@ def append_table(df: DataFrame, table: str) -> None:
 
 
 def truncate_load(df: DataFrame, table: str) -> None:
-    """Replace the rows of an existing table. The old rows stay when the new ones cannot be computed."""
+    """Replace the rows of an existing table.
+
+    An overwrite empties the table before its tasks run. So the new rows are computed into the shared
+    folder first: when that fails, the old rows are still there.
+    """
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
         raise StepFailed(f"load {table}", "the table does not exist")
-    df.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    ready = cut_lineage(df.select(*spark.table(table).columns), "load")
+    ready.write.insertInto(table, overwrite=True)
 
 
 def jdbc_load(df: DataFrame, url: str, table: str, properties: dict[str, str], truncate: bool = False) -> None:

@@ -50,6 +50,19 @@ def test_insert_never_creates(spark):
     assert not spark.catalog.tableExists("no_such_table")
 
 
+def test_failed_load_keeps_old_rows(spark):
+    folder = new_shared_dir(spark, "load-test")
+    name = "load_" + folder[-32:]
+    spark.sql(f"CREATE TABLE {name} (id BIGINT) USING parquet LOCATION '{folder}'")
+    writers.truncate_load(spark.range(5), name)
+    stop = F.when(F.col("id") == 77, F.raise_error(F.lit("cannot read")).cast("bigint")).otherwise(F.col("id"))
+    with pytest.raises(Exception, match="cannot read"):
+        writers.truncate_load(spark.range(100).select(stop.alias("id")), name)
+    assert spark.table(name).count() == 5
+    writers.truncate_load(spark.table(name).filter("id > 2"), name)
+    assert sorted(r.id for r in spark.table(name).collect()) == [3, 4]
+
+
 def test_append_creates(spark):
     folder = new_shared_dir(spark, "append-test")
     name = "append_" + folder[-32:]
