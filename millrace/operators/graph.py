@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -19,33 +21,45 @@ def step_depth(
     """`graph, step, depth`: length of the longest path that ends in each step; 0 for a start.
 
     Peels the graphs level by level: steps without incoming links are ready, their outgoing links
-    are taken away, and steps that thereby lost their last incoming link are ready next. A link is
-    taken away once. A level is one round over the links that are left, written to the shared
-    folder, so the rounds number the levels of the deepest graph. Steps on or behind a cycle are
-    never ready: their depth is null. `steps` adds steps that no link names.
+    are taken away, and steps that thereby lost their last incoming link are ready next. A level is
+    one round over the links that are left, written to the shared folder, so the rounds number the
+    levels of the deepest graph. A step lies one below the last level that took a link to it away.
+    Steps on or behind a cycle keep a link: their depth is null. `steps` adds steps that no link names.
     """
     left = cut_lineage(links.select(F.col(graph), F.col(src).alias("_src"), F.col(dst).alias("_dst")), "links")
     seen = left.select(graph, F.inline(F.array(_seen("_src", False), _seen("_dst", True))))
     if steps is not None:
         seen = seen.unionByName(steps.select(graph, F.col(step).alias("_step"), F.lit(False).alias("_waits")))
-    levels, depth, gone = [], 0, None
-    while gone is None or gone > 0:
-        ready = seen.groupBy(graph, "_step").agg(F.bool_or("_waits").alias("_waits")).filter("not _waits")
-        levels.append(ready.select(graph, F.col("_step").alias(step), F.lit(depth).alias("depth")))
+    starts = ready = _not_waiting(seen, graph)
+    taken, level = [], 0
+    while True:
         marks = ready.select(graph, F.col("_step").alias("_src"), F.lit(True).alias("_gone"))
         counted = Observation()
-        marked = left.join(marks, [graph, "_src"], "left").observe(counted, F.count("_gone").alias("gone"))
-        marked = cut_lineage(marked, "links")
-        gone = counted.get["gone"]
-        seen = marked.select(graph, F.col("_dst").alias("_step"), F.col("_gone").isNull().alias("_waits"))
+        counts = F.count(F.lit(1)).alias("links"), F.count("_gone").alias("gone")
+        marked = cut_lineage(left.join(marks, [graph, "_src"], "left").observe(counted, *counts), "links")
+        taken.append(marked.filter("_gone").select(graph, F.col("_dst").alias(step), F.lit(level).alias("_level")))
         left = marked.filter("_gone is null").drop("_gone")
-        depth += 1
+        found = counted.get
+        if found["gone"] in (0, found["links"]):
+            break
+        ready = _not_waiting(
+            marked.select(graph, F.col("_dst").alias("_step"), F.col("_gone").isNull().alias("_waits")), graph
+        )
+        level += 1
+
+    incoming = reduce(DataFrame.unionByName, taken).unionByName(
+        left.select(graph, F.col("_dst").alias(step), F.lit(None).cast("int").alias("_level"))
+    )
+    below = F.when(F.bool_and(F.col("_level").isNotNull()), F.max("_level") + 1).alias("depth")
+    return (
+        incoming.groupBy(graph, step)
+        .agg(below)
+        .unionByName(starts.select(graph, F.col("_step").alias(step), F.lit(0).alias("depth")))
+    )
+
 
-    stuck = left.select(graph, F.explode(F.array("_src", "_dst")).alias(step)).distinct()
-    result = stuck.withColumn("depth", F.lit(None).cast("int"))
-    for level in levels:
-        result = result.unionByName(level)
-    return result
+def _not_waiting(seen: DataFrame, graph: str) -> DataFrame:
+    return seen.groupBy(graph, "_step").agg(F.bool_or("_waits").alias("_waits")).filter("not _waits")
 
 
 def _seen(column: str, waits: bool):
