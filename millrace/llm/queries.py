@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import near_dups
+from millrace.llm import decontamination, language, near_dups
 
 QUERIES = {}
 ORACLES = {}
@@ -24,3 +24,28 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dups.grouped(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contained(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item", F.round("containment", 6).alias("containment"))
+
+
+_PLAIN = f"""list_filter(regexp_split_to_array(regexp_replace(translate(text, '{decontamination.UPPER_TEXT}',
+    '{decontamination.LOWER_TEXT}'), '[\\x00-\\x08\\x0E-\\x1F!-/:-@\\[-`{{-\\x7F]', '', 'g'), '[ \\t-\\r]+'), lambda x: x <> '')"""
+_FIVES = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g"
+ORACLES["op7_decontamination"] = f"""
+WITH d AS (SELECT DISTINCT doc_id, {_FIVES} FROM (SELECT doc_id, {_PLAIN} AS w FROM documents)),
+i AS (SELECT DISTINCT item_id, {_FIVES} FROM (SELECT item_id, {_PLAIN} AS w FROM benchmark)),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS containment
+FROM s JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item
+"""
