@@ -23,7 +23,7 @@ RADIUS = 3
 #: Rows of a shard of the tree, and of a block that one task compares.
 LEAF_ROWS = 4096
 #: Fingerprints from which vantage points and medians are taken; all fingerprints are indexed.
-SAMPLE_ROWS = 1 << 18
+SAMPLE_ROWS = 1 << 15
 _SLICE = 1 << 16
 
 

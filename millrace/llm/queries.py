@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, near_dups
+from millrace.llm import decontamination, language, mixing, near_dups, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -49,3 +49,41 @@ s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (g) GROUP
 SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS containment
 FROM s JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item
 """
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mixing.with_copies(_table(spark, folder, "documents"))
+    return plan.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+
+
+ORACLES["op6_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, source) AS k,
+  (sum(source_size) OVER ())::BIGINT AS t, (sum(w) OVER ())::BIGINT AS tw FROM w),
+p AS (SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS full_size,
+  coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS full_w FROM o),
+f AS (SELECT t - full_size AS free, tw - full_w AS free_w FROM p WHERE (t - full_size)::DOUBLE * w / (tw - full_w) <= 3 * source_size ORDER BY k LIMIT 1),
+r AS (SELECT source, source_size, least(free::DOUBLE * w / free_w, (3 * source_size)::DOUBLE) AS target FROM p, f),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM r)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN
+  ('0x' || substr(md5(doc_id || ':{mixing.SEED}'), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+"""
+
+
+@query
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.sharded(_table(spark, folder, "documents"))
+    return placed.select("doc_id", F.col("shard.name").alias("shard"), "shard.depth", F.col("shard.bytes").alias("n_bytes"))
+
+
+ORACLES["op3_sharding"] = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+n AS (SELECT depth, h >> (60 - depth) AS node FROM d, range(0, 61) AS r(depth) GROUP BY ALL HAVING sum(n_bytes) <= {sharding.SHARD_BYTES}),
+b AS (SELECT doc_id, n_bytes, h, min(depth)::INTEGER AS depth FROM d JOIN n ON n.node = d.h >> (60 - depth) GROUP BY ALL)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard, depth, n_bytes FROM b
+"""
