@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, mixing, near_dups, sharding
+from millrace.llm import decontamination, language, mixing, near_dups, quality, sharding
+from millrace.session import cut_lineage
 
 QUERIES = {}
 ORACLES = {}
@@ -87,3 +88,9 @@ n AS (SELECT depth, h >> (60 - depth) AS node FROM d, range(0, 61) AS r(depth) G
 b AS (SELECT doc_id, n_bytes, h, min(depth)::INTEGER AS depth FROM d JOIN n ON n.node = d.h >> (60 - depth) GROUP BY ALL)
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard, depth, n_bytes FROM b
 """
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut_lineage(quality.measured(_table(spark, folder, "documents")), "measures")
+    return quality.judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
