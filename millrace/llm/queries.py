@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, mixing, near_dups, quality, sharding
+from millrace.llm import decontamination, language, licenses, mixing, near_dups, quality, sharding
 from millrace.session import cut_lineage
 
 QUERIES = {}
@@ -94,3 +94,33 @@ SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), dep
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut_lineage(quality.measured(_table(spark, folder, "documents")), "measures")
     return quality.judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scanned(_table(spark, folder, "documents"))
+    return found.select("doc_id", "digest", "license_id", F.concat_ws(",", "notices").alias("notices"))
+
+
+def _canonical(text: str) -> str:
+    plain = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
+    plain = f"' ' || regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    for one, other in licenses.SPELLINGS:
+        plain = f"replace({plain}, ' {one} ', ' {other} ')"
+    return f"sha256(trim({plain}))"
+
+
+def _values(texts: dict[str, list[str]]) -> str:
+    rows = [(k, t.replace("'", "''")) for k, many in texts.items() for t in many]
+    return "VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in rows)
+
+
+ORACLES["op9_licenses"] = f"""
+WITH l AS (SELECT license_id, {_canonical("t")} AS digest FROM ({_values(licenses.KNOWN)}) AS v(license_id, t)),
+n AS (SELECT license_id, {_canonical("t")} AS digest FROM ({_values(licenses.NOTICES)}) AS v(license_id, t)),
+d AS (SELECT doc_id, {_canonical("text")} AS digest FROM documents),
+m AS (SELECT doc_id, {_canonical("line")} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+f AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM m JOIN n USING (digest) GROUP BY doc_id)
+SELECT doc_id, d.digest, l.license_id, coalesce(notices, '') AS notices
+FROM d LEFT JOIN (SELECT DISTINCT * FROM l) AS l ON l.digest = d.digest LEFT JOIN f USING (doc_id)
+"""
