@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, licenses, mixing, near_dups, quality, sharding
+from millrace.llm import decontamination, language, licenses, mixing, near_dups, quality, sharding, token_counts
 from millrace.session import cut_lineage
 
 QUERIES = {}
@@ -124,3 +124,8 @@ f AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS
 SELECT doc_id, d.digest, l.license_id, coalesce(notices, '') AS notices
 FROM d LEFT JOIN (SELECT DISTINCT * FROM l) AS l ON l.digest = d.digest LEFT JOIN f USING (doc_id)
 """
+
+
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"))
