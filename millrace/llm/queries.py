@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, licenses, mixing, near_dups, quality, sharding, token_counts
+from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, quality, sharding, token_counts
 from millrace.session import cut_lineage
 
 QUERIES = {}
@@ -129,3 +129,9 @@ FROM d LEFT JOIN (SELECT DISTINCT * FROM l) AS l ON l.digest = d.digest LEFT JOI
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"))
+
+
+@query
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return html_text.main_text(pages, html_text.train(pages))
