@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, quality, sharding, token_counts
+from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, personal_data, quality, sharding, token_counts
 from millrace.session import cut_lineage
 
 QUERIES = {}
@@ -135,3 +135,12 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     return html_text.main_text(pages, html_text.train(pages))
+
+
+@query
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    rows = personal_data.scanned(_table(spark, folder, "documents"))
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(personal_data.KINDS)]
+    digest = F.sha2(personal_data.written(F.col("base")), 256).alias("base_sha256")
+    return rows.select("doc_id", *counts, digest, personal_data.written(F.concat("base", "found")).alias("spans"))
