@@ -66,25 +66,28 @@ def _class_of(n: Column) -> Column:
 
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str, size: int, containment: float) -> DataFrame:
-    """`(item_id, shingle, h, n_item, size_class, sketched)` of the items. The sketch of an item of n shingles is its
+    """`(item, shingle, h, n_item, size_class, sketched)` of the items; `item` is the id with a hash of the text, so texts
+    under one id stay apart. The sketch of an item of n shingles is its
     n - ceil(containment * n) + 1 smallest hashes: a text that holds the wanted share holds one of these."""
     kind = items.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, own, h, text, word in hashed(batch.column("text"), size):
-                ids = batch.column("item_id").slice(rows.start, rows.stop - rows.start).take(pa.array(text))
+                place = pa.array(text + rows.start)
                 raw = data.tobytes()
                 shingle = [b" ".join(raw[a:b] for a, b in zip(own.start[w : w + size].tolist(), own.end[w : w + size].tolist())).decode() for w in word.tolist()]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(shingle, pa.string()), pa.array(h.view(np.int64))], ["item_id", "shingle", "h"])
+                ids = [batch.column("item_id").take(place), batch.column("item_hash").take(place)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(shingle, pa.string()), pa.array(h.view(np.int64))], ["item_id", "item_hash", "shingle", "h"])
 
-    rows = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
-    own = rows.mapInArrow(run, f"item_id {kind}, shingle string, h long").distinct()
+    rows = items.select(F.col(item_col).alias("item_id"), F.xxhash64(F.col(text_col)).alias("item_hash"), F.col(text_col).alias("text"))
+    own = rows.mapInArrow(run, f"item_id {kind}, item_hash long, shingle string, h long").distinct()
+    own = own.select(F.struct("item_id", "item_hash").alias("item"), "shingle", "h")
     # equal hashes of different shingles of one item would spoil the rank; the shingle decides
-    per = Window.partitionBy("item_id")
+    per = Window.partitionBy("item")
     own = own.withColumn("n_item", F.count("*").over(per)).withColumn("rank", F.row_number().over(per.orderBy("h", "shingle")))
     wanted = F.ceil(F.lit(containment) * F.col("n_item") - 1e-9)
-    return own.select("item_id", "shingle", "h", "n_item", _class_of(F.col("n_item")).alias("size_class"), (F.col("rank") <= F.col("n_item") - wanted + 1).alias("sketched"))
+    return own.select("item", "shingle", "h", "n_item", _class_of(F.col("n_item")).alias("size_class"), (F.col("rank") <= F.col("n_item") - wanted + 1).alias("sketched"))
 
 
 def _filter_table(own: DataFrame, slots: int) -> np.ndarray:
@@ -114,7 +117,7 @@ def contained(
     marked with the least size class of the items: a document with too few shingles for a class passes it over. A
     document that meets the sketch filter hands on those of its shingles that meet the other one, as text; joins on
     sketch and shingle do the rest exactly. Null texts, and texts and items of fewer than `size` plain words, match
-    nothing. Repeated rows of a document give one row; repeated items one each.
+    nothing. Rows alike in id and text count once, among documents and among items; null ids are ids like others.
     """
     spark = docs.sparkSession
     own = cut_lineage(item_shingles(items, item_col, item_text_col, size, containment), "item-shingles")
@@ -150,12 +153,12 @@ def contained(
     schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("text_hash long, h long, shingle string, asked boolean").fields])
     hits = cut_lineage(rows.mapInArrow(run, schema), "shared-shingles").distinct()
     key = F.struct("doc_id", "text_hash").alias("doc")
-    asked = hits.where("asked").select(key, "h").join(own.where("sketched").select("h", "item_id"), "h").select("doc", "item_id").distinct()
-    shared = hits.select(key, "shingle").join(own.select("shingle", "item_id", "n_item"), "shingle").select("doc", "item_id", "n_item")
-    counted = shared.join(asked, ["doc", "item_id"], "left_semi").groupBy("doc", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    asked = hits.where("asked").select(key, "h").join(own.where("sketched").select("h", "item"), "h").select("doc", "item").distinct()
+    shared = hits.select(key, "shingle").join(own.select("shingle", "item", "n_item"), "shingle").select("doc", "item", "n_item")
+    counted = shared.join(asked, ["doc", "item"], "left_semi").groupBy("doc", "item", "n_item").agg(F.count("*").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_item")
     found = counted.where(F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("n_item") - 1e-9))
-    return found.select("doc.doc_id", "doc.text_hash", "item_id", "n_shared", "n_item", share.alias("containment"))
+    return found.select("doc.doc_id", "doc.text_hash", "item.item_id", "n_shared", "n_item", share.alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
