@@ -20,8 +20,8 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be worth a search.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?+[0-9]){15}", "phone": r"\+[0-9]"}
-#: What may be an identifier of unseen form.
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9]))[A-Za-z0-9][A-Za-z0-9._/:-]*+"
+#: What may be an identifier of unseen form: a run of such characters with a digit.
+CANDIDATE = r"(?:\G|(?<![A-Za-z0-9]))(?=[A-Za-z._/:-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._/:-]*+"
 CANDIDATE_DIGITS = 5
 #: A context is the last two words among so many characters before a span.
 REACH = 60
