@@ -1,9 +1,10 @@
 """Ordered operators (WIN1-WIN5, SRT1, LIM1, LIM2).
 
 A window over a key sorts all rows of the key in one task. So that a key with a large share of all
-rows does not end up there, `running` cuts such keys into chunks along the order: windows run
-within (key, chunk), and what the earlier chunks hold (counts, last values) is added from a small
-table with one row per chunk. The result is exact for every way of cutting.
+rows does not end up there, `running` cuts the whole frame into ranges of (keys, order): Spark
+finds the cuts by sampling, whatever the types and their distribution. Windows run within (key,
+range), and what earlier ranges hold of a key (counts, last values) is added from a table of the
+few keys that lie across a cut. The result is exact for every way of cutting.
 """
 
 from __future__ import annotations
@@ -13,17 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.paths import extension, numbered_name, stem
 from millrace.session import cut_lineage
 
-ROWS_PER_CHUNK = 5_000_000
-# From this chunk size on, a table with a row per chunk is broadcast whatever the size of the input.
-BROADCAST_FROM = 1_000_000
-# Reports up to this length are selected by a top-k, which keeps them in the memory of each task.
-TOP_ROWS = 100_000
-
 
 def running(
     df: DataFrame,
@@ -32,125 +26,72 @@ def running(
     row_number: str | None = None,
     previous: Mapping[str, str] | None = None,
     count_before: Mapping[str, str] | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    rounds: int = 1,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Window columns per key, in ascending order of `order` (end it with a tie-breaker).
 
     `row_number` names a count from 1; `previous` and `count_before` map a new column to the one
     whose last value, or number of values, in the rows before it takes. Without keys the whole frame
-    is one sequence; above `rows_per_chunk` rows it too is cut.
+    is one sequence. Any type that Spark can order will do. Only rows that are equal in keys and
+    order are kept together.
 
-    The input is read three times: twice only its keys and order, to count. Write an input that is
-    costly to compute first (`session.cut_lineage`).
+    The rows are dealt out into `ranges` (by default as many as the session's shuffles have) and
+    written once to the shared folder, since the cuts come from a sample; Spark computes the
+    input twice for that. Write an input that is costly first (`session.cut_lineage`).
     """
     previous, count_before = dict(previous or {}), dict(count_before or {})
-    columns_in = df.columns
-    if not keys:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    chunked = cut_hot_keys(df, keys, order, rows_per_chunk, rounds)
-    sequence = F.struct(*order)
-
-    totals = chunked.filter("_hot").groupBy(*keys, "_chunk").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.max_by(F.col(c), sequence).alias(f"_last_{n}") for n, c in previous.items()],
-        *[F.count(F.col(c)).alias(f"_count_{n}") for n, c in count_before.items()],
+    names = [F.col(f"`{k}`") for k in keys]
+    parts = [ranges] if ranges else []
+    dealt = cut_into_ranges(df, keys, order, *parts)
+
+    key, sequence = F.struct(F.lit(0).alias("_"), *names), F.struct(*[F.col(f"`{o}`") for o in order])
+    ends = dealt.groupBy("_range").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    # One row per range. At most one key lies across each cut.
+    following = F.lead("_low").over(Window.orderBy("_range"))
+    across = ends.select("_high", following.alias("_next")).filter(F.col("_high").eqNullSafe(F.col("_next")))
+    across = cut_lineage(across.select(F.col("_high").alias("_across")).distinct(), "keys-across")
+    totals = (
+        dealt.join(across, key.eqNullSafe(F.col("_across")))
+        .groupBy("_across", "_range")
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.max_by(F.col(f"`{c}`"), sequence).alias(f"_last_{n}") for n, c in previous.items()],
+            *[F.count(F.col(f"`{c}`")).alias(f"_count_{n}") for n, c in count_before.items()],
+        )
     )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        "_chunk",
-        F.sum("_rows").over(earlier).alias("_rows"),
-        *[F.lag(f"_last_{n}").over(by_chunk).alias(f"_last_{n}") for n in previous],
-        *[F.sum(f"_count_{n}").over(earlier).alias(f"_count_{n}") for n in count_before],
+    by_range = Window.partitionBy("_across").orderBy("_range")
+    earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    # At most two rows per range, so of a size that Spark knows before it joins them.
+    carried = cut_lineage(
+        totals.select(
+            "_across",
+            F.col("_range").alias("_carry_range"),
+            F.sum("_rows").over(earlier).alias("_rows"),
+            *[F.lag(f"_last_{n}").over(by_range).alias(f"_last_{n}") for n in previous],
+            *[F.sum(f"_count_{n}").over(earlier).alias(f"_count_{n}") for n in count_before],
+        ),
+        "carried",
     )
 
-    whole = _join_small(chunked, carried, [*keys, "_chunk"], rows_per_chunk)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    whole = dealt.join(carried, (F.col("_range") == F.col("_carry_range")) & key.eqNullSafe(F.col("_across")), "left")
+    local = Window.partitionBy(*names, "_range").orderBy(*[F.col(f"`{o}`") for o in order])
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     place = F.row_number().over(local)
     columns = {}
     if row_number:
         columns[row_number] = place.cast("bigint") + F.coalesce("_rows", F.lit(0))
     for name, source in previous.items():
-        columns[name] = F.when(place == 1, F.col(f"_last_{name}")).otherwise(F.lag(source).over(local))
+        columns[name] = F.when(place == 1, F.col(f"_last_{name}")).otherwise(F.lag(F.col(f"`{source}`")).over(local))
     for name, source in count_before.items():
-        columns[name] = F.count(source).over(before) + F.coalesce(f"_count_{name}", F.lit(0))
-    return whole.select(*columns_in, *[value.alias(name) for name, value in columns.items()])
+        columns[name] = F.count(F.col(f"`{source}`")).over(before) + F.coalesce(f"_count_{name}", F.lit(0))
+    return whole.select(*[F.col(f"`{c}`") for c in df.columns], *[value.alias(name) for name, value in columns.items()])
 
 
-def cut_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK, rounds: int = 1
-) -> DataFrame:
-    """Add `_hot` and `_chunk`: keys of more than `rows_per_chunk` rows are cut evenly along their first
-    order column that varies. Further rounds cut chunks that are still too large, as when most rows of
-    a key share one instant. Rows with equal order values stay together."""
-    levels: list[str] = []
-    for level in range(rounds):
-        cells = [*keys, *levels]
-        places = [_as_number(df.schema[o].dataType, F.col(f"`{o}`")) for o in order]
-        varied = [F.min(p) < F.max(p) for p in places]
-        # A later column may cut only where the values before it (not just their numbers) are all equal.
-        axis = F.lit(None)
-        for i, o in reversed(list(enumerate(order))):
-            present = F.count(F.col(o))
-            equal = ((present == F.count(F.lit(1))) & (F.min(o) == F.max(o))) | (present == 0)
-            axis = F.when(varied[i], F.lit(i)).when(equal, axis)
-        low = F.get(F.array(*[F.min(p) for p in places]), axis)
-        high = F.get(F.array(*[F.max(p) for p in places]), axis)
-        sizes = (
-            df.groupBy(*cells)
-            .agg(F.count(F.lit(1)).alias("_n"), axis.alias("_axis"), low.alias("_low"), high.alias("_high"))
-            .filter((F.col("_n") > rows_per_chunk) & F.col("_axis").isNotNull())
-        )
-        joined = _join_small(df, sizes, cells, rows_per_chunk)
-        place = F.coalesce(*[F.when(F.col("_axis") == i, p) for i, p in enumerate(places)])
-        share = (place - F.col("_low")) / (F.col("_high") - F.col("_low"))
-        piece = F.when(F.col("_n").isNull(), 0).otherwise(
-            F.coalesce(F.floor(share * F.ceil(F.col("_n") / rows_per_chunk)), F.lit(-1))
-        )
-        name = f"_level{level}"
-        hot = F.col("_n").isNotNull() | (F.col("_hot") if levels else F.lit(False))
-        df = joined.withColumns({name: piece, "_hot": hot}).drop("_n", "_axis", "_low", "_high")
-        levels.append(name)
-    return df.withColumn("_chunk", F.struct(*levels)).drop(*levels)
-
-
-def _as_number(kind: T.DataType, value: Column) -> Column:
-    """A double that never decreases while the value grows; null stays null and sorts first."""
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        # NaN sorts last; the bounds keep differences finite.
-        number = F.nanvl(value.cast("double"), F.lit(1e300))
-        return F.when(value.isNotNull(), F.greatest(F.least(number, F.lit(1e300)), F.lit(-1e300)))
-    if isinstance(kind, T.NumericType):
-        return value.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(value).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(value).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        seconds = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
-        return (F.unix_date(value.cast("date")).cast("bigint") * 86400 + seconds).cast("double")
-    if isinstance(kind, T.StringType):
-        # The first six bytes.
-        return F.conv(F.rpad(F.substring(F.hex(value), 1, 12), 12, "0"), 16, 10).cast("double")
-    raise TypeError(f"cannot cut along a column of type {kind.simpleString()}")
-
-
-def _join_small(df: DataFrame, per_chunk: DataFrame, names: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    """Left join in which a null key meets a null key.
-
-    The right side has a row per hot key or chunk; each hot key stands for more than `rows_per_chunk`
-    rows and has about one chunk for as many. At the default that is below one row in a million of
-    the input, so it is broadcast: a sort-merge join would shuffle the input by the very keys that
-    are to be cut. With small chunks there is no such bound, and Spark chooses by the size it finds.
-    """
-    renamed = per_chunk.withColumnsRenamed({n: f"_r{n}" for n in names})
-    condition = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_r{n}")) for n in names])
-    if rows_per_chunk >= BROADCAST_FROM:
-        renamed = F.broadcast(renamed)
-    return df.join(renamed, condition, "left").drop(*[f"_r{n}" for n in names])
+def cut_into_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], *number: int) -> DataFrame:
+    """The rows as a written table with `_range`: a number that never falls as (keys, order) rise."""
+    by = [F.col(f"`{c}`") for c in (*keys, *order)]
+    dealt = df.repartitionByRange(*number, *by).withColumn("_range", F.spark_partition_id())
+    return cut_lineage(dealt, "ranges")
 
 
 def unique_names(
@@ -159,7 +100,7 @@ def unique_names(
     order: Sequence[str],
     taken: DataFrame | None = None,
     column: str = "unique_name",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Later files of a name, in order of arrival, get `_1`, `_2`, ... before the extension.
 
@@ -167,7 +108,7 @@ def unique_names(
     an existing one is never given out as a numbered name: those numbers are passed over. Whether
     there are any is looked up at once; if so, the numbered rows are written to the shared folder.
     """
-    wished = running(df, [name], order, row_number="_wish", rows_per_chunk=rows_per_chunk)
+    wished = running(df, [name], order, row_number="_wish", ranges=ranges)
     # The first file of a free name needs no number; for an existing name even the first does.
     if taken is None:
         wished = wished.withColumn("_wish", F.col("_wish") - 1)
@@ -180,14 +121,14 @@ def unique_names(
     if not blocked.isEmpty():
         # The i-th blocked number k (from 1) pushes wish w on by one when k - i < w. So the wishes
         # are put in one line with these thresholds, and each counts the thresholds before it.
-        ranked = running(blocked, [name], ["_number"], row_number="_i", rows_per_chunk=rows_per_chunk)
+        ranked = running(blocked, [name], ["_number"], row_number="_i", ranges=ranges)
         thresholds = cut_lineage(
             ranked.select(name, (F.col("_number") - F.col("_i") + 1).alias("_at"), F.lit(1).alias("_blocked"))
         )
         line = cut_lineage(wished).withColumn("_at", F.col("_wish")).unionByName(thresholds, allowMissingColumns=True)
         line = line.withColumn("_last", F.col("_wish").isNotNull().cast("int"))
         wished = running(
-            line, [name], ["_at", "_last"], count_before={"_shift": "_blocked"}, rows_per_chunk=rows_per_chunk
+            line, [name], ["_at", "_last"], count_before={"_shift": "_blocked"}, ranges=ranges
         ).filter("_last = 1")
         shift = F.when(F.col("_wish") > 0, F.col("_shift")).otherwise(0)
     return wished.select(*df.columns, numbered_name(F.col(name), F.col("_wish") + shift).alias(column))
@@ -198,6 +139,7 @@ def _blocked_numbers(names: DataFrame, taken: DataFrame | None, name: str) -> Da
     if that occurs."""
     distinct = names.distinct()
     occupied = distinct if taken is None else distinct.union(taken.select(name)).distinct()
+    # Longer numbers than the pattern's 18 digits are passed over: no count reaches them.
     body = stem(F.col(name))
     number = F.regexp_extract(body, r"(?s)_([1-9][0-9]{0,17})\z", 1)
     base = F.concat(F.regexp_replace(body, r"_[1-9][0-9]{0,17}\z", ""), extension(F.col(name)))
@@ -210,22 +152,12 @@ def sort_ascending(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def limit(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
-    """Record cap; with an order, the first rows of it."""
-    if order and n > TOP_ROWS:
-        return running(df, [], order, row_number="_nth").filter(F.col("_nth") <= n).drop("_nth")
+    """Record cap; with an order, the first rows of it, in that order. Spark keeps the best `n` rows of
+    each task, or sorts the frame where `n` is above `spark.sql.execution.topKSortFallbackThreshold`."""
     return (df.orderBy(*order) if order else df).limit(n)
 
 
-def tail(df: DataFrame, order: Sequence[str], n: int = 1, offset: int = 0, top_rows: int = TOP_ROWS) -> DataFrame:
-    """The last `n` documents, leaving out the very last `offset`, in ascending order.
-
-    A report of more than `top_rows` rows is cut out of the numbered frame, for which the rows are
-    counted at once.
-    """
-    if n + offset > top_rows:
-        last = df.count() - offset
-        nth = F.col("_nth")
-        report = running(df, [], order, row_number="_nth").filter((nth > last - n) & (nth <= last)).drop("_nth")
-    else:
-        report = df.orderBy(*[F.col(c).desc() for c in order]).limit(n + offset).offset(offset)
-    return report.orderBy(*[F.col(c).asc() for c in order])
+def tail(df: DataFrame, order: Sequence[str], n: int = 1, offset: int = 0) -> DataFrame:
+    """The last `n` documents, leaving out the very last `offset`, in ascending order."""
+    last = df.orderBy(*[F.col(c).desc() for c in order]).limit(n + offset).offset(offset)
+    return last.orderBy(*[F.col(c).asc() for c in order])

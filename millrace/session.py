@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,10 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Longer ordered limits sort the frame: the rows of a top-k stay in the memory of each task.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # A scan of few, large files is cut finely enough for all cores.
+    "spark.sql.files.maxPartitionBytes": "32m",
 }
 
 
@@ -29,14 +34,16 @@ def build_session(app: str = "millrace", master: str | None = None, **extra: str
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A path below the folder that all executors see (`spark.checkpoint.dir`).
-
-    Only where the cluster names no such folder, as in local tests, is a temporary one set.
+    """A path below the folder that all executors see (`spark.checkpoint.dir`, or the session's checkpoint
+    folder). A temporary folder is made only where driver and executors are one process; a cluster
+    without a shared folder is an error, since its machines would each write to their own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if base is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="millrace-")
             spark.sparkContext.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts])
@@ -54,9 +61,3 @@ def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan of few, small files before heavy work per row. A scan that has a task for
-    every core already, as any large table does, stays as it is and is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -15,7 +15,7 @@ from millrace.plans.intake import catalog as build_catalog
 from millrace.plans.intake import steps_in_order
 from millrace.session import new_shared_dir
 from millrace.sources.exports import read_pipeline_exports
-from queries.registry import query, spread_table, table
+from queries.registry import query, table
 
 MAP_LAYOUT = """
 {"class_fqid":"com-example-pipeline_9","instance_id":"P{k}","instance_version":1,
@@ -53,7 +53,7 @@ def export_files(spark, sf):
     """`path, text` of the rendered exports."""
     body = F.when(F.col("p_partkey") % 2 == 0, _filled(MAP_LAYOUT)).otherwise(_filled(LIST_LAYOUT))
     path = F.concat(F.lit("in/part_"), F.col("p_partkey").cast("string"), F.lit("_sanitized.json"))
-    return spread_table(spark, sf, "part").select(path.alias("path"), body.alias("text"))
+    return table(spark, sf, "part").select(path.alias("path"), body.alias("text"))
 
 
 def docs_of(spark, sf, fields):
@@ -106,7 +106,7 @@ def catalog_step_names(spark, sf):
         .otherwise(F.lit('{"instance_id":"id{k}","property_map":{"info":{"label":{"value":null}}}}'))
     )
     text = _filled(F.concat(F.lit('{"snaps":['), step, F.lit("]}")))
-    files = spread_table(spark, sf, "part").select(F.col("p_partkey").alias("path"), text.alias("text"))
+    files = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), text.alias("text"))
     docs = exports.parse_exports(files, fields=exports.STEP_FIELDS)
     return exports.minimised_steps(docs).select("path", "name")
 
@@ -286,8 +286,8 @@ def mixed_files(spark, sf):
         .when(case == 7, _filled("{'snaps':'{name}'}"))
         .otherwise(good)
     )
-    parts = spread_table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
-    docs = spread_table(spark, sf, "documents", "doc_id", "text").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text")
+    parts = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text")
     return parts.unionByName(docs)
 
 

@@ -4,8 +4,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,7 +24,3 @@ def query(sql: str | None = None, name: str | None = None):
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
-
-def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """For heavy work on each row."""
-    return spread(table(spark, folder, name).select(*columns or "*"))

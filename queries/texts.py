@@ -8,7 +8,7 @@ from millrace.operators.aggregates import assemble
 from millrace.operators.joins import classify_by_substring
 from millrace.operators.sets import union_positional
 from millrace.sinks.writers import csv_format
-from queries.registry import query, spread_table, table
+from queries.registry import query, table
 
 
 @query(
@@ -97,7 +97,7 @@ def redact_secrets(spark, sf):
     kind = F.when(case == 0, "email").when(case == 1, "smb").otherwise("ftp")
     line = F.when(case == 0, email).when(case == 1, smb).otherwise(ftp)
     code = F.concat(line, F.lit("\n"), F.col("text"))
-    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", redacted_by_kind(code, kind).alias("code"))
+    return table(spark, sf, "documents").select("doc_id", "text").select("doc_id", redacted_by_kind(code, kind).alias("code"))
 
 
 @query(
@@ -135,14 +135,14 @@ def split_cells(spark, sf):
         F.lit(f"{marker}\r\n"), F.lit('source = "'), F.col("source"), F.lit(f'"\n{marker}\n\n'),
     )
     cells = F.posexplode(text.cells(script)).alias("cell_no", "cell")
-    return spread_table(spark, sf, "documents", "doc_id", "text", "lang", "source").select("doc_id", cells).withColumn("cell_no", F.col("cell_no") + 1)
+    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source").select("doc_id", cells).withColumn("cell_no", F.col("cell_no") + 1)
 
 
 @query("SELECT doc_id, text || chr(10) || 'lang: ' || lang AS cell FROM documents")
 def assemble_cells(spark, sf):
     """Scripts cut into cells and put together again, without their marker lines."""
     script = F.concat("text", F.lit(f"\n\n{text.CELL_MARKER}\n\nlang: "), "lang", F.lit(f"\n{text.CELL_MARKER}\n"))
-    cells = spread_table(spark, sf, "documents", "doc_id", "text", "lang").select(
+    cells = table(spark, sf, "documents").select("doc_id", "text", "lang").select(
         "doc_id", F.posexplode(text.cells(script)).alias("cell_no", "cell")
     )
     return assemble(cells, ["doc_id"], "cell_no", "cell")
@@ -157,7 +157,7 @@ def assemble_turns(spark, sf):
 @query("SELECT doc_id, rtrim(text, chr(10)) AS text FROM documents")
 def lines_and_back(spark, sf):
     """Every text cut into lines and put together again."""
-    lines = spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "text"))
+    lines = table(spark, sf, "documents").select("doc_id", "text").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "text"))
     return assemble(lines, ["doc_id"], "n", "text")
 
 
@@ -180,7 +180,7 @@ FROM documents
 """
 )
 def html_lines(spark, sf):
-    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.html_lines(F.col("text")).alias("escaped"))
+    return table(spark, sf, "documents").select("doc_id", "text").select("doc_id", text.html_lines(F.col("text")).alias("escaped"))
 
 
 @query(

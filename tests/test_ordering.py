@@ -24,14 +24,12 @@ def skewed_rows(spark, seed=1, n=400):
 
 
 @pytest.mark.parametrize(
-    "order, rounds, size",
-    [(["b"], 1, 7), (["b"], 1, 100_000), (["a", "b"], 1, 7), (["a", "b"], 2, 7), (["s", "b"], 2, 9), (["t", "b"], 2, 9)],
+    "order, ranges",
+    [(["b"], 60), (["b"], 1), (["b"], None), (["a", "b"], 40), (["s", "b"], 40), (["t", "b"], 40), (["yes", "b"], 20), (["raw", "b"], 20), (["pair"], 20)],
 )
-def test_running_equals_plain_windows(spark, order, rounds, size):
-    rows = skewed_rows(spark)
-    got = ordering.running(
-        rows, ["key"], order, row_number="n", previous={"last": "v"}, count_before={"seen": "v"}, rows_per_chunk=size, rounds=rounds
-    )
+def test_running_equals_plain_windows(spark, order, ranges):
+    rows = skewed_rows(spark).withColumns({"yes": F.col("b") % 3 == 0, "raw": F.col("s").cast("binary"), "pair": F.struct("s", "b")})
+    got = ordering.running(rows, ["key"], order, row_number="n", previous={"last": "v"}, count_before={"seen": "v"}, ranges=ranges)
     plain = Window.partitionBy("key").orderBy(*order)
     want = rows.select(
         "*",
@@ -43,10 +41,10 @@ def test_running_equals_plain_windows(spark, order, rounds, size):
     assert sorted(map(tuple, got.select(picked).collect())) == sorted(map(tuple, want.select(picked).collect()))
 
 
-@pytest.mark.parametrize("size", [11, 100_000])
-def test_without_keys_the_frame_is_one_sequence(spark, size):
+@pytest.mark.parametrize("ranges", [30, 1])
+def test_without_keys_the_frame_is_one_sequence(spark, ranges):
     rows = skewed_rows(spark)
-    got = ordering.running(rows, [], ["s", "b"], row_number="n", previous={"last": "v"}, rows_per_chunk=size)
+    got = ordering.running(rows, [], ["s", "b"], row_number="n", previous={"last": "v"}, ranges=ranges)
     plain = Window.orderBy("s", "b")
     want = rows.select("*", F.row_number().over(plain).cast("bigint").alias("n"), F.lag("v").over(plain).alias("last"))
     assert got.columns == want.columns
@@ -54,18 +52,29 @@ def test_without_keys_the_frame_is_one_sequence(spark, size):
     assert sorted(map(tuple, got.select(picked).collect())) == sorted(map(tuple, want.select(picked).collect()))
 
 
-def test_hot_keys_are_cut(spark):
-    rows = skewed_rows(spark).filter("key = 'hot'")
-    chunks = ordering.cut_hot_keys(rows, ["key"], ["b"], rows_per_chunk=20).groupBy("_chunk").count().collect()
-    assert len(chunks) > 10 and max(r["count"] for r in chunks) <= 60
-    tied = rows.withColumn("a", F.lit(1.0))
-    cut = ordering.cut_hot_keys(tied, ["key"], ["a", "b"], rows_per_chunk=20).groupBy("_chunk").count().collect()
-    assert max(r["count"] for r in cut) <= 60
+def largest(rows, keys, order, ranges):
+    return ordering.cut_into_ranges(rows, keys, order, ranges).groupBy("_range").count().agg(F.max("count")).first()[0]
+
+
+def test_ranges_are_even_whatever_the_order(spark):
+    paths = spark.range(6_000_000).select(F.format_string("s3://b/%012d", "id").alias("path"), F.lit("k").alias("key"))
+    assert largest(paths, [], ["path"], 12) <= 2 * 500_000
+    assert largest(paths, ["key"], ["path"], 12) <= 2 * 500_000
+    stamps = spark.range(1000).select(F.when(F.col("id") == 0, 0).otherwise(1.7e9 + F.col("id")).cast("timestamp").alias("at"))
+    assert largest(stamps, [], ["at"], 10) <= 2 * 100
+
+
+def test_many_keys_across_few_cuts(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("key"), "id").withColumn("key", F.when(F.col("key") < 5, 0).otherwise(F.col("key")))
+    got = ordering.running(rows, ["key"], ["id"], row_number="n", ranges=25)
+    plain = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id")).cast("bigint"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 
-def test_window_takes_one_shuffle_of_the_rows(spark):
+def test_cut_rows_are_shuffled_once_more_for_the_window(spark):
     rows = spark.range(100).withColumn("key", F.col("id") % 3)
     plan = ordering.running(rows, ["key"], ["id"], row_number="n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
@@ -87,15 +96,15 @@ def names_by_hand(arrivals, taken):
     return out
 
 
-@pytest.mark.parametrize("seed, size", [(0, 5), (1, 5), (2, 100_000), (3, 5)])
-def test_unique_names(spark, seed, size):
+@pytest.mark.parametrize("seed, ranges", [(0, 15), (1, 15), (2, None), (3, 15)])
+def test_unique_names(spark, seed, ranges):
     pick = random.Random(seed)
     pool = ["a.json"] * 6 + ["a_1.json", "a_2.json", "a_1_1.json", "b.x.txt", "b.x_3.txt", "c_0.json", "c_01.json"]
     arrivals = [pick.choice(pool) for _ in range(80)]
     taken = [pick.choice([*pool, "a_9.json", "a_12.json", "b.x_1.txt"]) for _ in range(pick.randint(0, 9))]
     files = spark.createDataFrame(list(enumerate(arrivals)), "i int, name string")
     existing = spark.createDataFrame([(t,) for t in taken], "name string") if taken or seed % 2 else None
-    named = ordering.unique_names(files, "name", ["i"], existing, rows_per_chunk=size)
+    named = ordering.unique_names(files, "name", ["i"], existing, ranges=ranges)
     got = [r["unique_name"] for r in named.orderBy("i").collect()]
     assert got == names_by_hand(arrivals, taken)
     assert len(set(got)) == len(got) and not set(got) & set(taken)
@@ -107,12 +116,11 @@ def test_same_name_four_times(spark):
     assert [r["unique_name"] for r in named.collect()] == ["a.json", "a_1.json", "a_2.json", "a_3.json"]
 
 
-@pytest.mark.parametrize("top_rows", [0, 100])
-def test_tail(spark, top_rows):
+def test_tail(spark):
     rows = spark.range(20)
 
     def ids(*size):
-        return [r.id for r in ordering.tail(rows, ["id"], *size, top_rows=top_rows).collect()]
+        return [r.id for r in ordering.tail(rows, ["id"], *size).collect()]
 
     assert ids(1, 0) == [19]
     assert ids(3, 2) == [15, 16, 17]
@@ -120,7 +128,7 @@ def test_tail(spark, top_rows):
     assert ids(5, 25) == []
 
 
-def test_long_limit(spark):
+def test_long_limit_and_tail_are_in_order(spark):
     rows = spark.range(150_000).select((F.lit(149_999) - F.col("id")).alias("id"))
-    first = ordering.limit(rows, 120_000, ["id"])
-    assert first.count() == 120_000 and first.agg(F.max("id")).first()[0] == 119_999
+    assert [r.id for r in ordering.limit(rows, 120_000, ["id"]).collect()] == list(range(120_000))
+    assert [r.id for r in ordering.tail(rows, ["id"], 110_000, 5).collect()] == list(range(39_995, 149_995))
