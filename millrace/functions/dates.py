@@ -12,9 +12,12 @@ STAMP_ZONE = "EST"
 
 
 def month_stamp(at: Column | None = None) -> Column:
+    """The month of an instant in the session's zone (`session.SETTINGS` sets it to UTC)."""
     return F.date_format(F.current_timestamp() if at is None else at, MONTH_PATTERN)
 
 
 def message_stamp(at: Column | None = None, zone: str = STAMP_ZONE) -> Column:
-    utc = F.current_timestamp() if at is None else at
-    return F.date_format(F.from_utc_timestamp(utc, zone), STAMP_PATTERN)
+    """The instant in the zone of messages, whatever the session's zone is."""
+    instant = F.current_timestamp() if at is None else at
+    local = F.convert_timezone(F.current_timezone(), F.lit(zone), instant.cast("timestamp_ntz"))
+    return F.date_format(local, STAMP_PATTERN)

@@ -39,10 +39,20 @@ def redacted(code: Column, service: str, scope: str = SCOPE) -> Column:
     return code
 
 
-def redacted_by_kind(code: Column, kind: Column) -> Column:
-    """The service kind comes from a column."""
-    chain = None
-    for service in WIDGETS:
-        branch = redacted(code, service)
-        chain = F.when(kind == service, branch) if chain is None else chain.when(kind == service, branch)
-    return chain.otherwise(code)
+def redacted_by_kind(code: Column, kind: Column, scope: str = SCOPE) -> Column:
+    """The service kind comes from a column. Secrets are replaced for every kind, under keys that begin with it; a
+    null or empty kind gives `unknown_password` and `unknown_user`."""
+    for service, settings in WIDGETS.items():
+        own = code
+        for setting, pattern, widget in settings:
+            own = F.regexp_replace(own, _FLAGS + pattern.format(setting=setting), "$1" + WIDGET_CALL.format(name=widget))
+        code = F.when(kind == service, own).otherwise(code)
+    known = F.coalesce(F.nullif(kind, F.lit("")), F.lit("unknown"))
+    # A kind is plain text also where it holds signs that mean something in a replacement.
+    plain = F.replace(F.replace(known, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    for setting in SECRETS:
+        before, after = SECRET_CALL.format(scope=scope, key=f"\0_{setting}").split("\0")
+        call = F.concat(F.lit("$1" + before), plain, F.lit(after))
+        code = F.regexp_replace(code, F.lit(_FLAGS + SECRET_OPTION.format(setting=setting)), F.concat(call, F.lit("$3")))
+        code = F.regexp_replace(code, F.lit(_FLAGS + SECRET_SETTING.format(setting=setting)), call)
+    return code

@@ -6,20 +6,26 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = "$"
 
 
 def mapper(
     df: DataFrame,
-    mapping: Sequence[tuple[str, Column]],
+    mapping: Sequence[tuple[str, Column | str]],
     pass_through: bool = False,
     root: str = ROOT,
+    null_safe: bool = False,
 ) -> DataFrame:
     """A new document per document: target paths (`$name`, `$address.city`) receive expression values.
 
-    Fields without a mapping are dropped unless `pass_through`. Targets lie below `root`.
+    Fields without a mapping are dropped unless `pass_through`; with it, a nested target changes its own
+    field and leaves its siblings, and a null record on the way becomes one. Targets lie below `root`. A
+    text in place of an expression is the path of a value, such as `$address.city`: with `null_safe` a
+    path below a null gives null, without it that is an error.
     """
+    mapping = [(t, path_value(df, v, null_safe) if isinstance(v, str) else v) for t, v in mapping]
     prefix = root.removeprefix(ROOT).strip(".")
     tree: dict = {}
     for target, value in mapping:
@@ -30,16 +36,35 @@ def mapper(
             if not isinstance(place, dict):
                 raise ValueError(f"target {target} lies below a mapped value")
         place[names[-1]] = value
-    targets = {name: _nested(node) for name, node in tree.items()}
     if pass_through:
-        return df.withColumns(targets)
-    return df.select(*[value.alias(name) for name, value in targets.items()])
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        return df.withColumns({name: _merged(node, F.col(f"`{name}`"), kinds.get(name)) for name, node in tree.items()})
+    return df.select(*[_merged(node, None, None).alias(name) for name, node in tree.items()])
 
 
-def _nested(node) -> Column:
+def _merged(node, present: Column | None, kind: T.DataType | None) -> Column:
+    """The value of a target; of a record that is there already, the fields without a mapping stay."""
     if not isinstance(node, dict):
         return node
-    return F.struct(*[_nested(child).alias(name) for name, child in node.items()])
+    old = {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
+    names = [*old, *[n for n in node if n not in old]]
+
+    def field(name: str) -> Column:
+        own = present.getField(name) if name in old else None
+        return (_merged(node[name], own, old.get(name)) if name in node else own).alias(name)
+
+    return F.struct(*[field(n) for n in names])
+
+
+def path_value(df: DataFrame, path: str, null_safe: bool = False) -> Column:
+    """The value at `$a.b.c`."""
+    names = [n for n in path.removeprefix(ROOT).split(".") if n]
+    value = F.col(f"`{names[0]}`")
+    for name in names[1:]:
+        if not null_safe:
+            value = F.when(value.isNull(), F.raise_error(F.lit(f"{path} lies below a null"))).otherwise(value)
+        value = value.getField(name)
+    return value
 
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

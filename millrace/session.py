@@ -54,6 +54,14 @@ def new_shared_dir(spark: SparkSession, purpose: str) -> str:
     return shared_dir(spark, "millrace", f"{purpose}-{uuid.uuid4().hex}")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder below the shared one when nothing needs it any more."""
+    if not folder.startswith(shared_dir(spark, "millrace")):
+        raise ValueError(f"{folder} is not a working folder")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
     """The rows as a table in the shared folder: they survive the loss of the executors that made
     them, and the plans built on them know their size."""

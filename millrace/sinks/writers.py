@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import new_shared_dir, remove
 
 log = logging.getLogger("millrace")
 
@@ -76,8 +76,10 @@ def truncate_load(df: DataFrame, table: str) -> None:
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
         raise StepFailed(f"load {table}", "the table does not exist")
-    ready = cut_lineage(df.select(*spark.table(table).columns), "load")
-    ready.write.insertInto(table, overwrite=True)
+    folder = new_shared_dir(spark, "load")
+    df.select(*spark.table(table).columns).write.parquet(folder)
+    spark.read.schema(spark.table(table).schema).parquet(folder).write.insertInto(table, overwrite=True)
+    remove(spark, folder)
 
 
 def jdbc_load(df: DataFrame, url: str, table: str, properties: dict[str, str], truncate: bool = False) -> None:
@@ -86,8 +88,13 @@ def jdbc_load(df: DataFrame, url: str, table: str, properties: dict[str, str], t
     writer.jdbc(url, table, properties=properties)
 
 
+#: Quotes inside a field are doubled, in what is written and what is read.
+CSV_QUOTES = {"quote": '"', "escape": '"'}
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", header).csv(path)
+    """Fields may hold quotes, and line breaks too: read those with `files.read_csv(multi_line=True)`."""
+    df.write.mode(mode).options(header=header, **CSV_QUOTES).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -106,17 +113,22 @@ def observed_write(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
 
 
 def write_error_report(df: DataFrame, folder: str, name: str = "error_reports") -> str:
-    """CSV whose name tells the row count; when that write fails, once more under an `error_` name."""
-    file_name = f"{name}_error_{df.count()}_rows.csv"
+    """CSV whose name tells the row count; when that write fails, once more under an `error_` name. The rows are
+    computed once: into a table of the shared folder, whose write gives the count."""
+    kept = new_shared_dir(df.sparkSession, "errors")
+    rows = observed_write(df, lambda d: d.write.parquet(kept))
+    df = df.sparkSession.read.schema(df.schema).parquet(kept)
+    file_name = f"{name}_error_{rows}_rows.csv"
     path = f"{folder}/{file_name}"
     try:
-        df.write.option("header", True).csv(path)
+        write_csv(df, path, mode="errorifexists")
         log.info("error report written: %s", path)
     except Exception as error:
         log.error("error report not written to %s: %s", path, error)
         path = f"{folder}/error_{file_name}"
-        df.write.option("header", True).csv(path)
+        write_csv(df, path, mode="errorifexists")
         log.info("error report written: %s", path)
+    remove(df.sparkSession, kept)
     return path
 
 
@@ -130,8 +142,9 @@ def csv_format(df: DataFrame, sep: str = ",", quote: str = '"', header: bool = F
     body = df.select(csv_line([f"`{c}`" for c in df.columns], sep, quote).alias(column))
     if not header:
         return body
-    names = sep.join(df.columns)
-    top = df.sparkSession.range(1).select(F.lit(names).alias(column), F.lit(True).alias("is_header"))
+    names = F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    line = F.to_csv(names, {"sep": sep, "quote": quote, "escape": quote})
+    top = df.sparkSession.range(1).select(line.alias(column), F.lit(True).alias("is_header"))
     return top.union(body.withColumn("is_header", F.lit(False)))
 
 

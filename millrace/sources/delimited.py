@@ -22,6 +22,14 @@ CORRUPT = "_corrupt"
 MARK_UTF8 = "EFBBBF"
 MARK_UTF16_LE = "FFFE"
 MARK_UTF16_BE = "FEFF"
+#: The charset is told by the mark.
+AUTO = "auto-bom"
+
+# UTF-16 in hexadecimal digits, by byte order: units outside the surrogates, or pairs of them.
+_PAIRED = {
+    MARK_UTF16_BE: r"(?:[0-9A-CEF][0-9A-F]{3}|D[0-7][0-9A-F]{2}|D[89AB][0-9A-F]{2}D[CDEF][0-9A-F]{2})*+",
+    MARK_UTF16_LE: r"(?:[0-9A-F]{2}[0-9A-CEF][0-9A-F]|[0-9A-F]{2}D[0-7]|[0-9A-F]{2}D[89AB][0-9A-F]{2}D[CDEF])*+",
+}
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -51,25 +59,87 @@ def parse_delimited(
     header: bool = False,
     skip_lines: int = 0,
     trim: bool = True,
-    charset: str = "utf-8",
+    charset: str = AUTO,
     multi_line: bool = False,
 ) -> DataFrame:
     """Files -> declared columns plus `_corrupt`; part it with `operators.routing.split_errors`.
 
-    UTF-8 files (with or without mark) go through the CSV scan, which splits large files among
-    tasks and can leave out one line at the top of each. More skipped lines, or an encoding that
-    only the mark tells (`auto-bom`), need the whole file in one row: for files below 2 GB.
+    The first `skip_lines` lines of each file, blank ones too, and then one more for a `header` are left
+    out; blank lines further on are no records. Lines with bytes that are no text have `_corrupt`.
+
+    UTF-8 files are scanned by lines, so large files are split among tasks. With `auto-bom`, the default, the
+    starts of the files are read once before, to find those with a UTF-16 mark. These, and files of any
+    other charset, are read whole, one row each: for files below 2 GB. The top lines are looked for in
+    the first split of a file.
+
+    `multi_line` takes quoted fields with line breaks: each file then goes through one task, and lines
+    cannot be skipped but for a header.
     """
     top = skip_lines + int(header)
-    if charset.lower() == "utf-8" and top <= 1:
+    paths = [path] if isinstance(path, str) else list(path)
+    if multi_line:
+        if skip_lines or charset.lower() == AUTO:
+            raise ValueError("multi_line needs a charset and takes no skip_lines")
         reader = spark.read.schema(text_schema(columns)).options(**parse_options(sep, quote, escape, trim))
-        return reader.option("header", top == 1).option("multiLine", multi_line).csv(path)
-    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
-    if charset == "auto-bom":
-        texts = decode_bytes(files.select("path", "content"))
-    else:
-        texts = files.select("path", F.decode("content", charset).alias("text"))
-    return parse_text(texts, "text", columns, sep, quote, escape, skip_lines=top, trim=trim).select(*columns, CORRUPT)
+        return reader.options(header=header, multiLine=True, encoding=charset).csv(paths)
+    if charset.lower() == "utf-8":
+        return _parse_scanned(spark, paths, columns, sep, quote, escape, top, trim)
+    if charset.lower() != AUTO:
+        files = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", charset).alias("text"))
+        return _parse_whole(files, columns, sep, quote, escape, top, trim)
+    # As for every scan, the driver holds the list of the files.
+    starts = _numbered_lines(spark, paths).filter("_start = 0").groupBy("_file").agg(
+        F.min_by(F.hex(F.substring(F.col("_line").cast("binary"), 1, 2)), "_id").alias("mark")
+    )
+    wide = [r["_file"] for r in starts.filter(F.col("mark").isin(MARK_UTF16_LE, MARK_UTF16_BE)).collect()]
+    if not wide:
+        return _parse_scanned(spark, paths, columns, sep, quote, escape, top, trim)
+    files = spark.read.format("binaryFile").load(wide)
+    texts = decode_bytes(files.select("path", "content"))
+    found = _parse_whole(texts, columns, sep, quote, escape, top, trim)
+    rest = [r["_file"] for r in starts.filter(~F.col("mark").isin(MARK_UTF16_LE, MARK_UTF16_BE)).collect()]
+    if rest:
+        found = found.unionByName(_parse_scanned(spark, rest, columns, sep, quote, escape, top, trim))
+    return found
+
+
+def _numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """`_file, _start, _id, _line`: lines as they are, with the start of their split and numbers that rise by one
+    from line to line within a split."""
+    lines_ = spark.read.text(paths)
+    meta = F.col("_metadata")
+    return lines_.select(
+        meta["file_path"].alias("_file"),
+        meta["file_block_start"].alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.col("value").alias("_line"),
+    )
+
+
+def _parse_scanned(spark, paths, columns, sep, quote, escape, top, trim) -> DataFrame:
+    rows = _numbered_lines(spark, paths)
+    if top:
+        first = rows.filter("_start = 0").groupBy("_file").agg(F.min("_id").alias("_first"))
+        rows = rows.join(first, "_file", "left")
+        rows = rows.filter((F.col("_start") > 0) | (F.col("_id") >= F.col("_first") + top))
+    mark = F.substring(F.col("_line").cast("binary"), 1, 3) == F.unhex(F.lit(MARK_UTF8))
+    raw = F.col("_line").cast("binary")
+    line = F.when((F.col("_start") == 0) & mark, F.substring(raw, 4, 2**31 - 1)).otherwise(raw).cast("string")
+    valid = F.is_valid_utf8("_line")
+    rows = rows.select(line.alias("_line"), valid.alias("_valid"))
+    rows = rows.select("_valid", F.make_valid_utf8("_line").alias("_line")).filter(F.trim("_line") != "")
+    parsed = with_parsed_line(rows, "_line", columns, sep, quote, escape, trim)
+    bad = F.when(~F.col("_valid"), F.col("_line")).otherwise(F.col(CORRUPT))
+    kept = [F.when(F.col("_valid"), F.col(f"`{c}`")).alias(c) for c in columns]
+    return parsed.select(*kept, bad.alias(CORRUPT))
+
+
+def _parse_whole(texts: DataFrame, columns, sep, quote, escape, top, trim) -> DataFrame:
+    """Rows of decoded files; a file that could not be decoded is one bad row with its path."""
+    good = parse_text(texts.filter("text is not null"), "text", columns, sep, quote, escape, skip_lines=top, trim=trim)
+    none = [F.lit(None).cast("string").alias(c) for c in columns]
+    bad = texts.filter("text is null").select(*none, F.concat(F.lit("undecodable file "), "path").alias(CORRUPT))
+    return good.select(*columns, CORRUPT).unionByName(bad)
 
 
 def parse_text(
@@ -120,6 +190,10 @@ def decode_bytes(df: DataFrame, content: str = "content", text: str = "text") ->
     """Bytes -> text without mark. Bytes that are no valid text give a null, for the error view."""
     raw = F.col(content)
     as_utf8 = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    as_utf16 = F.when(F.octet_length(raw) % 2 == 0, F.decode(raw, "UTF-16"))
+    digits = F.hex(raw)
+    paired = F.when(digits.startswith(MARK_UTF16_LE), digits.rlike(rf"\A{_PAIRED[MARK_UTF16_LE]}\z")).otherwise(
+        digits.rlike(rf"\A{_PAIRED[MARK_UTF16_BE]}\z")
+    )
+    as_utf16 = F.when(paired, F.decode(raw, "UTF-16"))
     decoded = F.when(detected_charset(raw) == "UTF-16", as_utf16).otherwise(as_utf8)
     return df.withColumn(text, F.regexp_replace(decoded, "\\A\ufeff", "")).drop(content)

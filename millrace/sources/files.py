@@ -33,10 +33,16 @@ def find_file(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, infer: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    header: bool = True,
+    infer: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Without a schema all columns are texts; `infer` reads the data once more to find types."""
-    reader = spark.read.option("header", header)
+    """Without a schema all columns are texts; `infer` reads the data once more to find types. `multi_line` takes
+    fields with line breaks; a file is then read by one task. Doubled quotes are one quote."""
+    reader = spark.read.options(header=header, multiLine=multi_line, quote='"', escape='"')
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", infer).csv(path)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.routing import with_export_flag
+from millrace.sources.delimited import decode_bytes
 
-TEXT_FILES = "value string"
+BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def new_files(
@@ -19,18 +20,18 @@ def new_files(
     retired_to: str | None = None,
     max_files: int = 10_000,
 ) -> DataFrame:
-    """Stream of `path, modified, text`. `retire`: `delete` or `archive` (then `retired_to` is the
-    folder) once a batch has been finished; files of the last batch go in the next run."""
-    reader = spark.readStream.schema(TEXT_FILES).option("wholetext", True).option("maxFilesPerTrigger", max_files)
+    """Stream of `path, modified, text`; bytes that are no text give a null. `retire`: `delete` or `archive`
+    (then `retired_to` is the folder) once a batch has been finished; files of the last batch go in the
+    next run."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILES).option("maxFilesPerTrigger", max_files)
     if retire:
         reader = reader.option("cleanSource", retire)
     if retired_to:
         reader = reader.option("sourceArchiveDir", retired_to)
-    return reader.format("text").load(folder).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        F.col("value").alias("text"),
+    files = reader.load(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("modificationTime").alias("modified"), "content"
     )
+    return decode_bytes(files)
 
 
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -56,15 +56,23 @@ def roundtrip_csv(spark, sf):
     return files.read_csv(spark, folder, orders.schema)
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation, (SELECT count(*) AS n FROM customer) WHERE n > 0")
+@query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def roundtrip_csv_inferred(spark, sf):
-    """Types found by one more pass over the files; all nations that have customers."""
+    """Types found by one more pass over the files."""
     folder = new_shared_dir(spark, "csv-inferred")
-    customers = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
-    writers.write_csv(table(spark, sf, "nation").join(customers, "n_nationkey", "left_semi"), folder)
+    writers.write_csv(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), folder)
     return files.read_csv(spark, folder, infer=True)
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def roundtrip_csv_texts(spark, sf):
+    """Whole texts with line breaks, quotes and backslashes."""
+    folder = new_shared_dir(spark, "csv-texts")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    writers.write_csv(docs, folder)
+    return files.read_csv(spark, folder, docs.schema, multi_line=True)
+
+
 @query(ORDERS_SQL)
 def roundtrip_json(spark, sf):
     folder, orders = new_shared_dir(spark, "json"), table(spark, sf, "orders")

@@ -31,29 +31,34 @@ def customer_files(spark, sf):
 
 
 def finished_requests(spark, sf):
-    """Every customer of the upper nations with the number of its finished dear orders, which may be 0."""
-    dear = table(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_totalprice > 250000")
-    counts = dear.groupBy(F.col("o_custkey").alias("FileId")).agg(F.count(F.lit(1)).alias("n"))
-    listed = table(spark, sf, "customer").filter("c_nationkey > 3").select(F.col("c_custkey").alias("FileId"))
+    """Every customer but those in debt, with the number of its finished orders, which may be 0."""
+    orders = table(spark, sf, "orders")
+    done = F.count(F.when(F.col("o_orderstatus") == "F", 1))
+    counts = orders.groupBy(F.col("o_custkey").alias("FileId")).agg(done.alias("n"))
+    rest = table(spark, sf, "customer").select(F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).alias("FileId"))
+    listed = rest.filter("FileId IS NOT NULL")
     return listed.join(counts, "FileId", "left").select("FileId", F.coalesce("n", F.lit(0)).alias("requestCount"))
 
 
 REQUESTS_SQL = """
 SELECT c_custkey AS id, c_name AS file_name, coalesce(n, 0) AS cnt
-FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000 GROUP BY 1)
-ON o_custkey = c_custkey WHERE c_nationkey > 3
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS n FROM orders GROUP BY 1)
+ON o_custkey = c_custkey WHERE c_acctbal >= 0
 """
 FOOT_SQL = """'<p>Executed on: ' || strftime(TIMESTAMP '2024-07-15 13:05:09', '%Y-%m-%d %I:%M:%S %p')
   || '</p><p>Executed by: operator</p><p>Archived files: \\out\\archive\\202407</p><p>Process: nightly</p></body></html>'"""
 
 
+BODY_SQL = f"""CASE WHEN cnt > 0 THEN '<html><body>The export completed.<br>Server: files.example.org<br>File: ' || file_name
+  || '<br>Rows: ' || cnt || '<br>' ELSE '<html><body>Nothing was exported because of validation errors.<br>' END || {FOOT_SQL}"""
+
+
 @query(
     f"""
 SELECT id AS "FileId", file_name, cnt AS "RequestCount", CASE WHEN cnt > 0 THEN 'output0' ELSE 'output1' END AS route,
        'flowTest@example.org' AS sender, 'a' || id || '@example.org,b@example.org' AS receiver,
        CASE WHEN cnt > 0 THEN 'Export completed' ELSE 'Export warning' END AS subject,
-       CASE WHEN cnt > 0 THEN '<html><body>The export completed.<br>Server: files.example.org<br>File: ' || file_name || '<br>Rows: ' || cnt || '<br>'
-            ELSE '<html><body>Nothing was exported because of validation errors.<br>' END || {FOOT_SQL} AS body,
+       {BODY_SQL} AS body,
        'HTML text' AS message_type, 100 AS batch_size, 3 AS retries
 FROM ({REQUESTS_SQL})
 """
@@ -67,7 +72,7 @@ def outbox_messages(spark, sf):
 
 @query(
     f"""
-SELECT id AS "FileId", CASE WHEN cnt > 0 THEN 'Export completed' ELSE 'Export warning' END || chr(10) || 'x' AS content
+SELECT id AS "FileId", CASE WHEN cnt > 0 THEN 'Export completed' ELSE 'Export warning' END || chr(10) || {BODY_SQL} AS content
 FROM ({REQUESTS_SQL}) WHERE cnt > 0
 """
 )
@@ -75,7 +80,7 @@ def outbox_content(spark, sf):
     """Only messages with a sender have content."""
     run, facts = run_facts()
     counted = with_request_count(customer_files(spark, sf), finished_requests(spark, sf))
-    sent = messages(counted, notices(facts), run).withColumn("body", F.lit("x"))
+    sent = messages(counted, notices(facts), run)
     return with_content(sent.withColumn("sender", F.when(F.col("RequestCount") > 0, F.col("sender")))).select("FileId", "content")
 
 

@@ -64,12 +64,13 @@ WIDGET = "dbutils.widgets.get"
 
 @query(
     f"""
-SELECT doc_id, CASE doc_id % 3
+SELECT doc_id, CASE doc_id % 5
   WHEN 0 THEN 'mail.send(server={WIDGET}("Email_Server"), PORT = {WIDGET}("Email_Port"), user=' || email_user || ', password=' || email_password || ')'
   WHEN 1 THEN 'smb.connect(host={WIDGET}("SMB_Host"), share={WIDGET}("SMB_Share"), port={WIDGET}("SMB_Port"), user=' || smb_user || ', password=' || smb_password || ')'
-  ELSE 'spark.read.option("password", ' || ftp_password || ').option( "user" ,' || ftp_user || '); ftp(Host={WIDGET}("FTP_Host"), port="x")' END
+  WHEN 2 THEN 'spark.read.option("password", ' || ftp_password || ').option( "user" ,' || ftp_user || '); ftp(Host={WIDGET}("FTP_Host"), port="x")'
+  ELSE 'jdbc(password=' || replace(ftp_password, 'ftp', kind) || ', USER = ' || replace(ftp_user, 'ftp', kind) || ', port=1)' END
   || chr(10) || text AS code
-FROM documents, (SELECT
+FROM (SELECT *, CASE doc_id % 5 WHEN 3 THEN 'jdbc' ELSE 'unknown' END AS kind FROM documents), (SELECT
   'dbutils.secrets.get(scope="enterprise", key="email_user")' AS email_user,
   'dbutils.secrets.get(scope="enterprise", key="email_password")' AS email_password,
   'dbutils.secrets.get(scope="enterprise", key="smb_user")' AS smb_user,
@@ -93,9 +94,10 @@ def redact_secrets(spark, sf):
         F.lit('spark.read.option("password", "p'), number, F.lit('").option( "user" ,"u'), number,
         F.lit('"); ftp(Host="h'), number, F.lit('", port="x")'),
     )
-    case = F.col("doc_id") % 3
-    kind = F.when(case == 0, "email").when(case == 1, "smb").otherwise("ftp")
-    line = F.when(case == 0, email).when(case == 1, smb).otherwise(ftp)
+    other = F.concat(F.lit('jdbc(password="p'), number, F.lit('", USER = "u'), number, F.lit('", port=1)'))
+    case = F.col("doc_id") % 5
+    kind = F.when(case == 0, "email").when(case == 1, "smb").when(case == 2, "ftp").when(case == 3, "jdbc")
+    line = F.when(case == 0, email).when(case == 1, smb).when(case == 2, ftp).otherwise(other)
     code = F.concat(line, F.lit("\n"), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", "text").select("doc_id", redacted_by_kind(code, kind).alias("code"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import choice, dates, paths, text
 from millrace.functions.jsontext import is_json, is_json_object, is_pipeline_export
-from millrace.functions.redaction import redacted
+from millrace.functions.redaction import redacted, redacted_by_kind
 
 MARK = text.CELL_MARKER
 
@@ -176,3 +176,25 @@ def test_defaults(spark):
     assert [r[0] for r in rows.select(choice.in_list(x, ["a"])).collect()] == [False, False, True]
     assert [r[0] for r in rows.select(text.joined("<", x, 1, ">", null_as="")).collect()] == ["<1>", "<1>", "<a1>"]
     assert [r[0] for r in rows.select(text.joined("<", x, 1, ">")).collect()] == ["<1>", None, "<a1>"]
+
+
+def test_every_kind_loses_its_secrets(spark):
+    rows = spark.createDataFrame([(k,) for k in ("jdbc", "sftp", None, "", "a$1\\b", "email")], "kind string")
+    code = F.lit('server="s", password="x1", user="u" .option("user", "v")')
+    got = {r.kind: r.out for r in rows.select("kind", redacted_by_kind(code, F.col("kind")).alias("out")).collect()}
+    assert not any('"x1"' in out or '"u"' in out or '"v"' in out for out in got.values())
+    assert all(f'key="{kind or "unknown"}_password"' in out for kind, out in got.items())
+    assert 'server="s"' in got["jdbc"] and "Email_Server" in got["email"]
+
+
+def test_message_stamp_in_any_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000))  # 22:13:20 UTC
+    try:
+        stamps = set()
+        for zone in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            stamps.add(spark.range(1).select(dates.message_stamp(at)).first()[0])
+        assert stamps == {"2023-11-14 05:13:20 PM"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -125,3 +125,21 @@ def test_same_result_for_any_partitioning(spark):
         lambda df: aggregates.first_value(df, "id", ["k", "id"], "f"),
     ):
         assert sorted(map(tuple, op(one).collect())) == sorted(map(tuple, op(many).collect()))
+
+
+def test_mapper_leaves_siblings_of_a_nested_target(spark):
+    rows = spark.createDataFrame([(1, (2, (3, 4)), None), (5, None, "x")], "id int, home struct<a: int, b: struct<c: int, d: int>>, t string")
+    mapped = mapping.mapper(rows, [("$home.b.c", F.col("id")), ("$home.e", F.lit("new")), ("$extra.deep", F.col("t"))], pass_through=True)
+    assert [r.asDict(recursive=True) for r in mapped.orderBy("id").collect()] == [
+        {"id": 1, "home": {"a": 2, "b": {"c": 1, "d": 4}, "e": "new"}, "t": None, "extra": {"deep": None}},
+        {"id": 5, "home": {"a": None, "b": {"c": 5, "d": None}, "e": "new"}, "t": "x", "extra": {"deep": "x"}},
+    ]
+
+
+def test_mapper_paths_below_a_null(spark):
+    rows = spark.createDataFrame([(1, (2,)), (5, None)], "id int, home struct<a: int>")
+    safe = mapping.mapper(rows, [("$a", "$home.a")], null_safe=True)
+    assert sorted(r.a or 0 for r in safe.collect()) == [0, 2]
+    with pytest.raises(Exception, match="below a null"):
+        mapping.mapper(rows, [("$a", "$home.a")]).collect()
+    assert mapping.mapper(rows.limit(1), [("$a", "$home.a"), ("$id", "$id")]).first().asDict() == {"a": 2, "id": 1}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from millrace.operators.routing import split_errors
 from millrace.plans.staging_load import load_staging
 from millrace.session import new_shared_dir
+from millrace.sinks import writers
 from millrace.sinks.writers import StepFailed
 from millrace.sources import delimited, files
 from millrace.sources.tables import jdbc_options
@@ -108,3 +109,51 @@ def test_parse_text_keeps_line_numbers(spark):
     assert [tuple(r) for r in parsed.select("path", "line_no", "r", F.col("_corrupt")).collect()] == [
         ("f", 1, "x", None), ("f", 3, "y", None), ("f", 5, "z", "z^1")
     ]
+
+
+@pytest.mark.parametrize("content, options, want", [
+    ("\nfirst\nsecond\n", {"skip_lines": 1}, ["first", "second"]),
+    ("\nfirst\nsecond\n", {"skip_lines": 1, "charset": "utf-8"}, ["first", "second"]),
+    ("\nfirst\nsecond\n", {"skip_lines": 1, "header": True}, ["second"]),
+    ("\nfirst\nsecond\n", {"header": True}, ["first", "second"]),
+    ("a\nb\n".encode("utf-16"), {"header": True}, ["b"]),
+    ("\nfirst\nsecond\n".encode("utf-16"), {"skip_lines": 2}, ["second"]),
+])
+def test_top_lines_count_alike_on_every_path(spark, tmp_path, content, options, want):
+    good, bad = split_errors(delimited.parse_delimited(spark, put(tmp_path / "f.txt", content), **options))
+    assert records(good) == want and bad.count() == 0
+
+
+def test_files_of_several_charsets(spark, tmp_path):
+    put(tmp_path / "in" / "a", "eins\nä\n")
+    put(tmp_path / "in" / "b", "zwei\nö\n".encode("utf-16"))
+    put(tmp_path / "in" / "c", b"drei\nbad \x80 byte\nvier\n")
+    put(tmp_path / "in" / "d", b"\xff\xfe\x00\xd8")
+    good, bad = split_errors(delimited.parse_delimited(spark, str(tmp_path / "in")))
+    assert records(good) == ["drei", "eins", "vier", "zwei", "ä", "ö"]
+    assert sorted(r["_corrupt"][:12] for r in bad.collect()) == ["bad � byte", "undecodable "]
+
+
+def test_multi_line_records(spark, tmp_path):
+    path = put(tmp_path / "f.txt", 'x\n"a\nb"\nc\n')
+    good, bad = split_errors(delimited.parse_delimited(spark, path, header=True, multi_line=True, charset="utf-8"))
+    assert records(good) == ["a\nb", "c"] and bad.collect() == []
+    with pytest.raises(ValueError):
+        delimited.parse_delimited(spark, path, skip_lines=1, multi_line=True, charset="utf-8")
+
+
+@pytest.mark.parametrize("raw, text", [
+    (b"\xff\xfe\x00\xd8", None), (b"\xff\xfe\x00\xdc", None), (b"\xfe\xff\xd8\x00\x00a", None), (b"\xff\xfea", None),
+    ("😀a".encode("utf-16"), "😀a"), (b"\xfe\xff" + "😀é".encode("utf-16-be"), "😀é"), (b"\xff\xfe", ""),
+])
+def test_malformed_utf16_is_null(spark, raw, text):
+    rows = spark.createDataFrame([(bytearray(raw),)], "content binary")
+    assert delimited.decode_bytes(rows).first().text == text
+
+
+def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path):
+    rows = [("a\nb", "x"), ('b"', 'say ""no""'), ("c,d", "e\\"), (" f", "g ")]
+    frame = spark.createDataFrame(rows, "p string, q string")
+    writers.write_csv(frame, str(tmp_path / "out"))
+    back = files.read_csv(spark, str(tmp_path / "out"), "p string, q string", multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted((p.strip(" "), q.strip(" ")) for p, q in rows)
