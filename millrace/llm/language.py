@@ -154,13 +154,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """Fits the network on a bounded sample: of each label, the `rows_per_language` labelled rows outside the held-out
     part that come first by a hash, and of each a piece of `PIECE` characters. Rows without text or label are passed over."""
     usable = ~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()
-    rows = docs.where(usable).select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    share = docs.where(usable).groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
-    key = F.xxhash64(F.col("id"), F.lit(seed))
-    piece = F.substr("text", F.lit(1) + F.pmod(key, F.greatest(F.length("text") - PIECE, F.lit(1))).cast("int"), F.lit(PIECE))
-    # the hash filter alone leaves four times as many rows as are taken
-    early = (key.cast("double") / F.lit(2.0**64) + 0.5) * F.col("n") < 4.0 * rows_per_language
-    near = rows.join(share, "label").where(early).select("label", key.alias("key"), piece.alias("piece"))
+    # a row for each label, of which the network holds weights anyway
+    held = {r[0]: r[1] for r in docs.where(usable).groupBy(label_col).count().collect()}
+    if not held:
+        return fit([], [], seed=seed)
+    key = F.xxhash64(F.col(id_col), F.lit(seed))
+    piece = F.substr(F.col(text_col), F.lit(1) + F.pmod(key, F.greatest(F.length(text_col) - PIECE, F.lit(1))).cast("int"), F.lit(PIECE))
+    # this filter alone leaves about four times as many rows as are taken
+    share = F.create_map(*[F.lit(x) for k, n in held.items() for x in (k, 4.0 * rows_per_language / n)])[F.col(label_col)]
+    early = key.cast("double") / F.lit(2.0**64) + 0.5 < share
+    near = docs.where(usable & early).select(F.col(label_col).alias("label"), key.alias("key"), piece.alias("piece"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("key", "piece")))
     taken = ranked.where(F.col("rank") <= rows_per_language).orderBy("label", "rank").select("label", "piece").collect()
     return fit([r.piece for r in taken], [r.label for r in taken], seed=seed)
