@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.rows import first_by_hash
+
 #: Pages from whose own marks the field is fitted, at most, and pages that are set anew from their texts.
 LABELLED_PAGES = 300
 LAYOUTS = 300
@@ -268,11 +270,11 @@ def layout(rng: random.Random, texts: list[str]) -> tuple[list[Block], list[bool
     return found, [b.text in own and not outside & set(b.features) for b in found]
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", labelled: int = LABELLED_PAGES, layouts: int = LAYOUTS, seed: int = 5) -> Field:
-    """Fits the field on at most `labelled` pages, those that come first by a hash of the id: their authors' own marks are
+def train(pages: DataFrame, html_col: str = "html", labelled: int = LABELLED_PAGES, layouts: int = LAYOUTS, seed: int = 5) -> Field:
+    """Fits the field on at most `labelled` pages, those that come first by a hash: their authors' own marks are
     the labels. As many texts of these pages are set into `layouts` further pages whose labels are known, with the
     names that sites use for their parts. A table without pages gives a field that takes nothing."""
-    some = pages.where(F.length(html_col) > 0).orderBy(F.xxhash64(id_col), html_col).limit(labelled).select(html_col).collect()
+    some = first_by_hash(pages.where(F.length(html_col) > 0).select(html_col), labelled, html_col).collect()
     parsed = [blocks(r[0]) for r in some]
     marked = [(p, y) for p in parsed if (y := own_labels(p))]
     texts = sorted({b.text for p in parsed for b in p})
