@@ -49,8 +49,12 @@ def parse_exports(files: DataFrame, key: str = "path", text: str = "text", field
 
     Only the given top-level fields are parsed (all by default); the parser skips the others.
     """
+    return files.select(F.col(key), export_record(F.col(text), fields).alias("doc"))
+
+
+def export_record(text: Column, fields: Sequence[str] = ()) -> Column:
     kinds = ", ".join(f"{f}: {EXPORT_FIELDS[f]}" for f in fields or EXPORT_FIELDS)
-    return files.select(F.col(key), F.from_json(F.col(text), f"struct<{kinds}>").alias("doc"))
+    return F.from_json(text, f"struct<{kinds}>")
 
 
 def steps(docs: DataFrame, key: str = "path") -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import cut_lineage, new_shared_dir
+
 # What to drop at the root, in each step, and at every depth of a step.
 ROOT_KEYS = ("render_map", "job_stats")
 STEP_KEYS = ("view",)
@@ -29,16 +31,20 @@ def slim_json():
     def slim(text):
         try:
             doc = json.loads(text)
-        except (TypeError, ValueError):
-            return None
-        if not isinstance(doc, dict):
+            return slimmed(doc) if isinstance(doc, dict) else None
+        except (TypeError, ValueError, RecursionError):
+            # No JSON, deeper than Python's parser goes, or half of a surrogate pair, which no text can hold.
             return None
+
+    def slimmed(doc):
         doc = without(doc, root_keys, False)
         if isinstance(doc.get("snaps"), list):
             doc["snaps"] = [without(step, step_keys, False) for step in doc["snaps"]]
         if isinstance(doc.get("snap_map"), dict):
             doc["snap_map"] = {k: without(step, deep_keys, True) for k, step in doc["snap_map"].items()}
-        return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
+        text = json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
+        text.encode()
+        return text
 
     def slim_batch(texts: pd.Series) -> pd.Series:
         return texts.map(slim)
@@ -56,29 +62,41 @@ def strip_layout(files: DataFrame, text: str = "text") -> DataFrame:
     return files.withColumn(text, slim_json()(F.col(text)))
 
 
-def layout_free_values(named_steps: DataFrame, depth: int = 12, key: str = "path") -> DataFrame:
+def layout_free_values(named_steps: DataFrame, levels: int = 6, key: str = "path") -> DataFrame:
     """`key, position, step_id, place, value`: each innermost setting value by its place (`a.b[0].c`).
 
-    One generator per level of nesting, no shuffle; settings nested deeper than `depth` are an error.
+    One generator per level of nesting, no shuffle. `levels` are taken in one pass; its write tells
+    whether values lie deeper, and only those go through another one. A step without settings has one
+    row with an empty place; one that has canvas keys only has none.
     """
-    tvf = named_steps.sparkSession.tvf
+    spark = named_steps.sparkSession
     own = [key, "position", "step_id"]
+    found = new_shared_dir(spark, "values")
     rows = named_steps.select(*own, F.lit("").alias("_at"), F.col("settings").alias("_node"))
-    for _ in range(depth):
-        # A value that is no list or object, or is empty, gives one row without key and value.
-        rows = rows.lateralJoin(tvf.variant_explode_outer(F.col("_node").outer()).alias("e"))
-        rows = rows.filter(F.col("e.key").isNull() | ~F.col("e.key").isin(*DEEP_KEYS))
-        in_list = F.concat("_at", F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))
-        in_object = F.concat_ws(".", F.nullif(F.col("_at"), F.lit("")), "e.key")
-        inner = F.col("e.value").isNotNull()
-        rows = rows.select(
-            *own,
-            F.when(inner, F.when(F.col("e.key").isNull(), in_list).otherwise(in_object)).otherwise(F.col("_at")).alias("_at"),
-            F.when(inner, F.col("e.value")).otherwise(F.col("_node")).alias("_node"),
-        )
-    kind = F.schema_of_variant("_node")
-    too_deep = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | (kind.startswith("ARRAY<") & (kind != "ARRAY<VOID>"))
-    text = F.when(too_deep, F.raise_error(F.lit(f"settings nest deeper than {depth} levels"))).otherwise(
-        F.col("_node").cast("string")
+    while True:
+        for _ in range(levels):
+            rows = _one_level(rows, own)
+        kind = F.schema_of_variant("_node")
+        deep = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | (kind.startswith("ARRAY<") & (kind != "ARRAY<VOID>"))
+        seen = Observation()
+        rows = rows.withColumn("_deep", F.coalesce(deep, F.lit(False)))
+        rows = cut_lineage(rows.observe(seen, F.count_if("_deep").alias("deep")), "values")
+        done = rows.filter("not _deep").select(*own, F.col("_at").alias("place"), F.col("_node").cast("string").alias("value"))
+        done.write.mode("append").parquet(found)
+        if not seen.get["deep"]:
+            return spark.read.schema(done.schema).parquet(found)
+        rows = rows.filter("_deep").drop("_deep")
+
+
+def _one_level(rows: DataFrame, own: list[str]) -> DataFrame:
+    # A value that is no list or object, or is empty, gives one row without key and value.
+    rows = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_node").outer()).alias("e"))
+    rows = rows.filter(F.col("e.key").isNull() | ~F.col("e.key").isin(*DEEP_KEYS))
+    in_list = F.concat("_at", F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))
+    in_object = F.concat_ws(".", F.nullif(F.col("_at"), F.lit("")), "e.key")
+    inner = F.col("e.value").isNotNull()
+    return rows.select(
+        *own,
+        F.when(inner, F.when(F.col("e.key").isNull(), in_list).otherwise(in_object)).otherwise(F.col("_at")).alias("_at"),
+        F.when(inner, F.col("e.value")).otherwise(F.col("_node")).alias("_node"),
     )
-    return rows.select(*own, F.col("_at").alias("place"), text.alias("value"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, new_shared_dir
 
 
 def step_depth(
@@ -23,7 +21,8 @@ def step_depth(
     Peels the graphs level by level: steps without incoming links are ready, their outgoing links
     are taken away, and steps that thereby lost their last incoming link are ready next. A level is
     one round over the links that are left, written to the shared folder, so the rounds number the
-    levels of the deepest graph. A step lies one below the last level that took a link to it away.
+    levels of the deepest graph, and a graph that is done drops out. What the levels took goes to one
+    table, so the result is planned alike for every depth. A step lies one below the last level that took a link to it away.
     Steps on or behind a cycle keep a link: their depth is null. `steps` adds steps that no link names.
     """
     left = cut_lineage(links.select(F.col(graph), F.col(src).alias("_src"), F.col(dst).alias("_dst")), "links")
@@ -31,13 +30,14 @@ def step_depth(
     if steps is not None:
         seen = seen.unionByName(steps.select(graph, F.col(step).alias("_step"), F.lit(False).alias("_waits")))
     starts = ready = _not_waiting(seen, graph)
-    taken, level = [], 0
+    taken, level = new_shared_dir(links.sparkSession, "levels"), 0
     while True:
         marks = ready.select(graph, F.col("_step").alias("_src"), F.lit(True).alias("_gone"))
         counted = Observation()
         counts = F.count(F.lit(1)).alias("links"), F.count("_gone").alias("gone")
         marked = cut_lineage(left.join(marks, [graph, "_src"], "left").observe(counted, *counts), "links")
-        taken.append(marked.filter("_gone").select(graph, F.col("_dst").alias(step), F.lit(level).alias("_level")))
+        gone = marked.filter("_gone").select(graph, F.col("_dst").alias(step), F.lit(level).alias("_level"))
+        gone.write.mode("append").parquet(taken)
         left = marked.filter("_gone is null").drop("_gone")
         found = counted.get
         if found["gone"] in (0, found["links"]):
@@ -47,7 +47,7 @@ def step_depth(
         )
         level += 1
 
-    incoming = reduce(DataFrame.unionByName, taken).unionByName(
+    incoming = links.sparkSession.read.schema(gone.schema).parquet(taken).unionByName(
         left.select(graph, F.col("_dst").alias(step), F.lit(None).cast("int").alias("_level"))
     )
     below = F.when(F.bool_and(F.col("_level").isNotNull()), F.max("_level") + 1).alias("depth")

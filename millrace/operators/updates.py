@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 
 def mark_matched(df: DataFrame, keys: DataFrame, on: Sequence[str], column: str) -> DataFrame:
     """All rows, with a column that tells whether the key is in `keys`."""
@@ -22,6 +24,15 @@ def update_matched(df: DataFrame, keys: DataFrame, on: Sequence[str], changes: d
     return marked.withColumns({**changed, **added}).select(*df.columns, *added)
 
 
+def with_destination(queue: DataFrame, done: DataFrame, on: Sequence[str], column: str = "destination") -> DataFrame:
+    """All rows of the queue in one pass, with `log` or `queue` as the place where each belongs now."""
+    marked = mark_matched(queue, done, on, "_done")
+    return marked.select(*queue.columns, F.when(F.col("_done"), "log").otherwise("queue").alias(column))
+
+
 def move_matched(queue: DataFrame, done: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows for the log, remaining queue): the log is to be appended, the queue replaced."""
-    return queue.join(done, list(on), "left_semi"), queue.join(done, list(on), "left_anti")
+    """(rows for the log, remaining queue): the log is to be appended, the queue replaced. Both come from one
+    join, whose rows are written once to the shared folder."""
+    sent = cut_lineage(with_destination(queue, done, on, "_destination"), "moved")
+    log, rest = (sent.filter(F.col("_destination") == d).select(*queue.columns) for d in ("log", "queue"))
+    return log, rest

@@ -33,20 +33,20 @@ def files_with_text(files: DataFrame) -> DataFrame:
 
 
 def catalog(files: DataFrame, key: str = "path", text: str = "text") -> Catalog:
-    """All tables from one reading of the files: the triaged texts are written to the shared folder,
-    parted into exports and junk, and each table parses the fields it needs."""
-    flagged = cut_lineage(with_export_flag(files.select(key, text), text, "_ok"), "triaged")
-    valid, junk = flagged.filter("_ok").drop("_ok"), flagged.filter("not _ok").drop("_ok")
-
-    def docs(fields):
-        return exports.parse_exports(valid, key, text, fields)
-
-    steps = exports.minimised_steps(docs(exports.STEP_FIELDS), key)
+    """All tables from one reading of the files: each text is tested and parsed once, and the records go to
+    the shared folder, with the text only where it is junk. The tables read the fields they need."""
+    flagged = with_export_flag(files.select(key, text), text, "_ok")
+    fields = (*exports.STEP_FIELDS, *exports.LINK_FIELDS, *exports.PARAMETER_FIELDS, *exports.NAME_FIELDS)
+    record = exports.export_record(F.col(text), tuple(dict.fromkeys(fields)))
+    doc, rest = F.when(F.col("_ok"), record).alias("doc"), F.when(~F.col("_ok"), F.col(text)).alias(text)
+    parsed = cut_lineage(flagged.select(key, "_ok", doc, rest), "parsed")
+    docs, junk = parsed.filter("_ok").select(key, "doc"), parsed.filter("not _ok").select(key, text)
+    steps = exports.minimised_steps(docs, key)
     return Catalog(
-        pipelines=exports.pipeline_name(docs(exports.NAME_FIELDS), key),
+        pipelines=exports.pipeline_name(docs, key),
         steps=classify_by_substring(steps, "name", "class_id"),
-        links=exports.links(docs(exports.LINK_FIELDS), key),
-        parameters=exports.parameters(docs(exports.PARAMETER_FIELDS), key),
+        links=exports.links(docs, key),
+        parameters=exports.parameters(docs, key),
         settings=exports.settings_long(steps, key),
         junk=junk,
     )
@@ -54,8 +54,7 @@ def catalog(files: DataFrame, key: str = "path", text: str = "text") -> Catalog:
 
 def steps_in_order(found: Catalog, key: str = "path") -> DataFrame:
     """Steps with their level in the graph: the order in which data flows, not the order in the file."""
-    steps = cut_lineage(found.steps, "steps")
-    return steps.join(step_depth(found.links, graph=key, steps=steps), [key, "step_id"], "left")
+    return found.steps.join(step_depth(found.links, graph=key, steps=found.steps), [key, "step_id"], "left")
 
 
 def quarantine_names(junk: DataFrame, order: list[str], taken: DataFrame | None = None, key: str = "path") -> DataFrame:

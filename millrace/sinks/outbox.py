@@ -36,6 +36,10 @@ class Run:
     archive_folder: Column
     process: Column
     at: Column
+    cc: Column | None = None
+    bcc: Column | None = None
+    #: Paths of files, parted by semicolons like recipients.
+    attachments: Column | None = None
 
 
 def sender_address(prefix: str, environment: Column, domain: str) -> Column:
@@ -74,10 +78,16 @@ def notification_rows(df: DataFrame, notice: Notice, run: Run) -> DataFrame:
 
 
 def _messages(df: DataFrame, subject: Column, body: Column, run: Run) -> DataFrame:
+    def listed(value: Column | None) -> Column:
+        return F.lit(None).cast("string") if value is None else recipient_list(value)
+
     return df.select(
         "*",
         run.sender.alias("sender"),
         recipient_list(run.recipients).alias("receiver"),
+        listed(run.cc).alias("cc"),
+        listed(run.bcc).alias("bcc"),
+        listed(run.attachments).alias("attachments"),
         subject.alias("subject"),
         body.alias("body"),
         F.lit(MESSAGE_TYPE).alias("message_type"),

@@ -12,7 +12,7 @@ from millrace.operators.graph import step_depth
 from millrace.operators.routing import with_export_flag
 from millrace.operators.sets import union
 from millrace.plans.intake import catalog as build_catalog
-from millrace.plans.intake import steps_in_order
+from millrace.plans.intake import quarantine_names, steps_in_order
 from millrace.session import new_shared_dir
 from millrace.sources.exports import read_pipeline_exports
 from queries.registry import query, table
@@ -83,9 +83,18 @@ WHERE p_partkey % 2 = 0
 """
 
 
-@query(NAMES_SQL)
+SETTINGS_SQL = """CASE mark
+  WHEN 'c' THEN '{"passThrough":{"value":false},"table":{"value":[{"to":{"value":"$n"},"x":1}]}}'
+  WHEN 'a' THEN '{"filePath":{"expression":true,"value":"_dir + ' || chr(39) || p_name || chr(39) || '"},"retries":{"expression":false,"value":' || p_size || '}}'
+  WHEN 'b' THEN '{"color":{"value":"red"},"delimiter":{"expression":false,"value":"^"}}'
+  WHEN 'r' THEN '{"retries":{"value":' || p_size || '}}' ELSE '{"x":{"value":2}}' END"""
+
+
+@query(NAMES_SQL.replace(" AS class_id\n", f" AS class_id, {SETTINGS_SQL} AS settings\n"))
 def catalog_steps(spark, sf):
-    return exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS)).drop("settings")
+    """Minimised steps; settings as JSON with their keys in order."""
+    steps = exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS))
+    return steps.withColumn("settings", F.to_json("settings"))
 
 
 @query(
@@ -153,9 +162,18 @@ FROM ({STEPS_SQL}) s JOIN (VALUES ('c', 'passThrough.value', 'false'), ('c', 'ta
 """
 )
 def catalog_inner_values(spark, sf):
-    """Innermost settings without canvas keys; a step left without any has no row here."""
-    values = strip.layout_free_values(exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS)), depth=6)
-    return values.filter("place <> ''")
+    """Innermost settings without canvas keys; a step of which nothing is left has no row."""
+    return strip.layout_free_values(exports.minimised_steps(docs_of(spark, sf, exports.STEP_FIELDS)))
+
+
+@query("SELECT 'p' || p_partkey AS path, repeat('a.', 20) || 'value' AS place, p_name AS value FROM part")
+def catalog_deep_values(spark, sf):
+    """Settings nested twenty deep."""
+    value = F.concat(F.lit('{"a":' * 20 + '{"value":"'), F.col("p_name"), F.lit('"}' + "}" * 20))
+    text = F.concat(F.lit('{"snaps":[{"name":"s","settings":'), value, F.lit("}]}"))
+    files = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
+    steps = exports.minimised_steps(exports.parse_exports(files, fields=exports.STEP_FIELDS))
+    return strip.layout_free_values(steps).select("path", "place", "value")
 
 
 @query(
@@ -169,11 +187,11 @@ def catalog_pipeline_names(spark, sf):
     return exports.pipeline_name(docs_of(spark, sf, exports.NAME_FIELDS))
 
 
-@query("SELECT 'in/part_' || p_partkey || '_sanitized.json' AS path, 'part_' || p_partkey AS pipeline FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT 'in/part_' || p_partkey || '_sanitized.json' AS path, 'part_' || p_partkey AS pipeline FROM part")
 def catalog_names_from_files(spark, sf):
-    """Exports whose label is empty are named by their file."""
-    unlabelled = export_files(spark, sf).withColumn("text", F.regexp_replace("text", '"value":"[^"]* & co"', '"value":""'))
-    return exports.pipeline_name(exports.parse_exports(unlabelled.filter(F.col("text").contains("snap_map"))))
+    """Exports whose label or title is empty are named by their file."""
+    empty = F.regexp_replace(F.regexp_replace("text", '"value":"[^"]* & co"', '"value":""'), '"title":"[^"]*"', '"title":""')
+    return exports.pipeline_name(exports.parse_exports(export_files(spark, sf).withColumn("text", empty)))
 
 
 @query(
@@ -229,12 +247,12 @@ def catalog_edges(spark, sf):
 SELECT n.*, CASE WHEN step_id[1] = 'a' THEN 0 WHEN step_id[1] = 'b' THEN 1 WHEN step_id[1] = 'c' THEN 2 ELSE 0 END AS depth,
        CASE class_id WHEN 'com-example-simpleread' THEN 'simpleread' WHEN 'com-example-csvparser' THEN 'csvparser'
                      WHEN 'com-example-mapper' THEN 'mapper' END AS kind
-FROM ({NAMES_SQL}) n
+FROM ({NAMES_SQL.replace(" AS class_id", f" AS class_id, {SETTINGS_SQL} AS settings")}) n
 """
 )
 def catalog_steps_in_order(spark, sf):
     """Steps with their kind and their level along the links."""
-    return steps_in_order(build_catalog(export_files(spark, sf))).drop("settings")
+    return steps_in_order(build_catalog(export_files(spark, sf))).withColumn("settings", F.to_json("settings"))
 
 
 @query(
@@ -302,6 +320,20 @@ def intake_triage(spark, sf):
     return with_export_flag(mixed_files(spark, sf)).select("path", verdict.alias("verdict"))
 
 
+@query(
+    """
+SELECT 'q/f' || p_size || '.json' AS path, p_partkey,
+       CASE WHEN n = 0 THEN 'f' || p_size || '.json' ELSE 'f' || p_size || '_' || n || '.json' END AS unique_name
+FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS n FROM part)
+"""
+)
+def quarantined_names(spark, sf):
+    """Junk files of equal names, in order of arrival."""
+    path = F.concat(F.lit("q/f"), F.col("p_size").cast("string"), F.lit(".json"))
+    junk = table(spark, sf, "part").select(path.alias("path"), "p_partkey")
+    return quarantine_names(junk, ["p_partkey"]).select("path", "p_partkey", "unique_name")
+
+
 @query(
     """
 SELECT key, count(*) AS n_files

@@ -7,6 +7,7 @@ from millrace.functions.text import lines
 from millrace.session import new_shared_dir
 from millrace.sinks import archive, writers
 from millrace.sources import files
+from millrace.sources.exports import read_pipeline_exports
 from millrace.streaming.intake import intake_to, new_files, read_intake, run_available
 from queries.registry import query, table
 
@@ -46,6 +47,67 @@ def stream_intake_files(spark, sf):
     return found
 
 
+@query("SELECT 'kept' AS part, CAST(c_custkey AS VARCHAR) AS line FROM customer UNION ALL SELECT 'files left', '0'")
+def stream_intake_retired(spark, sf):
+    """Files are deleted behind the stream, except those of its last batch, which a later run takes away."""
+    folder, target, state = (new_shared_dir(spark, name) for name in ("retire-in", "retire-out", "retire-state"))
+    table(spark, sf, "customer").select(F.col("c_custkey").cast("string")).write.text(folder)
+    before = [r.path for r in files.list_files(spark, folder).select("path").collect()]
+    run_available(new_files(spark, folder, retire="delete"), intake_to(target), state)
+    spark.range(1).select(F.lit("{}")).write.mode("append").text(folder)
+    run_available(new_files(spark, folder, retire="delete"), intake_to(target), state)
+    found = read_intake(spark, target).filter("text <> '{}\n'").select(F.lit("kept").alias("part"), F.explode(lines(F.col("text"))).alias("line"))
+    left = files.list_files(spark, folder).filter(F.col("path").isin(before)).agg(F.count(F.lit(1)).cast("string").alias("line"))
+    return found.unionByName(left.select(F.lit("files left").alias("part"), "line"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL ELSE text END AS text FROM documents")
+def read_undecodable_files(spark, sf):
+    """Files of three kinds: plain, with UTF-8 marks, and with bytes that are no text, which gives a null for the file."""
+    folder = new_shared_dir(spark, "charsets")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    for rest, name, prefix in ((0, "bad", "FF"), (1, "plain", ""), (2, "marked", "EFBBBF")):
+        own = docs.filter(F.col("doc_id") % 3 == rest)
+        raw = F.concat(F.unhex(F.lit(prefix)), F.encode(F.concat_ws("\x1d", F.col("doc_id").cast("string"), "text"), "UTF-8"))
+        own.select(raw.cast("string").alias("value")).write.mode("append").option("lineSep", "\x1e").text(f"{folder}/{name}")
+    texts = read_pipeline_exports(spark, f"{folder}/*")
+    rows = texts.filter("text IS NOT NULL").select(F.explode(F.split("text", "\x1e")).alias("row")).filter("row <> ''")
+    part = F.split(F.regexp_replace("row", "\ufeff", ""), "\x1d")
+    good = rows.select(part[0].cast("bigint").alias("doc_id"), part[1].alias("text"))
+    return docs.select("doc_id").join(good, "doc_id", "left")
+
+
+@query("SELECT count(*) AS n, 'load customers: no rows to write' AS failure, 2::BIGINT AS attempts FROM customer")
+def named_failure(spark, sf):
+    """A step that fails comes out under its name; one that fails once is tried again."""
+    customers, calls = table(spark, sf, "customer"), []
+
+    def count():
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("not yet")
+        return customers.count()
+
+    try:
+        with writers.named_step("load customers"):
+            writers.guard_non_empty(customers.filter("c_custkey < 0"), "load customers")
+    except writers.StepFailed as error:
+        failure = str(error)
+    rows = writers.with_retries(count, retries=3, interval=0)
+    facts = [F.lit(rows).cast("bigint").alias("n"), F.lit(failure).alias("failure"), F.lit(len(calls)).cast("bigint").alias("attempts")]
+    return customers.limit(1).select(*facts)
+
+
+@query("SELECT 'found' AS place, count(*) AS bytes FROM (SELECT unnest(range(sum(strlen(c_name) + 1)::BIGINT)) FROM customer) UNION ALL SELECT 'none', 0")
+def find_one_file(spark, sf):
+    folder = new_shared_dir(spark, "find")
+    table(spark, sf, "customer").select("c_name").coalesce(1).write.text(folder)
+    name = files.list_files(spark, folder).filter("file_name LIKE 'part-%'").first().file_name
+    size = F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
+    there = files.find_file(spark, folder, name).agg(size).select(F.lit("found").alias("place"), "bytes")
+    return there.unionByName(files.find_file(spark, folder, "absent").agg(size).select(F.lit("none").alias("place"), "bytes"))
+
+
 ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
 

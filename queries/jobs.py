@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.sets import union
 from millrace.plans.archive_notify import archive_and_notify, messages, notices, with_request_count
-from millrace.plans.request_export import rejected, request_export
+from millrace.plans.request_export import rejected, request_export, write_request_export
 from millrace.session import new_shared_dir
 from millrace.sinks.archive import read_archive
 from millrace.sinks.outbox import Run, sender_address, with_content
@@ -21,6 +21,9 @@ def run_facts():
         archive_folder=F.lit("/out/archive/"),
         process=F.lit("nightly"),
         at=F.lit(INSTANT).cast("timestamp"),
+        cc=F.when(F.col("FileId") % 2 == 0, F.concat(F.lit("c"), F.col("FileId").cast("string"), F.lit("@example.org"))),
+        bcc=F.lit("audit@example.org;log@example.org"),
+        attachments=F.concat(F.lit("/out/"), F.col("file_name")),
     )
     facts = {"Server": F.lit("files.example.org"), "File": F.col("file_name"), "Rows": F.col("RequestCount")}
     return run, facts
@@ -57,6 +60,8 @@ BODY_SQL = f"""CASE WHEN cnt > 0 THEN '<html><body>The export completed.<br>Serv
     f"""
 SELECT id AS "FileId", file_name, cnt AS "RequestCount", CASE WHEN cnt > 0 THEN 'output0' ELSE 'output1' END AS route,
        'flowTest@example.org' AS sender, 'a' || id || '@example.org,b@example.org' AS receiver,
+       CASE WHEN id % 2 = 0 THEN 'c' || id || '@example.org' END AS cc, 'audit@example.org,log@example.org' AS bcc,
+       '/out/' || file_name AS attachments,
        CASE WHEN cnt > 0 THEN 'Export completed' ELSE 'Export warning' END AS subject,
        {BODY_SQL} AS body,
        'HTML text' AS message_type, 100 AS batch_size, 3 AS retries
@@ -114,6 +119,27 @@ def export_run(spark, sf, share=False):
     return run, queue, valid
 
 
+@query(
+    """
+SELECT 'export' AS part, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW') AND l_returnflag <> 'R'
+UNION ALL SELECT 'summary', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW') AND l_returnflag <> 'R'
+UNION ALL SELECT 'log', count(*) FROM orders WHERE o_orderpriority <> '5-LOW'
+UNION ALL SELECT 'errors', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW') AND l_returnflag = 'R'
+"""
+)
+def request_export_written(spark, sf):
+    """The parts of the job as files, read again."""
+    folder = new_shared_dir(spark, "request-export")
+    report = write_request_export(export_run(spark, sf, share=True)[0], folder)
+    n = F.count(F.lit(1)).alias("n")
+    return union(
+        spark.read.text(f"{folder}/export").agg(n).select(F.lit("export").alias("part"), "n"),
+        spark.read.csv(f"{folder}/summary", header=True).agg(n).select(F.lit("summary").alias("part"), "n"),
+        spark.read.parquet(f"{folder}/log").agg(n).select(F.lit("log").alias("part"), "n"),
+        spark.read.csv(report, header=True).agg(n).select(F.lit("errors").alias("part"), "n"),
+    )
+
+
 VALID_SQL = "SELECT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW'"
 
 

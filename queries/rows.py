@@ -11,6 +11,13 @@ from millrace.sources.tables import query_view
 from queries.registry import query, table
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def checked_rows(spark, sf):
+    """The policy that stops at the first bad row: here there is none."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return routing.fail_on_errors(orders, F.col("o_totalprice") < 0, "a price below zero")
+
+
 @query("SELECT c_custkey AS id, upper(c_name) AS name, c_nationkey AS nation, lower(c_mktsegment) AS segment FROM customer")
 def mapper_project(spark, sf):
     """Nested targets, unmapped fields dropped."""

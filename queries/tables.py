@@ -51,8 +51,7 @@ FROM orders
 def queue_to_log(spark, sf):
     queue = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     done = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    log, rest = updates.move_matched(queue, done, ["o_orderkey"])
-    return union(log.withColumn("place", F.lit("log")), rest.withColumn("place", F.lit("queue")))
+    return updates.with_destination(queue, done, ["o_orderkey"], "place")
 
 
 @query(

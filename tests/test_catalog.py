@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.catalog import exports, strip
+from millrace.operators.graph import step_depth
 from millrace.operators.routing import triage
 from millrace.plans.intake import catalog, files_with_text, quarantine_names, steps_in_order
 from millrace.sources.exports import read_pipeline_exports
@@ -159,8 +160,7 @@ def test_inner_values(spark):
         want = set(innermost(pruned(source["property_map"]["settings"]))) - {""}
         # An object whose keys were all canvas data has no inner value left.
         assert have == {w for w in want if w != "deep.kept"}
-    with pytest.raises(Exception, match="nest deeper than 2"):
-        strip.layout_free_values(steps, depth=2).collect()
+    assert sorted(map(str, strip.layout_free_values(steps, levels=1).collect())) == sorted(map(str, found))
 
 
 def test_quarantine_names(spark):
@@ -168,3 +168,30 @@ def test_quarantine_names(spark):
     taken = spark.createDataFrame([("a.txt",), ("a_2.txt",)], "file_name string")
     named = quarantine_names(junk, ["at"], taken).orderBy("at")
     assert [r.unique_name for r in named.collect()] == ["a_1.txt", "a_3.txt", "c.txt"]
+
+
+def test_odd_documents_are_null(spark):
+    texts = ['{"snaps":[{"name":"\\ud800"}]}', '{"snap_map":' + '{"a":' * 30000 + "1" + "}" * 30001, "[1]", None, '{"snaps":[],"job_stats":1}']
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    got = {r.path: r.text for r in strip.strip_layout(files).collect()}
+    assert got == {"0": None, "1": None, "2": None, "3": None, "4": '{"snaps":[]}'}
+
+
+def test_values_at_any_depth(spark):
+    deep = '{"a":' * 25 + "[[1,{\"x\":5}],[]]" + "}" * 25
+    files = spark.createDataFrame([("p", '{"snaps":[{"name":"s","settings":' + deep + "}]}")], "path string, text string")
+    steps = exports.minimised_steps(exports.parse_exports(files, fields=exports.STEP_FIELDS))
+    want = [(".".join("a" * 25) + "[0][0]", "1"), (".".join("a" * 25) + "[1]", "[]")]
+    for levels in (3, 6, 40):
+        got = sorted((r.place, r.value) for r in strip.layout_free_values(steps, levels=levels).collect())
+        assert got == want
+
+
+def test_levels_are_planned_alike_for_every_depth(spark):
+    scans = []
+    for n in (3, 30):
+        links = spark.createDataFrame([("g", f"n{i}", f"n{i + 1}") for i in range(n)] + [("short", "a", "b")], "pipeline string, src_id string, dst_id string")
+        levels = step_depth(links)
+        assert {r.step_id: r.depth for r in levels.collect() if r.pipeline == "g"} == {f"n{i}": i for i in range(n + 1)}
+        scans.append(levels._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    assert scans[0] == scans[1] <= 4

@@ -3,6 +3,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import updates
 from millrace.plans.request_export import request_export, write_request_export
 from millrace.session import new_shared_dir
 from millrace.sinks import archive, writers
@@ -145,3 +146,60 @@ def test_request_export_files(spark, tmp_path):
     none = request_export(queue, ids.limit(0), items, "id", "kind", {"m": "m"}, F.col("bad") == 1, "detail")
     with pytest.raises(writers.StepFailed, match="write export"):
         write_request_export(none, str(tmp_path))
+
+
+def test_a_failed_run_leaves_the_archive(spark, tmp_path):
+    folder = str(tmp_path / "archive")
+    rows = spark.createDataFrame([("a", 1, "first"), ("b", 1, "first")], "name string, v int, body string")
+    at = F.lit("2024-03-01").cast("timestamp")
+    archive.archive_write(rows, folder, "name", ["v"], at=at)
+    stop = F.when(F.col("name") == "b", F.raise_error(F.lit("cannot read")).cast("string")).otherwise(F.lit("second"))
+    with pytest.raises(Exception, match="cannot read"):
+        archive.archive_write(rows.withColumn("body", stop), folder, "name", ["v"], at=at)
+    assert {(r.name, r.body) for r in archive.read_archive(spark, folder).collect()} == {("a", "first"), ("b", "first")}
+    # a run that was cut off before its marker
+    extra = spark.read.parquet(folder).filter("name = 'a'").withColumn("_archived_run", F.lit(9_000_000_000_000_000_000)).withColumn("body", F.lit("half"))
+    extra.write.mode("append").partitionBy("yyyymm", "_archived_run").parquet(folder)
+    assert {(r.name, r.body) for r in archive.read_archive(spark, folder).collect()} == {("a", "first"), ("b", "first")}
+    archive.archive_write(rows.filter("name = 'a'").withColumn("body", F.lit("third")), folder, "name", ["v"], at=at)
+    into = str(tmp_path / "compact")
+    archive.compact_archive(spark, folder, into, "name", ["v"])
+    for place in (folder, into):
+        assert {(r.name, r.body) for r in archive.read_archive(spark, place).collect()} == {("a", "third"), ("b", "first")}
+    assert archive.read_archive(spark, folder, replaced=True).count() == 3 and archive.read_archive(spark, into, replaced=True).count() == 2
+
+
+def test_csv_header_is_quoted(spark):
+    rows = spark.createDataFrame([("1", "2")], ["a,b", 'c"'])
+    assert [r.line for r in writers.csv_format(rows, header=True).orderBy(F.desc("is_header")).collect()] == ['"a,b","c"""', "1,2"]
+
+
+class _Cluster:
+    """What the folder needs of a session, with the master of a cluster."""
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        new_shared_dir(_Cluster, "x")
+
+
+def test_queue_and_log_come_from_one_join(spark):
+    queue = spark.createDataFrame([(i,) for i in range(6)] + [(None,)], "k int")
+    done = spark.createDataFrame([(1,), (1,), (4,), (9,)], "k int")
+    log, rest = updates.move_matched(queue, done, ["k"])
+    assert sorted(r.k for r in log.collect()) == [1, 4]
+    assert sorted((r.k is None, r.k) for r in rest.collect()) == [(False, 0), (False, 2), (False, 3), (False, 5), (True, None)]
+    plan = updates.with_destination(queue, done, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
