@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrays import LOWER, chunks, single_spaced, words
 from millrace.llm.components import components
+from millrace.llm.rows import first_by_hash
 from millrace.session import cut_lineage
 
 SEED = 42
@@ -158,7 +159,7 @@ def links(prints: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, s
     spark = prints.sparkSession
     total = prints.count()
     near = radius // 2
-    some = prints.orderBy(F.xxhash64("fingerprint")).limit(sample_rows)
+    some = first_by_hash(prints, sample_rows, "fingerprint")
     sample = np.array([r[0] for r in some.collect()], np.int64).view(np.uint64)
     levels = max(0, min(int(np.ceil(np.log2(max(total, 1) / leaf_rows))), int(np.log2(max(len(sample), 8) / 8))))
     trees = spark.sparkContext.broadcast([plant(_halves(sample, k), levels) for k in (0, 1)])
