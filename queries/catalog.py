@@ -358,7 +358,7 @@ def read_export_files(spark, sf):
     lines = export_files(spark, sf).select("text")
     lines.write.option("maxRecordsPerFile", 10_000).text(folder)
     # Each file holds many documents, one per line; cut them apart again after the whole-file scan.
-    docs = read_pipeline_exports(spark, folder).select(F.explode(F.split(F.rtrim("text"), "\n")).alias("text"))
+    docs = read_pipeline_exports(spark, folder).select(F.explode(F.split("text", "\n")).alias("text")).filter("text <> ''")
     parsed = exports.parse_exports(docs.select(F.lit("x").alias("path"), "text"))
     odd = F.when(F.col("doc.snap_map").isNull(), 1).otherwise(0).cast("bigint").alias("odd")
     return parsed.groupBy(odd).agg(F.count(F.lit(1)).alias("files"))
