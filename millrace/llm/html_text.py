@@ -26,8 +26,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements of which nothing is text of the page.
 SILENT = "script|style|noscript|template|svg|iframe|object|textarea|select|title|math|canvas|audio|video"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>|([^<]+|<)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)

@@ -54,6 +54,8 @@ def test_blocks():
     assert texts('<p class="a>b">x</p><a href=\'>\'>y</a>') == ["x", "y"]
     assert texts("<script>never closed <p>x") == []
     assert texts("<ul><li>a<li>b</ul></div></p>c") == ["a", "b", "c"]
+    assert texts("<a " * 300_000 + "<p>x</p>") == [("<a " * 300_000).strip(), "x"]  # in linear time
+    assert texts("<!-- " * 100_000 + "x") == [] and len(texts("<p \"" * 100_000)) <= 1
     deep = ht.blocks("<div>" * 3000 + "x" + "<b>" * 3000 + "y")
     assert [b.text for b in deep] == ["xy"] and len(deep[0].features) < 20
 
