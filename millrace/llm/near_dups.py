@@ -21,8 +21,10 @@ from millrace.session import cut_lineage
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-#: Rows of a shard of the tree, and of a block that one task compares.
+#: Rows that a shard of the tree should keep. A block has at most twice as many that are kept and `ASKED` times as many
+#: that ask.
 LEAF_ROWS = 4096
+ASKED = 16
 #: Fingerprints from which vantage points and medians are taken; all fingerprints are indexed.
 SAMPLE_ROWS = 1 << 15
 _SLICE = 1 << 16
@@ -122,15 +124,18 @@ def _halves(fp: np.ndarray, tree: int) -> np.ndarray:
     return fp >> np.uint64(32) if tree == 0 else fp & np.uint64(0xFFFFFFFF)
 
 
-def linked(kept: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """`(fingerprint, root)`: a forest that joins what the pairs of a block within the radius join; it has at most
-    a row for each fingerprint, however many pairs there are."""
+def linked(kept: np.ndarray, asked: np.ndarray, radius: int, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """`(fingerprint, root)`: a forest that joins what the pairs of a block join that lie within the radius, and within
+    half of it in the tree's half; it has at most a row for each fingerprint, however many pairs there are."""
     names = np.unique(np.concatenate([kept, asked]))
     root = np.arange(len(names))
     rows, cols = np.searchsorted(names, kept), np.searchsorted(names, asked)
-    for at in range(0, len(kept), 256):
-        i, j = np.nonzero(np.bitwise_count(kept[at : at + 256, None] ^ asked[None, :]) <= radius)
-        i, j = rows[at + i], cols[j]
+    own, other = (_halves(fp, tree).astype(np.uint32) for fp in (kept, asked))
+    step = max((1 << 20) // max(len(asked), 1), 1)
+    for at in range(0, len(kept), step):
+        i, j = np.nonzero(np.bitwise_count(own[at : at + step, None] ^ other[None, :]) <= radius // 2)
+        near = np.bitwise_count(kept[at + i] ^ asked[j]) <= radius
+        i, j = rows[at + i[near]], cols[j[near]]
         while True:
             a, b = root[i], root[j]
             apart = a != b
@@ -153,8 +158,8 @@ def links(prints: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, s
     Two fingerprints within three bits agree to within one bit in one of their 32-bit halves. So there is a tree for
     each half, searched with radius one: far fewer shards overlap than with radius three over 64 bits. Every
     fingerprint is kept in one shard of each tree and asked of all shards that the triangle bounds leave.
-    Shards of more than `leaf_rows` are cut into blocks on both sides and every pair of blocks is compared, so
-    no task gets more than two blocks, whatever the distribution. `prints`: one column `fingerprint`, distinct.
+    Larger shards are cut into blocks on both sides and every pair of blocks is compared, so no group holds more
+    than two blocks, whatever the distribution. `prints`: one column `fingerprint`, distinct.
     """
     spark = prints.sparkSession
     total = prints.count()
@@ -180,7 +185,8 @@ def links(prints: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, s
 
     counted = prints.mapInArrow(sizes, "tree long, asked boolean, shard long, n long").groupBy("tree", "asked", "shard").agg(F.sum("n").alias("n"))
     # a row for each shard: at most 4 * 2**levels, bounded by the sample
-    blocks = {(r.tree, r.asked, r.shard): -(-r.n // leaf_rows) for r in counted.collect()}
+    most = {False: 2 * leaf_rows, True: ASKED * leaf_rows}
+    blocks = {(r.tree, r.asked, r.shard): -(-r.n // most[r.asked]) for r in counted.collect()}
     shared = spark.sparkContext.broadcast({k: v for k, v in blocks.items() if v > 1})
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +202,7 @@ def links(prints: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, s
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         fp, asked = rows["fp"].to_numpy().view(np.uint64), rows["asked"].to_numpy()
-        a, b = linked(fp[~asked], fp[asked], radius)
+        a, b = linked(fp[~asked], fp[asked], radius, int(rows["task"].iat[0]) >> 62)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return prints.mapInArrow(blocked, "task long, asked boolean, fp long").groupBy("task").applyInPandas(compare, "a long, b long")
