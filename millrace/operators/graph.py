@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage, new_shared_dir
+from millrace.session import Rounds, cut_lineage, new_shared_dir
 
 
 def step_depth(
@@ -31,11 +31,12 @@ def step_depth(
         seen = seen.unionByName(steps.select(graph, F.col(step).alias("_step"), F.lit(False).alias("_waits")))
     starts = ready = _not_waiting(seen, graph)
     taken, level = new_shared_dir(links.sparkSession, "levels"), 0
+    rounds = Rounds(links.sparkSession, "links")
     while True:
         marks = ready.select(graph, F.col("_step").alias("_src"), F.lit(True).alias("_gone"))
         counted = Observation()
         counts = F.count(F.lit(1)).alias("links"), F.count("_gone").alias("gone")
-        marked = cut_lineage(left.join(marks, [graph, "_src"], "left").observe(counted, *counts), "links")
+        marked = rounds.keep(left.join(marks, [graph, "_src"], "left").observe(counted, *counts))
         gone = marked.filter("_gone").select(graph, F.col("_dst").alias(step), F.lit(level).alias("_level"))
         gone.write.mode("append").parquet(taken)
         left = marked.filter("_gone is null").drop("_gone")

@@ -69,3 +69,17 @@ def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
+
+class Rounds:
+    """Tables of a loop. Each is written when the one before is still there, and older ones are deleted."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose, self.folders = spark, purpose, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        folder = new_shared_dir(self.spark, self.purpose)
+        df.write.parquet(folder)
+        self.folders.append(folder)
+        if len(self.folders) > 2:
+            remove(self.spark, self.folders.pop(0))
+        return self.spark.read.schema(df.schema).parquet(folder)
