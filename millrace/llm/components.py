@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import Rounds
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,17 +20,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pair = [F.col(a).alias("u"), F.col(b).alias("v")]
     edges = links.select(*pair).where(F.col(a) != F.col(b))
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = cut_lineage(edges, "links")
-    before = None
+    rounds, before = Rounds(links.sparkSession, "links"), None
+    edges = rounds.keep(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.where("u <> v").distinct(), "links")
+        large = rounds.keep(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(small.where("u <> v").distinct(), "links")
+        edges = rounds.keep(small.where("u <> v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
