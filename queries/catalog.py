@@ -49,11 +49,16 @@ def _filled(template):
     return out
 
 
+def _parts(spark, sf):
+    """Rows of `part`, dealt out before they grow: a document has some forty times the bytes of its row."""
+    return table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def export_files(spark, sf):
     """`path, text` of the rendered exports."""
     body = F.when(F.col("p_partkey") % 2 == 0, _filled(MAP_LAYOUT)).otherwise(_filled(LIST_LAYOUT))
     path = F.concat(F.lit("in/part_"), F.col("p_partkey").cast("string"), F.lit("_sanitized.json"))
-    return table(spark, sf, "part").select(path.alias("path"), body.alias("text"))
+    return _parts(spark, sf).select(path.alias("path"), body.alias("text"))
 
 
 def docs_of(spark, sf, fields):
@@ -115,7 +120,7 @@ def catalog_step_names(spark, sf):
         .otherwise(F.lit('{"instance_id":"id{k}","property_map":{"info":{"label":{"value":null}}}}'))
     )
     text = _filled(F.concat(F.lit('{"snaps":['), step, F.lit("]}")))
-    files = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), text.alias("text"))
+    files = _parts(spark, sf).select(F.col("p_partkey").alias("path"), text.alias("text"))
     docs = exports.parse_exports(files, fields=exports.STEP_FIELDS)
     return exports.minimised_steps(docs).select("path", "name")
 
@@ -171,7 +176,7 @@ def catalog_deep_values(spark, sf):
     """Settings nested twenty deep."""
     value = F.concat(F.lit('{"a":' * 20 + '{"value":"'), F.col("p_name"), F.lit('"}' + "}" * 20))
     text = F.concat(F.lit('{"snaps":[{"name":"s","settings":'), value, F.lit("}]}"))
-    files = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
+    files = _parts(spark, sf).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
     steps = exports.minimised_steps(exports.parse_exports(files, fields=exports.STEP_FIELDS))
     return strip.layout_free_values(steps).select("path", "place", "value")
 
@@ -304,7 +309,7 @@ def mixed_files(spark, sf):
         .when(case == 7, _filled("{'snaps':'{name}'}"))
         .otherwise(good)
     )
-    parts = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
+    parts = _parts(spark, sf).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
     docs = table(spark, sf, "documents").select("doc_id", "text").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text")
     return parts.unionByName(docs)
 
