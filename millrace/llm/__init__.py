@@ -1 +1,8 @@
-"""Operators for preparing training text: near copies, extraction, sharding, personal data, counts, mixing and filters."""
+"""Operators for preparing training text: extraction, filters, near copies, personal data, counts, mixing and shards."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

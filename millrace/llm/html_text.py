@@ -287,14 +287,13 @@ def main_text(pages: DataFrame, field: Field, id_col: str = "page_id", url_col:
     """`(page_id, url, text, n_chars)` of every row: the blocks that the field takes for the article, in page order, joined
     by two line breaks. Null and empty pages have an empty text; repeated rows stay; other columns are not read."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    shared = pages.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for page in batch.column("html").to_pylist():
                 found = blocks(page)
-                texts.append("\n\n".join(b.text for b, kept in zip(found, decode(shared.value, found)) if kept))
+                texts.append("\n\n".join(b.text for b, kept in zip(found, decode(field, found)) if kept))
             n = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
 

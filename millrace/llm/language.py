@@ -193,12 +193,11 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     """`(doc_id, held_out, lang_pred, score)` of every row, from its whole text alone. Null texts and texts without a
     letter get `und` and score 0, as do all texts if the network knows no language. One row in, one row out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), _has_letter(text_col).alias("letter"))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*shared.value.languages, UNKNOWN]
+        names = [*net.languages, UNKNOWN]
         for batch in batches:
-            best, score = identify(shared.value, batch.column("text"), batch.column("letter").to_numpy(zero_copy_only=False))
+            best, score = identify(net, batch.column("text"), batch.column("letter").to_numpy(zero_copy_only=False))
             lang = pa.array([names[k] for k in best.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), lang, pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -212,11 +211,10 @@ def keep_identified(docs: DataFrame, net: Network, min_score: float = 0.5, text_
     flag = "__letter"
     while flag in docs.columns:
         flag += "_"
-    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = identify(shared.value, batch.column(text_col), batch.column(flag).to_numpy(zero_copy_only=False))
+            best, score = identify(net, batch.column(text_col), batch.column(flag).to_numpy(zero_copy_only=False))
             yield batch.filter(pa.array((best >= 0) & (score >= min_score))).drop_columns([flag])
 
     return docs.withColumn(flag, _has_letter(text_col)).mapInArrow(run, docs.schema)

@@ -161,18 +161,17 @@ def links(prints: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, s
     Larger shards are cut into blocks on both sides and every pair of blocks is compared, so no group holds more
     than two blocks, whatever the distribution. `prints`: one column `fingerprint`, distinct.
     """
-    spark = prints.sparkSession
     total = prints.count()
     near = radius // 2
     some = first_by_hash(prints, sample_rows, "fingerprint")
     sample = np.array([r[0] for r in some.collect()], np.int64).view(np.uint64)
     levels = max(0, min(int(np.ceil(np.log2(max(total, 1) / leaf_rows))), int(np.log2(max(len(sample), 8) / 8))))
-    trees = spark.sparkContext.broadcast([plant(_halves(sample, k), levels) for k in (0, 1)])
+    trees = [plant(_halves(sample, k), levels) for k in (0, 1)]
 
     def routed(batches):
         for batch in batches:
             fp = batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, tree in enumerate(trees.value):
+            for k, tree in enumerate(trees):
                 codes = _halves(fp, k)
                 yield k, False, fp, home(tree, codes)
                 at, shard = visits(tree, codes, near)
@@ -187,10 +186,9 @@ def links(prints: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, s
     # a row for each shard: at most 4 * 2**levels, bounded by the sample
     most = {False: 2 * leaf_rows, True: ASKED * leaf_rows}
     blocks = {(r.tree, r.asked, r.shard): -(-r.n // most[r.asked]) for r in counted.collect()}
-    shared = spark.sparkContext.broadcast({k: v for k, v in blocks.items() if v > 1})
+    many = {k: v for k, v in blocks.items() if v > 1}
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = shared.value
         for k, asked, fp, shard in routed(batches):
             own = np.array([many.get((k, asked, s), 1) for s in shard.tolist()], np.int64)
             other = np.array([many.get((k, not asked, s), 1) for s in shard.tolist()], np.int64)

@@ -109,21 +109,15 @@ class Counter(dict):
         return total
 
 
-_counters: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, n_tokens)` of every row: a mark goes before the text and in place of each space, then the best path of
     pieces is counted. Null and empty texts have none. The driver reads the vocabulary, whose size is that of one file;
-    each worker builds the automaton once and remembers a bounded number of words."""
+    each task builds the automaton once and remembers a bounded number of words."""
     vocabulary = read_vocabulary(path)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(shared.value)
-        count = _counters[path].of_text
+        count = Counter(vocabulary).of_text
         for batch in batches:
             n = [count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])

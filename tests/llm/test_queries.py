@@ -2,6 +2,8 @@
 
 import os
 import random
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -95,3 +97,25 @@ def test_clean_documents_stay(spark):
     table = odd.docs(spark, rows)
     assert language.keep_identified(table, language.train(table), corpus_pipeline.MIN_SCORE).count() == 150
     assert near_dups.drop_near_copies(table).count() == 150
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """A driver that knows the repository, and workers that don't."""
+    script = tmp_path / "away.py"
+    repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    script.write_text(
+        "import sys\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        f"sys.path.insert(0, {repo!r})\n"
+        "from millrace.llm.queries import QUERIES\n"
+        f"print([QUERIES[n](spark, {FOLDER!r}).count() for n in ('op2_main_text', 'op5_token_counts', 'op10_quality')])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    pages, docs = (spark_free_count(t) for t in ("pages", "documents"))
+    assert str([pages, docs, docs]) in done.stdout, done.stderr[-2000:]
+
+
+def spark_free_count(name):
+    return duckdb.connect().execute(f"SELECT count(*) FROM '{FOLDER}/{name}.parquet'").fetchall()[0][0]
