@@ -18,8 +18,6 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Longer ordered limits sort the frame: the rows of a top-k stay in the memory of each task.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
-    # A scan of few, large files is cut finely enough for all cores.
-    "spark.sql.files.maxPartitionBytes": "32m",
 }
 
 
