@@ -21,10 +21,10 @@ ERROR = 0.02
 GAMMA = (1 + ERROR) / (1 - ERROR)
 #: Smaller values count as zero.
 LEAST = 1e-4
-#: Fences lie `REACH` times the spread between the quartiles beyond them; the spread counts as `SPREAD` at least.
-REACH = 3.0
-#: Features of a document and the least spread of each.
-SPREADS = {"word_length": 1.0, "symbol_share": 0.05, "dup_line_share": 0.15, "repeat_share": 0.07}
+#: Fences lie as far beyond the outer two of these quantiles as those lie from the middle one.
+RANKS = (0.01, 0.5, 0.99)
+#: Features of a document, and whether low values are odd as well; a low share of signs or repeats is not.
+FEATURES = {"word_length": True, "symbol_share": False, "dup_line_share": False, "repeat_share": False}
 #: A sketch of fewer documents gives way to that of the language, and then to that of all.
 MIN_DOCS = 50
 _IS_SYMBOL = np.zeros(256, bool)
@@ -138,21 +138,31 @@ def quantiles(found: DataFrame, keys: list[str], wanted: tuple[float, ...] = (0.
 def fences(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """A row for each language and source: `(lang, source, <feature>_low, <feature>_high ...)`.
 
-    The quartiles come from the sketch of the language and source if it holds `min_docs` documents, else from that of
-    the language, else from that of all; the coarser ones are merged from the finer.
+    The quantiles come from the sketch of the language and source if it holds `min_docs` documents, else from that of
+    the language, else from that of all; the coarser ones are merged from the finer. A side on which the quantiles
+    coincide shows no spread; there the next coarser sketch that shows one is asked, and if none does, the fence is the
+    end of the bucket that holds them all.
     """
-    fine = quantiles(found, ["lang", "source"]).select("lang", "source", "feature", F.col("docs").alias("n0"), F.col("q").alias("q0"))
-    lang = quantiles(found, ["lang"]).select(F.col("lang").alias("lang1"), F.col("feature").alias("f1"), F.col("docs").alias("n1"), F.col("q").alias("q1"))
-    every = quantiles(found, []).select(F.col("feature").alias("f2"), F.col("q").alias("q2"))
+    fine = quantiles(found, ["lang", "source"], RANKS).select("lang", "source", "feature", F.col("docs").alias("n0"), F.col("q").alias("q0"))
+    lang = quantiles(found, ["lang"], RANKS).select(F.col("lang").alias("lang1"), F.col("feature").alias("f1"), F.col("docs").alias("n1"), F.col("q").alias("q1"))
+    every = quantiles(found, [], RANKS).select(F.col("feature").alias("f2"), F.col("q").alias("q2"))
     joined = fine.join(lang, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("feature") == F.col("f1"))).join(every, F.col("feature") == F.col("f2"))
-    q = F.when(F.col("n0") >= min_docs, F.col("q0")).when(F.col("n1") >= min_docs, F.col("q1")).otherwise(F.col("q2"))
-    least = F.create_map(*[F.lit(x) for pair in SPREADS.items() for x in pair])
-    chosen = joined.select("lang", "source", "feature", q.alias("q")).withColumn("reach", REACH * F.greatest(F.col("q")[1] - F.col("q")[0], least[F.col("feature")]))
+
+    def chosen(side: int) -> Column:
+        spread = lambda k: F.col(f"q{k}")[side] != F.col(f"q{k}")[1]
+        full = [F.col(f"n{k}") >= min_docs for k in (0, 1)]
+        q = F.when(full[0] & spread(0), F.col("q0")).when(full[1] & spread(1), F.col("q1")).when(spread(2), F.col("q2"))
+        return q.when(full[0], F.col("q0")).when(full[1], F.col("q1")).otherwise(F.col("q2"))
+
+    # a quantile is the middle of its bucket; fences count from the bucket's ends
+    low = chosen(0)[0] * ((1 + GAMMA) / 2 / GAMMA) - (chosen(0)[1] - chosen(0)[0])
+    high = F.greatest(chosen(2)[2] * ((1 + GAMMA) / 2), F.lit(LEAST)) + (chosen(2)[2] - chosen(2)[1])
+    ends = joined.select("lang", "source", "feature", low.alias("low"), (high * (1 + 1e-9)).alias("high"))
     own = lambda name, value: F.max(F.when(F.col("feature") == name, value))
-    ends = []
-    for name in SPREADS:
-        ends += [own(name, F.col("q")[0] - F.col("reach")).alias(f"{name}_low"), own(name, F.col("q")[1] + F.col("reach")).alias(f"{name}_high")]
-    return chosen.groupBy("lang", "source").agg(*ends)
+    columns = []
+    for name, both in FEATURES.items():
+        columns += [own(name, F.col("low") * (1 - 1e-9) if both else F.lit(0.0)).alias(f"{name}_low"), own(name, F.col("high")).alias(f"{name}_high")]
+    return ends.groupBy("lang", "source").agg(*columns)
 
 
 def base_failed() -> Column:

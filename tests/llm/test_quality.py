@@ -66,3 +66,27 @@ def test_odd_rows(spark):
     for r in got:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
     assert quality.judged(quality.measured(docs(spark, []))).count() == 0
+
+
+def test_each_feature_alone_rejects(spark):
+    def text(k, sign="", lines=None):
+        lines = lines or [" ".join(f"w{k:03}x{i:02}{j}" + sign for j in range(5)) for i in range(20)]
+        return "\n".join(lines)
+
+    rows = [(k, text(k), "en", "a") for k in range(200)]
+    repeat = text(201).replace("\n", " ").split()
+    dup = [f"v{j}" + "bcdefg" for j in range(4)]
+    rows += [
+        (200, " ".join(f"word{j}letters{j}more" for j in range(100)), "en", "a"),
+        (201, text(201, lines=[" ".join(repeat + repeat[:5])]), "en", "a"),
+        (202, text(202, lines=text(202).split("\n") + [" ".join(dup)] * 2), "en", "a"),
+        (203, " ".join(f"w203x{j:03}" if j % 5 else f"w203x{j:02}#" for j in range(100)), "en", "a"),
+    ]
+    measured = quality.measured(docs(spark, rows))
+    got = {r.doc_id: r for r in quality.judged(measured).collect()}
+    assert [k for k in range(200) if not got[k].kept] == []
+    for k, name in zip(range(200, 204), ("word_length", "repeat_share", "dup_line_share", "symbol_share")):
+        assert not got[k].base_failed and not got[k].kept
+        fenced = quality.fences(quality.sketches(measured)).first()
+        values = measured.where(f"doc_id = {k}").select(*[v.alias(n) for n, v in quality.features().items()]).first().asDict()
+        assert [n for n, v in values.items() if not fenced[f"{n}_low"] <= v <= fenced[f"{n}_high"]] == [name]
