@@ -49,15 +49,20 @@ def running_sum(numbers: Column) -> Column:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """All matches of a pattern, from left to right, with their places in code points and the text just before them."""
+    """All matches of a pattern, from left to right, with their places in code points and the `REACH` characters before
+    them, earlier matches included. Each match has a character at least, so as many matches back are enough."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     before = F.slice(gaps, 1, F.size(values))
     ends = running_sum(F.zip_with(before, values, lambda g, v: F.length(g) + F.length(v)))
-    whole = F.arrays_zip(ends.alias("end"), values.alias("value"), before.alias("before"))
+    right = lambda part: F.right(part, F.lit(REACH))
+    pieces = F.zip_with(before, values, lambda g, v: right(F.concat(g, v)))
+    # an array of one binds the pieces to a name: they are computed once, not for each match
+    reach = F.transform(F.array(pieces), lambda p: F.transform(before, lambda g, i: right(F.concat(F.array_join(F.slice(p, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))), ""), right(g)))))[0]
+    whole = F.arrays_zip(ends.alias("end"), values.alias("value"), reach.alias("before"))
     return F.transform(
         whole,
-        lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.right(s["before"], F.lit(REACH)).alias("before")),
+        lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["before"].alias("before")),
     ).cast(_SPAN)
 
 

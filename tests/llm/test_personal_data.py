@@ -94,3 +94,12 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("value,good", [("0.0.0.0", True), ("255.255.255.255", True), ("256.0.0.1", False), ("0000300.1.1.1", False), ("99999999999999999999.1.1.1", False)])
 def test_parts_of_addresses(spark, value, good):
     assert spark.range(1).select(pd_.holds("ip", F.lit(value))).first()[0] == good
+
+
+def test_contexts_reach_over_earlier_matches(spark):
+    texts = ["office line 2: 555-88881", "a1 é2 x " * 90 + "77777 88888", "1 2 3 4 5 " * 40 + "b6"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in frame.select("t", pd_.spans(F.col("t"), pd_.CANDIDATE).alias("s")).collect():
+        assert r.s and all(s.before == r.t[max(s.start - pd_.REACH, 0) : s.start] for s in r.s)
+    rows = [(k, f"office line {k}: +49 30 90000{k}", "en", "a") for k in range(6)] + [(9, texts[0], "en", "a")]
+    assert {r.doc_id: r.all for r in scan(spark, rows) if r.all != r.base} == {9: "phone:15:24"}
