@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, personal_data, quality, sharding, token_counts
+from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, odd_sketch, personal_data, quality, sharding, token_counts
 from millrace.session import cut_lineage
 
 QUERIES = {}
@@ -144,3 +144,26 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(personal_data.KINDS)]
     digest = F.sha2(personal_data.written(F.col("base")), 256).alias("base_sha256")
     return rows.select("doc_id", *counts, digest, personal_data.written(F.concat("base", "found")).alias("spans"))
+
+
+@query
+def op11_odd_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    found = odd_sketch.grouped(_table(spark, folder, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+# every two documents of which neither has more shingles than the other allows, by the shingles they share
+ORACLES["op11_odd_sketch"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+  ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+n AS (SELECT doc_id, coalesce(len(g), 0)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+h AS (SELECT g, list(doc_id) AS ids FROM e GROUP BY g HAVING count(*) > 1),
+p AS (SELECT a, b, count(*) AS shared FROM (SELECT a, unnest(ids) AS b FROM (SELECT unnest(ids) AS a, ids FROM h)) WHERE a < b GROUP BY a, b),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (WITH RECURSIVE t AS (SELECT doc_id AS node, doc_id AS low FROM n
+  UNION SELECT l.b, t.low FROM t JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) AS l ON l.a = t.node WHERE t.low < l.b)
+  SELECT node, min(low) AS component_id FROM t GROUP BY node)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN r ON r.node = n.doc_id
+"""
