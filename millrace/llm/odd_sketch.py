@@ -239,15 +239,19 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return own.join(mixed, "key")
 
 
-def _joined(pairs: DataFrame, sets: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Links with the components of all similar pairs among `pairs` and `known`. Each node is compared with the first of its
-    partners, and with the others only if they are in another component then."""
+def _joined(pairs: DataFrame, sets: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """`(links, roots)`: links with the components of all similar pairs among `pairs` and `known`, and those components. Each
+    node is compared with the first of its partners, and with the others only if they are in another component then."""
     best = cut_lineage(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")), sets), "links")
     links = best if known is None else known.unionByName(best)
     roots = components(links)
     end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return links.unionByName(cut_lineage(confirmed(apart, sets), "links"))
+    more = cut_lineage(confirmed(apart, sets), "links")
+    if more.isEmpty():
+        return links, roots
+    links = links.unionByName(more)
+    return links, components(links)
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -267,13 +271,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     sets = sets_of(docs, id_col, text_col, size, nodes, members)
     stars = members.join(first_of(members, F.xxhash64("node")), "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = cut_lineage(close_pairs(stars, sketches), "stars")
-    links = _joined(stars, sets, None)
-    rest = cut_lineage(close_in_groups(_labelled(members, components(links)), sketches), "close")
+    links, roots = _joined(stars, sets, None)
+    rest = cut_lineage(close_in_groups(_labelled(members, roots), sketches), "close")
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"), "close")
     if not rest.isEmpty():
-        links = _joined(rest, sets, links)
-    member = nodes.join(components(links), "node", "left").select("node", F.col("low.doc_id").alias("low"), F.coalesce("root", "node").alias("root"))
+        links, roots = _joined(rest, sets, links)
+    member = nodes.join(roots, "node", "left").select("node", F.col("low.doc_id").alias("low"), F.coalesce("root", "node").alias("root"))
     label = member.join(member.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     worded = rows.where("node is not null").join(label, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return worded.unionByName(rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
