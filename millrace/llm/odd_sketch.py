@@ -1,9 +1,11 @@
 """Near copies by Jaccard similarity: MinHash bands name candidates, odd sketches sift them, whole sets confirm them.
 
 A text is its set of distinct word shingles, as 64-bit hashes; equal sets are one node. MinHash takes 640 samples of a set.
-Eight in a row are a band: nodes that agree in a band share a key. The samples are also folded into an odd sketch, 1024 bits
+Eight in a row are a band: nodes that agree in a band share a key. The samples are also folded into an odd sketch, 2048 bits
 of which each sample turns one over; the number of bits in which two sketches differ tells how many samples differ, most
-exactly for similar sets. Pairs that pass the sketch are compared by their whole sets.
+exactly for similar sets. A second one folds the set itself: it never differs in more bits than the sets have elements apart,
+so it passes over no similar pair, and for sets up to its own size it passes over nearly all others. Pairs that pass both are
+compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ SIMILAR = (4, 5)
 BANDS = 80
 BAND_ROWS = 8
 SAMPLES = BANDS * BAND_ROWS
-SKETCH_BITS = 1024
-#: Pairs whose sketches differ in more bits are passed over: as many as a similarity of 0.65 gives on average, five standard
-#: deviations and more beyond what 0.8 gives.
-MOST_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * 0.35 / SKETCH_BITS)))
+SKETCH_BITS = 2048
+#: Pairs whose samples' sketches differ in more bits are passed over: as many as a similarity of 0.68 gives on average, five
+#: standard deviations beyond what 0.8 gives.
+MOST_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * 0.32 / SKETCH_BITS)))
 #: Rows of a block when the sketches of a large group are compared.
 BLOCK_ROWS = 2048
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)).astype(np.uint32)[:, None] | np.uint32(1)
@@ -71,12 +73,22 @@ def minima(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(place: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row, the parity of the number of times that each of `SKETCH_BITS` places occurs, as bytes of bits."""
+    odd = np.bincount(row * SKETCH_BITS + place, minlength=rows * SKETCH_BITS).reshape(rows, SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool), axis=1)
+
+
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """A row of bytes for each row of samples: bit k is the parity of the number of samples that fall on k."""
+    """The odd sketch of each row of samples."""
     place = mix(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    at = (np.arange(len(samples))[:, None] * SKETCH_BITS + place.astype(np.int64)).ravel()
-    odd = np.bincount(at, minlength=len(samples) * SKETCH_BITS).reshape(len(samples), SKETCH_BITS) & 1
-    return np.packbits(odd.astype(bool), axis=1)
+    return parities(place.astype(np.int64).ravel(), np.repeat(np.arange(len(samples)), SAMPLES), len(samples))
+
+
+def set_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The odd sketch of each whole set."""
+    place = np.concatenate([np.zeros(0, np.uint64), *sets]) % np.uint64(SKETCH_BITS)
+    return parities(place.astype(np.int64), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -89,7 +101,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """`(doc_id, text_hash, n, node, sketch, bands)` of every row, written to the shared folder: the number of distinct
-    shingles, a hash of their set, its odd sketch and band keys; node, sketch and bands are null for texts without words."""
+    shingles, a hash of their set, its two odd sketches and its band keys; the last three are null for texts without words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +110,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 ids = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "text_hash")]
                 sets = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
                 n = np.array([len(s) for s in sets])
-                samples = np.array([minima(s) for s in sets if len(s)], np.uint32).reshape(-1, SAMPLES)
+                sets = [s for s in sets if len(s)]
+                samples = np.array([minima(s) for s in sets], np.uint32).reshape(-1, SAMPLES)
                 at = pa.array(np.where(n > 0, np.cumsum(n > 0) - 1, 0), mask=n == 0)
-                node = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets if len(s)], pa.uint64()).view(pa.int64())
-                sketch = pa.array([s.tobytes() for s in odd_sketches(samples)], pa.binary())
+                node = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
+                sketch = pa.array([x.tobytes() + y.tobytes() for x, y in zip(odd_sketches(samples), set_sketches(sets))], pa.binary())
                 keys = band_keys(samples).view(np.int64)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(n), node.take(at), sketch.take(at), bands.take(at)], ["doc_id", "text_hash", "n", "node", "sketch", "bands"])
@@ -124,8 +137,8 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def sketches_of(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """`(node, sketch)` of the nodes of `members`."""
-    some = rows.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
+    """`(node, sketch)` of the nodes of `members`, with their number of shingles: a struct `(n, bits)`."""
+    some = rows.select("node", F.struct("n", F.col("sketch").alias("bits")).alias("sketch")).join(members.select("node").distinct(), "node", "left_semi")
     return cut_lineage(some.dropDuplicates(["node"]), "sketches")
 
 
@@ -150,22 +163,34 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(one, "a").join(other, "b")
 
 
+class Sketches:
+    """The sketches of some nodes as arrays."""
+
+    def __init__(self, column: pa.Array):
+        raw = b"".join(column.field("bits").to_pylist())
+        bits = np.frombuffer(raw, np.uint64).reshape(len(column), -1)
+        half = SKETCH_BITS // 64
+        self.n, self.samples, self.sets = column.field("n").to_numpy(zero_copy_only=False), bits[:, :half], bits[:, half:]
+
+    def close(self, mine, other: "Sketches", theirs) -> np.ndarray:
+        """Which pairs can be similar: sets of sizes x and y are if they have at most (x + y) / 9 elements apart."""
+        part, whole = SIMILAR
+        apart = np.bitwise_count(self.sets[mine] ^ other.sets[theirs]).sum(axis=-1, dtype=np.int64)
+        near = (whole + part) * apart <= (whole - part) * (self.n[mine] + other.n[theirs])
+        return near & (np.bitwise_count(self.samples[mine] ^ other.samples[theirs]).sum(axis=-1, dtype=np.int64) <= MOST_BITS)
+
+
 def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The `(a, b)` whose odd sketches differ in few bits."""
+    """The `(a, b)` whose sketches differ in few bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (_bits(batch.column(c)) for c in "xy")
-            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= MOST_BITS))
+            x, y = (Sketches(batch.column(c)) for c in "xy")
+            yield batch.select(["a", "b"]).filter(pa.array(x.close(slice(None), y, slice(None))))
 
     return _with(pairs, sketches, "sketch").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _bits(sketches: pa.Array) -> np.ndarray:
-    raw = b"".join(sketches.to_pylist())
-    return np.frombuffer(raw, np.uint64).reshape(-1, SKETCH_BITS // 64)
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The `(a, b)` whose whole sets are similar enough."""
     part, whole = SIMILAR
@@ -204,14 +229,14 @@ def close_in_groups(members: DataFrame, sketches: DataFrame, block_rows: int = B
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         own, i, node, label = (rows.column(c).to_numpy() for c in ("own", "i", "node", "label"))
-        bits, left = _bits(rows.column("sketch")), own == i
+        held, left = Sketches(rows.column("sketch").combine_chunks()), own == i
         same = rows.column("j")[0].as_py() == i[0]
         rest = np.flatnonzero(left if same else ~left)
         found = []
         for at in np.flatnonzero(left):
             other = rest[label[rest] != label[at]]
             other = other[node[other] > node[at]] if same else other
-            near = other[np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1) <= MOST_BITS]
+            near = other[held.close(at, held, other)]
             found.append(np.stack([np.full(len(near), node[at]), node[near]]))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})

@@ -84,6 +84,17 @@ def test_sketches_tell_the_similarity():
             assert max(differ) < odd_sketch.MOST_BITS
 
 
+def test_sketches_of_sets_never_lose_a_pair():
+    rng = np.random.default_rng(4)
+    for n, differ in ((5, 1), (150, 30), (1000, 100), (20000, 4000)):
+        for _ in range(20):
+            every = rng.integers(0, 2**63, n, dtype=np.uint64)
+            x, y = odd_sketch.set_sketches([every[differ // 2 :], every[: n - (differ - differ // 2)]])
+            bits = int(np.bitwise_count(x ^ y).sum())
+            assert bits <= differ and (bits + differ) % 2 == 0
+            assert n > 1000 or bits > 0.8 * differ - 1
+
+
 def test_parity_of_the_sketch():
     samples = np.arange(2 * odd_sketch.SAMPLES, dtype=np.uint32).reshape(2, -1)
     got = np.unpackbits(odd_sketch.odd_sketches(samples), axis=1)
@@ -103,17 +114,18 @@ def test_pairs_grow_with_rows_not_with_groups(spark):
     table = docs(spark, [(k, t, "en", "a") for k, t in texts.items()])
     rows = odd_sketch.sketched(table, "doc_id", "text", 2)
     members = rows.selectExpr("node", "1L AS key", "node AS label")
-    assert odd_sketch.close_in_groups(members, rows.select("node", "sketch"), block_rows=64).count() == 0
+    assert odd_sketch.close_in_groups(members, odd_sketch.sketches_of(rows, members), block_rows=64).count() == 0
     assert {r for _, r in grouped(spark, texts).values()} == set(texts)
 
 
 def test_blocks_find_all_pairs(spark):
     rng = random.Random(6)
-    texts = dict(enumerate(family(rng, 120, 150, 5)))
+    texts = dict(enumerate(family(rng, 120, 150, 3)))
     table = docs(spark, [(k, t, "en", "a") for k, t in texts.items()])
     rows = odd_sketch.sketched(table, "doc_id", "text", 2).dropDuplicates(["node"])
     members = rows.selectExpr("node", "1L AS key", "node AS label")
-    whole, cut = ({tuple(r) for r in odd_sketch.close_in_groups(members, rows.select("node", "sketch"), block_rows=n).collect()} for n in (1000, 7))
+    sketches = odd_sketch.sketches_of(rows, members)
+    whole, cut = ({tuple(r) for r in odd_sketch.close_in_groups(members, sketches, block_rows=n).collect()} for n in (1000, 7))
     assert whole == cut and len(whole) == rows.count() * (rows.count() - 1) // 2
 
 
