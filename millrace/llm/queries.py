@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, odd_sketch, personal_data, quality, sharding, token_counts
+from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, odd_sketch, personal_data, quality, resampling, sharding, token_counts
 from millrace.session import cut_lineage
 
 QUERIES = {}
@@ -167,3 +167,37 @@ r AS (WITH RECURSIVE t AS (SELECT doc_id AS node, doc_id AS low FROM n
   SELECT node, min(low) AS component_id FROM t GROUP BY node)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN r ON r.node = n.doc_id
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in DuckDB: eight steps of the polynomial for each byte."""
+    byte = "list_reduce([xor(c, x) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    each = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, x: xor(c >> 8, {byte})))"
+
+
+@query
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+_RUNS = """SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM {table}"""
+_PARTS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+ORACLES["op12_resampling"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_PARTS} AS w FROM documents),
+i AS (SELECT 0 AS k, {_PARTS} AS w FROM benchmark),
+fd AS ({_RUNS.format(key="k", table="d")}), fi AS ({_RUNS.format(key="k", table="i")}),
+u AS (SELECT g, {_crc32("g")} % 10000 AS b FROM (SELECT g FROM fd UNION SELECT g FROM fi)),
+s AS (SELECT b, count(*) AS s FROM fd JOIN u USING (g) GROUP BY b), t AS (SELECT b, count(*) AS t FROM fi JOIN u USING (g) GROUP BY b),
+a AS (SELECT (SELECT count(*) FROM fd) AS s_all, (SELECT count(*) FROM fi) AS t_all),
+gains AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (b), a),
+w AS (SELECT k, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM fd JOIN u USING (g) JOIN gains USING (b) GROUP BY k),
+c AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (k)),
+r AS (SELECT *, words >= 20 AS able, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS n FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND n <= (SELECT 5 * count(*) // 100 FROM c WHERE words >= 20) THEN n END AS rank FROM r
+"""
