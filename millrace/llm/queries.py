@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, odd_sketch, personal_data, quality, resampling, sharding, token_counts
+from millrace.llm import decontamination, html_text, language, licenses, mixing, near_dups, odd_sketch, personal_data, prefix_trie, quality, resampling, sharding, token_counts
 from millrace.session import cut_lineage
 
 QUERIES = {}
@@ -201,3 +201,26 @@ c AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_featu
 r AS (SELECT *, words >= 20 AS able, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS n FROM c)
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND n <= (SELECT 5 * count(*) // 100 FROM c WHERE words >= 20) THEN n END AS rank FROM r
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, folder, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, list(md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) ORDER BY turn NULLS FIRST) AS s,
+  list(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT ORDER BY turn NULLS FIRST) AS w FROM conversations GROUP BY conv_id),
+c AS (SELECT *, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM t),
+b AS (SELECT c.conv_id, list_concat(coalesce(f.s[1:c.h], []), c.s[c.h + 1:]) AS s, list_concat(coalesce(f.w[1:c.h], []), c.w[c.h + 1:]) AS w
+  FROM c LEFT JOIN c AS f ON f.conv_id = c.conv_id - c.conv_id % 20),
+m AS (SELECT conv_id, unnest(range(0, len(s) + 1)) AS depth, s, w FROM b),
+n AS (SELECT s[1:depth] AS node, any_value(depth) AS depth, any_value(CASE WHEN depth = 0 THEN 0 ELSE w[depth] END) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE depth = len(s)), '')) AS ends_sha256 FROM m GROUP BY s[1:depth]),
+k AS (SELECT node[1:len(node) - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY node[1:len(node) - 1]),
+x AS (SELECT n.*, coalesce(n_children, 0)::BIGINT AS n_children FROM n LEFT JOIN k USING (node)),
+a AS (SELECT node[1:d] AS node, sum((n_children = 0)::INTEGER)::BIGINT AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM x) GROUP BY node[1:d])
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM x JOIN a ON a.node = x.node LEFT JOIN n AS p ON x.depth > 0 AND p.node = x.node[1:x.depth - 1]
+"""
