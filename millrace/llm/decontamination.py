@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.arrays import LOWER, chunks, shingle_hashes, span_hashes, words
+from millrace.llm.rows import fresh
 from millrace.session import cut_lineage
 
 SHINGLE = 5
@@ -154,8 +155,11 @@ def contained(
     hits = cut_lineage(rows.mapInArrow(run, schema), "shared-shingles").distinct()
     key = F.struct("doc_id", "text_hash").alias("doc")
     asked = hits.where("asked").select(key, "h").join(own.where("sketched").select("h", "item"), "h").select("doc", "item").distinct()
-    shared = hits.select(key, "shingle").join(own.select("shingle", "item", "n_item"), "shingle").select("doc", "item", "n_item")
-    counted = shared.join(asked, ["doc", "item"], "left_semi").groupBy("doc", "item", "n_item").agg(F.count("*").alias("n_shared"))
+    # the asked pairs bring the shingles of their item and then look for them among the document's, so a shingle
+    # that many documents and items share makes no rows for pairs that nobody asks about
+    wanted = asked.join(own.select("item", "shingle", "n_item"), "item")
+    shared = wanted.join(hits.select(key, "shingle"), ["doc", "shingle"])
+    counted = shared.groupBy("doc", "item", "n_item").agg(F.count("*").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_item")
     found = counted.where(F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("n_item") - 1e-9))
     return found.select("doc.doc_id", "doc.text_hash", "item.item_id", "n_shared", "n_item", share.alias("containment"))
@@ -163,6 +167,7 @@ def contained(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that hold no item."""
-    found = contained(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
+    own, hashed = fresh(docs, "id"), fresh(docs, "hash")
+    found = contained(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
+    match = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(hashed))
     return docs.join(cut_lineage(found, "contaminated"), match, "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import chunks
+from millrace.llm.rows import fresh
 
 #: Bytes of a window. Every text is cut into windows from its first byte to its last; zeros fill the last one.
 WINDOW = 256
@@ -208,9 +209,7 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, net: Network, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose language the network names with at least `min_score`. Texts that are null
     or have no letter go."""
-    flag = "__letter"
-    while flag in docs.columns:
-        flag += "_"
+    flag = fresh(docs, "letter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,11 +62,14 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     them to be small, and splits the partitions of large sources otherwise. Null texts have size 0; rows that repeat
     an id share their draw; a source without words has rate 0; an empty table gives none.
     """
-    rates = source_rates(docs, source_col, text_col, weights, most).select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "rate")])
-    whole = F.floor("__rate")
-    copies = whole + F.when(draw(F.col(id_col), seed) < F.col("__rate") - whole, 1).otherwise(0)
-    mix = F.struct(word_count(F.col(text_col)).alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.cast("long").alias("copies"))
-    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
+    rates = source_rates(docs, source_col, text_col, weights, most)
+    found = fresh(docs, "rates")
+    rates = rates.select(F.struct("source", "source_size", "target", "rate").alias(found))
+    rate = F.col(f"{found}.rate")
+    whole = F.floor(rate)
+    copies = whole + F.when(draw(F.col(id_col), seed) < rate - whole, 1).otherwise(0)
+    mix = F.struct(word_count(F.col(text_col)).alias("size"), F.col(f"{found}.source_size"), F.col(f"{found}.target"), copies.cast("long").alias("copies"))
+    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col(f"{found}.source")))
     return joined.select(*docs.columns, mix.alias(fresh(docs, "mix")))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrays import LOWER, chunks, single_spaced, words
 from millrace.llm.components import components
-from millrace.llm.rows import first_by_hash
+from millrace.llm.rows import first_by_hash, one_of_each
 from millrace.session import cut_lineage
 
 SEED = 42
@@ -55,14 +54,14 @@ def simhash(text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """`(doc_id, text_hash, fingerprint)` of every row, repeated rows and null ids included. `text_hash` tells
     rows of one id with different texts apart."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = pa.array(simhash(batch.column("text")).view(np.int64))
+            fp = pa.array(simhash(batch.column("text"), shingle).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fp], ["doc_id", "text_hash", "fingerprint"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -206,7 +205,7 @@ def links(prints: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, s
     return prints.mapInArrow(blocked, "task long, asked boolean, fp long").groupBy("task").applyInPandas(compare, "a long, b long")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **sizes) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, **sizes) -> DataFrame:
     """`(doc_id, text_hash, fingerprint, root, component_id)` for every row: the smallest fingerprint and the smallest
     id that links of at most `radius` bits reach, the own ones included.
 
@@ -214,7 +213,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     empty texts have the fingerprint zero and are linked like any other; null ids count as larger than all others;
     repeated rows give repeated rows; an empty table gives none. Fingerprints count as signed numbers here.
     """
-    prints = cut_lineage(fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "fingerprints")
     roots = components(links(distinct.select("fingerprint"), radius, **sizes))
     member = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "low", F.coalesce("root", "fingerprint").alias("root"))
@@ -228,9 +227,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that id, and of groups without any id, one is kept."""
     found = grouped(docs, id_col, text_col, radius, **sizes)
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root")
-    chosen = own.agg(F.first("doc_id").alias("__id"), F.min("text_hash").alias("__hash"), F.count("*").alias("__n")).drop("root")
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
-    kept = docs.join(chosen, match)
-    once = kept.where("__n = 1").select(*docs.columns)
-    again = kept.where("__n > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
-    return reduce(DataFrame.unionByName, [once, again])
+    chosen = own.agg(F.first("doc_id").alias("id"), F.min("text_hash").alias("hash"), F.count("*").alias("copies")).drop("root")
+    return one_of_each(docs, chosen, id_col, text_col)

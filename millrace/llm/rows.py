@@ -16,6 +16,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def one_of_each(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that `chosen` names by `(id, hash of the text, number of rows)`, one row of each name."""
+    own, hashed, n = (fresh(docs, name) for name in ("id", "hash", "copies"))
+    match = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(hashed))
+    kept = docs.join(chosen.toDF(own, hashed, n), match)
+    again = kept.where(F.col(n) > 1).dropDuplicates([own, hashed])
+    return kept.where(F.col(n) == 1).unionByName(again).drop(own, hashed, n)
+
+
 def word_count(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` in a text; none in a null."""
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")

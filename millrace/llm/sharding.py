@@ -74,10 +74,11 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     parts, left = [], rows
     for k, table in enumerate(found):
         cell_depth = min((k + 1) * STEP, BITS)
-        table = table.select(F.col("cell").alias("__cell"), F.col("depth").alias("__depth"))
-        placed = left.join(table, _prefix(F.col(h), cell_depth) == F.col("__cell"))
-        parts.append(placed.where("__depth is not null").select(*docs.columns, shard(bits(F.col("__depth"), F.col(h)), F.col("__depth"))))
-        left = placed.where("__depth is null").select(*rows.columns)
+        cell, depth = fresh(rows, "cell"), fresh(rows, "depth")
+        table = table.select(F.col("cell").alias(cell), F.col("depth").alias(depth))
+        placed = left.join(table, _prefix(F.col(h), cell_depth) == F.col(cell))
+        parts.append(placed.where(F.col(depth).isNotNull()).select(*docs.columns, shard(bits(F.col(depth), F.col(h)), F.col(depth))))
+        left = placed.where(F.col(depth).isNull()).select(*rows.columns)
     if len(found) * STEP >= BITS:
         number = F.row_number().over(Window.partitionBy(h).orderBy(size)) - 1
         each = F.greatest(F.floor(F.lit(shard_bytes) / F.greatest(F.col(size), F.lit(1))), F.lit(1))

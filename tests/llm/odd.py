@@ -3,6 +3,7 @@
 import re
 
 EXTRA = "fingerprint text_hash shard mix h bytes kept root part copy place size target letter base found digest".split()
+EXTRA += "id hash copies cell depth rates order at label key node __ID __hash __n __source __RATE __Cell __depth __LETTER".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(60_000))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
