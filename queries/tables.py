@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from millrace.operators import aggregates, joins, ordering, updates
 from millrace.operators.sets import union
 from millrace.session import new_shared_dir
-from millrace.sources.tables import NamedQuery, literal_rows, query_view, read_table, sql_query
+from millrace.sources.tables import NamedQuery, TableFunction, literal_rows, query_view, read_table, same_key, sql_query
 from queries.registry import query, table
 
 
@@ -292,3 +292,87 @@ def table_scan(spark, sf):
     table(spark, sf, "supplier").write.parquet(target)
     spark.catalog.createTable(name, path=target, source="parquet")
     return read_table(spark, name)
+
+
+@query(
+    """
+SELECT c.*, o.* FROM (SELECT c_custkey, c_name, c_acctbal FROM customer) AS c LEFT JOIN LATERAL
+  (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 20 * c.c_acctbal
+   ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) AS o ON true
+"""
+)
+def select_for_each(spark, sf):
+    """A SELECT run for each customer: the three dearest orders above a limit that depends on the customer."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return sql_query(
+        spark,
+        f"""SELECT o_orderkey, o_totalprice FROM {{orders}} WHERE {same_key("o_custkey", "input.c_custkey")}
+            AND o_totalprice > :times * input.c_acctbal ORDER BY o_totalprice DESC, o_orderkey LIMIT 3""",
+        {"times": 20},
+        input=customers,
+        pass_through=True,
+        orders=table(spark, sf, "orders"),
+    )
+
+
+@query(
+    """
+SELECT r.* FROM customer AS c CROSS JOIN LATERAL (SELECT count(*) AS n_orders, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total, min(o_orderkey) AS first_order
+  FROM orders WHERE o_custkey = c.c_custkey AND o_orderdate >= DATE '1995-01-01') AS r
+"""
+)
+def select_for_each_alone(spark, sf):
+    """The result alone, of a SELECT that aggregates."""
+    return sql_query(
+        spark,
+        f"""SELECT count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total, min(o_orderkey) AS first_order
+            FROM {{orders}} WHERE {same_key("o_custkey", "input.c_custkey")} AND o_orderdate >= to_date(:first_day)""",
+        {"first_day": "1995-01-01"},
+        input=table(spark, sf, "customer"),
+        orders=table(spark, sf, "orders"),
+    )
+
+
+def dear_orders(spark, sf):
+    return TableFunction(
+        spark,
+        "dear_orders",
+        "customer_key BIGINT, least DOUBLE",
+        "o_orderkey BIGINT, o_totalprice DOUBLE",
+        f"""SELECT o_orderkey, o_totalprice FROM {{orders}} WHERE {same_key("o_custkey", "customer_key")} AND o_totalprice > least
+            ORDER BY o_totalprice DESC, o_orderkey LIMIT 2""",
+        orders=table(spark, sf, "orders"),
+    )
+
+
+@query(
+    """
+SELECT c.c_custkey, c.c_mktsegment, o.* FROM customer AS c JOIN LATERAL
+  (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 10 * c.c_acctbal
+   ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) AS o ON true
+"""
+)
+def table_function_for_each(spark, sf):
+    """A table function called for each row, with columns and an expression as arguments."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    found = dear_orders(spark, sf).for_each(customers, "input.c_custkey", "10 * input.c_acctbal", keep_empty=False)
+    return found.drop("c_acctbal")
+
+
+@query(
+    """
+SELECT c.c_custkey, r.* FROM customer AS c CROSS JOIN LATERAL (SELECT count(*) AS orders, max(o_totalprice) AS dearest FROM
+  (SELECT o_totalprice FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) AS o) AS r
+"""
+)
+def table_function_nested(spark, sf):
+    """A table function that calls another one."""
+    dear_orders(spark, sf)
+    summary = TableFunction(
+        spark,
+        "dear_orders_summary",
+        "customer_key BIGINT",
+        "orders BIGINT, dearest DOUBLE",
+        "SELECT count(*), max(o_totalprice) FROM dear_orders(customer_key, 1000D)",
+    )
+    return summary.for_each(table(spark, sf, "customer").select("c_custkey"), "input.c_custkey")
