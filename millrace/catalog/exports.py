@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.paths import stem, without_suffix
 from millrace.functions.text import clean_pipeline_name
+from millrace.operators.graph import levels_within
 
 # The fields read from an export, in both layouts; names for what has none.
 STEP_TYPE = (
@@ -59,9 +60,19 @@ def export_record(text: Column, fields: Sequence[str] = ()) -> Column:
 
 def steps(docs: DataFrame, key: str = "path") -> DataFrame:
     """One row per step, `position` counting from 0 in file order; the list layout wins over the map."""
+    return docs.select(key, F.posexplode(listed_steps()).alias("position", "step"))
+
+
+def listed_steps() -> Column:
     from_map = F.transform(F.map_entries("doc.snap_map"), lambda e: e["value"])
-    listed = F.coalesce(F.col("doc.snaps"), from_map)
-    return docs.select(key, F.posexplode(listed).alias("position", "step"))
+    return F.coalesce(F.col("doc.snaps"), from_map)
+
+
+def levels(docs: DataFrame, key: str = "path") -> DataFrame:
+    """`key, step_id, depth`: the level of every step along the links of its export, without a shuffle."""
+    ends = F.transform(F.map_values("doc.link_map"), lambda e: F.struct(e["src_id"].alias("src"), e["dst_id"].alias("dst")))
+    ids = F.transform(listed_steps(), lambda s: s["instance_id"])
+    return docs.select(key, F.explode(levels_within(ends, ids)).alias("step_id", "depth"))
 
 
 def step_name(step: Column) -> Column:
@@ -85,15 +96,23 @@ def settings_of(step: Column) -> Column:
     return F.coalesce(own, F.parse_json(F.lit("{}")))
 
 
-def minimised_steps(docs: DataFrame, key: str = "path") -> DataFrame:
-    """Only what tells what a step does: name, class, settings."""
-    return steps(docs, key).select(
+def minimised_steps(docs: DataFrame, key: str = "path", with_level: bool = False) -> DataFrame:
+    """Only what tells what a step does: name, class, settings; and its level along the links, if asked for."""
+    found, level = steps(docs, key), []
+    if with_level:
+        ends = F.transform(F.map_values("doc.link_map"), lambda e: F.struct(e["src_id"].alias("src"), e["dst_id"].alias("dst")))
+        ids = F.transform(listed_steps(), lambda s: s["instance_id"])
+        leveled = docs.select(key, "doc", levels_within(ends, ids).alias("levels"))
+        found = leveled.select(key, "levels", F.posexplode(listed_steps()).alias("position", "step"))
+        level = [F.try_element_at("levels", F.col("step.instance_id")).alias("depth")]
+    return found.select(
         key,
         "position",
         F.col("step.instance_id").alias("step_id"),
         step_name(F.col("step")).alias("name"),
         F.coalesce("step.class_id", F.lit("")).alias("class_id"),
         settings_of(F.col("step")).alias("settings"),
+        *level,
     )
 
 

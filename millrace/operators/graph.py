@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.session import Rounds, cut_lineage, new_shared_dir
@@ -59,6 +59,39 @@ def step_depth(
     )
 
 
+def levels_within(links: Column, steps: Column) -> Column:
+    """`step -> depth` of a graph that one record holds: `links` is a list of `(src, dst)`, `steps` adds steps that no link names.
+
+    The same levels as `step_depth`, null on or behind a cycle, by functions on the record's own list: every turn takes the
+    links of a level away, and there are at most as many turns as links. No shuffle and no job of its own. Links and steps
+    without a name say nothing. A graph that spans records is for `step_depth`.
+    """
+    named = F.filter(F.coalesce(links, F.array().cast("array<struct<src: string, dst: string>>")), lambda e: e["src"].isNotNull() & e["dst"].isNotNull())
+    none = F.array().cast("array<struct<step: string, depth: int>>")
+    start = F.struct(F.lit(1).alias("level"), named.alias("left"), none.alias("found"))
+
+    def turn(state: Column, _: Column) -> Column:
+        waiting = F.transform(state["left"], lambda e: e["dst"])
+        gone = F.filter(state["left"], lambda e: ~F.array_contains(waiting, e["src"]))
+        stay = F.filter(state["left"], lambda e: F.array_contains(waiting, e["src"]))
+        below = F.transform(gone, lambda e: F.struct(e["dst"].alias("step"), state["level"].alias("depth")))
+        after = F.struct((state["level"] + 1).alias("level"), stay.alias("left"), F.concat(state["found"], below).alias("found"))
+        return F.when(F.size(state["left"]) == 0, state).otherwise(after)
+
+    def levels(state: Column) -> Column:
+        ends = F.flatten(F.transform(named, lambda e: F.array(e["src"], e["dst"])))
+        every = F.array_distinct(F.concat(F.filter(F.coalesce(steps, F.array().cast("array<string>")), lambda s: s.isNotNull()), ends))
+
+        def depth(step: Column) -> Column:
+            waits = F.exists(state["left"], lambda e: e["dst"] == step)
+            own = F.transform(F.filter(state["found"], lambda f: f["step"] == step), lambda f: f["depth"])
+            return F.struct(step.alias("step"), F.when(~waits, F.coalesce(F.array_max(own), F.lit(0))).alias("depth"))
+
+        return F.map_from_entries(F.transform(every, depth))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(named), F.lit(1))), start, turn, levels)
+
+
 def _not_waiting(seen: DataFrame, graph: str) -> DataFrame:
     return seen.groupBy(graph, "_step").agg(F.bool_or("_waits").alias("_waits")).filter("not _waits")
 

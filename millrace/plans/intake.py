@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import exports
 from millrace.functions.paths import WORKING_PREFIX, base_name
-from millrace.operators.graph import step_depth
 from millrace.operators.joins import classify_by_substring
 from millrace.operators.ordering import unique_names
 from millrace.operators.routing import with_export_flag
@@ -19,6 +18,7 @@ from millrace.sources.delimited import decode_bytes
 
 @dataclass(frozen=True)
 class Catalog:
+    docs: DataFrame
     pipelines: DataFrame
     steps: DataFrame
     links: DataFrame
@@ -43,6 +43,7 @@ def catalog(files: DataFrame, key: str = "path", text: str = "text") -> Catalog:
     docs, junk = parsed.filter("_ok").select(key, "doc"), parsed.filter("not _ok").select(key, text)
     steps = exports.minimised_steps(docs, key)
     return Catalog(
+        docs=docs,
         pipelines=exports.pipeline_name(docs, key),
         steps=classify_by_substring(steps, "name", "class_id"),
         links=exports.links(docs, key),
@@ -53,8 +54,9 @@ def catalog(files: DataFrame, key: str = "path", text: str = "text") -> Catalog:
 
 
 def steps_in_order(found: Catalog, key: str = "path") -> DataFrame:
-    """Steps with their level in the graph: the order in which data flows, not the order in the file."""
-    return found.steps.join(step_depth(found.links, graph=key, steps=found.steps), [key, "step_id"], "left")
+    """Steps with their level in the graph: the order in which data flows, not the order in the file. An export holds its
+    whole graph, so the levels come out of its record: no join, no shuffle, no loop of jobs."""
+    return classify_by_substring(exports.minimised_steps(found.docs, key, with_level=True), "name", "class_id")
 
 
 def quarantine_names(junk: DataFrame, order: list[str], taken: DataFrame | None = None, key: str = "path") -> DataFrame:

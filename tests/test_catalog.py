@@ -16,29 +16,31 @@ def step(i, cls, label, settings, **more):
     return {"class_id": f"com-example-{cls}", "instance_id": i, "instance_version": 1, "property_map": properties, **more}
 
 
-STAGING = {
+#: A survey's answers are scored, the weak ones set apart, and both kinds written: steps in no order, one of them without a link.
+SURVEY = {
     "class_fqid": "com-example-pipeline_9",
     "link_map": {
-        f"link{n}": {"src_view_id": "output0", "dst_view_id": "input0", "src_id": a, "dst_id": b, "isGoto": False}
-        for n, (a, b) in enumerate(["tr", "rc", "cy", "yi", "ym", "ml"])
+        f"edge-{a}{b}": {"src_view_id": "output0", "dst_view_id": "input0", "src_id": a, "dst_id": b, "isGoto": a == "sift"}
+        for a, b in [("sift", "weak"), ("ask", "score"), ("rates", "score"), ("score", "sift"), ("sift", "keep"), ("weak", "mail"), ("keep", "mail")]
     },
     "property_map": {
-        "info": {"label": {"value": "load to  staging!"}},
+        "info": {"label": {"value": "score  answers?"}},
         "settings": {"param_table": {"value": [
-            {"key": {"value": "Folder"}, "value": {"value": "$Folder"}, "required": {"value": False},
+            {"key": {"value": "Region"}, "value": {"value": "north"}, "required": {"value": True},
              "data_type": {"value": "string"}, "description": {"value": None}, "capture": {"value": False}},
-            {"key": {"value": "filename"}, "value": {"value": "$filename"}, "data_type": {"value": "string"}},
+            {"key": {"value": "since"}, "value": {"value": "$since"}, "data_type": {"value": "date"}},
         ]}},
     },
-    "render_map": {"detail_map": {"l": {"grid_x_int": 7}}},
+    "render_map": {"detail_map": {"ask": {"grid_x_int": 7}}},
     "snap_map": {
-        "l": step("l", "flow-tail", "Tail", {"numOfDocs": {"value": 1}, "offset": {"value": 0}}),
-        "r": step("r", "binary-simpleread", "File Reader", {"filePath": {"expression": True, "value": "_a + _b"}}),
-        "m": step("m", "transform-datatransform", "Mapper1", {"t": {"value": {"table": {"value": [{"x": 1, "k": {"y": 2, "z": None}}]}}}}),
-        "t": step("t", "sqlserver-execute", "Truncate", {"passThrough": {"value": True}}, view={"x": 1}),
-        "c": step("c", "transform-csvparser", "CSV Parser", {"delimiter": {"value": "^"}, "width": {"value": 3}}),
-        "i": step("i", "sqlserver-insert", " Insert to Rows", {}),
-        "y": step("y", "flow-copy", "Copy", {"views": {"value": []}, "deep": {"color": "red", "kept": {"height": 1}}}),
+        "mail": step("mail", "notify-post", "Post letter", {"copies": {"value": 2}, "bcc": {"value": None}}),
+        "score": step("score", "transform-datatransform mapper", "Points", {"rules": {"value": {"list": {"value": [{"x": 1, "by": {"y": 2, "z": None}}]}}}}),
+        "ask": step("ask", "web-form", "Answers", {"url": {"expression": True, "value": "_host + '/form'"}}, view={"x": 1}),
+        "weak": step("weak", "sqlserver-insert", " Weak ones", {}),
+        "note": step("note", "canvas-note", "Remark", {"lines": {"value": []}, "deep": {"color": "red", "kept": {"height": 1}}}),
+        "rates": step("rates", "csvparser", "Rates", {"delimiter": {"value": ";"}, "width": {"value": 3}}),
+        "sift": step("sift", "flow-sieve", "Sieve", {"least": {"value": 0.5}}),
+        "keep": step("keep", "flow-heap", "Heap", {"passThrough": {"value": True}}),
     },
 }
 
@@ -59,11 +61,11 @@ ODD = {
 
 @pytest.fixture
 def folder(tmp_path):
-    (tmp_path / "load_sanitized.json").write_text(json.dumps(STAGING))
+    (tmp_path / "score_sanitized.json").write_text(json.dumps(SURVEY))
     (tmp_path / "odd.json").write_text(json.dumps(ODD))
     (tmp_path / "bare_sanitized.json").write_text('{"snaps": []}')
     (tmp_path / "list.json").write_text("[1]")
-    (tmp_path / "cut.json").write_text(json.dumps(STAGING)[:-1])
+    (tmp_path / "cut.json").write_text(json.dumps(SURVEY)[:-1])
     (tmp_path / "bytes.json").write_bytes(b'{"snaps": "\xff"}')
     (tmp_path / "temp_sanitized_x.json").write_text(json.dumps(ODD))
     return str(tmp_path)
@@ -76,22 +78,27 @@ def by_file(rows):
 def test_intake(spark, folder):
     found = catalog(files_with_text(read_binary(spark, folder)))
     assert by_file(found.pipelines.collect()) == [
-        ("bare_sanitized.json", "bare"), ("load_sanitized.json", "load_to_staging_"), ("odd.json", "In_ner")
+        ("bare_sanitized.json", "bare"), ("odd.json", "In_ner"), ("score_sanitized.json", "score_answers_")
     ]
     assert by_file(found.junk.select("path").collect()) == [("bytes.json",), ("cut.json",), ("list.json",)]
     named = by_file(found.steps.select("path", "position", "name", "kind").collect())
-    assert [r[1:] for r in named if r[0].startswith("load")] == [
-        (0, "Tail", None), (1, "File Reader", "simpleread"), (2, "Mapper1", "mapper"), (3, "Truncate", None),
-        (4, "CSV Parser", "csvparser"), (5, " Insert to Rows", "sqlserver-insert"), (6, "Copy", None),
+    assert [r[1:] for r in named if r[0].startswith("score")] == [
+        (0, "Post letter", None), (1, "Points", "mapper"), (2, "Answers", None), (3, " Weak ones", "sqlserver-insert"),
+        (4, "Remark", None), (5, "Rates", "csvparser"), (6, "Sieve", None), (7, "Heap", None),
     ]
     assert sorted(named, key=lambda r: r[:2]) and [
         r[2] for r in sorted((x for x in named if x[0] == "odd.json"), key=lambda r: r[1])
     ] == ["Named", "id1", "Unknown", None, "id2", "Snap", ""]
-    ordered = steps_in_order(found).filter(F.col("path").contains("load"))
-    assert {r.step_id: r.depth for r in ordered.collect()} == {"t": 0, "r": 1, "c": 2, "y": 3, "i": 4, "m": 4, "l": 5}
-    assert found.links.count() == 6
+    ordered = steps_in_order(found).filter(F.col("path").contains("score"))
+    levels = {"ask": 0, "rates": 0, "note": 0, "score": 1, "sift": 2, "weak": 3, "keep": 3, "mail": 4}
+    assert {r.step_id: r.depth for r in ordered.collect()} == levels
+    apart = step_depth(found.links, graph="path", steps=found.steps).filter(F.col("path").contains("score"))
+    assert {r.step_id: r.depth for r in apart.collect()} == levels
+    within = exports.levels(found.docs).filter(F.col("path").contains("score"))
+    assert {r.step_id: r.depth for r in within.collect()} == levels
+    assert found.links.count() == 7
     assert by_file(found.parameters.drop("path").select(F.lit("/p"), "*").collect()) == [
-        ("p", 0, "Folder", "$Folder", "string", None, False, False), ("p", 1, "filename", "$filename", "string", None, None, None)
+        ("p", 0, "Region", "north", "string", None, True, False), ("p", 1, "since", "$since", "date", None, None, None)
     ]
 
 
@@ -104,9 +111,9 @@ def test_triage_loses_nothing(spark, folder):
 def test_settings(spark, folder):
     found = catalog(read_pipeline_exports(spark, folder, "*.json").filter(~F.col("path").contains("bytes")))
     rows = {(r.step_id, r.setting): (r.is_expression, r.value) for r in found.settings.collect()}
-    assert rows[("r", "filePath")] == (True, "_a + _b")
-    assert rows[("l", "numOfDocs")] == (False, "1")
-    assert rows[("y", "views")] == (False, "[]")
+    assert rows[("ask", "url")] == (True, "_host + '/form'")
+    assert rows[("mail", "copies")] == (False, "2") and rows[("sift", "least")] == (False, "0.5")
+    assert rows[("note", "lines")] == (False, "[]")
     assert rows[(None, "a")] == (False, "1")
     assert ("id1", "not") not in rows and rows[("id1", "y")] == (False, "2")
 
@@ -116,8 +123,8 @@ def test_layout(spark, folder):
     rows = {r.path.rsplit("/", 1)[1]: r for r in exports.step_layout(files).collect()}
     assert rows["odd.json"].layout == "list" and rows["odd.json"].n_steps == 7
     assert rows["odd.json"].first_step_keys == "name,class_id,settings,view"
-    load = rows["load_sanitized.json"]
-    assert (load.layout, load.n_steps, load.property_keys) == ("map", 7, "info,settings")
+    load = rows["score_sanitized.json"]
+    assert (load.layout, load.n_steps, load.property_keys) == ("map", 8, "info,settings")
 
 
 def pruned(node):
@@ -128,16 +135,16 @@ def pruned(node):
 
 def test_strip(spark):
     plain = {"snaps": [{"view": 1, "x": 2, "settings": {"view": 3}}], "x": 4, "view": 5}
-    texts = [json.dumps(d) for d in (STAGING, ODD, plain, [1], "ä")] + ["{", None]
+    texts = [json.dumps(d) for d in (SURVEY, ODD, plain, [1], "ä")] + ["{", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     out = [r.text and json.loads(r.text) for r in strip.strip_layout(rows).orderBy("i").collect()]
-    want = {k: v for k, v in STAGING.items() if k != "render_map"}
-    want["snap_map"] = {k: pruned(v) for k, v in STAGING["snap_map"].items()}
-    assert out[0] == want and list(out[0]["snap_map"]) == list(STAGING["snap_map"])
+    want = {k: v for k, v in SURVEY.items() if k != "render_map"}
+    want["snap_map"] = {k: pruned(v) for k, v in SURVEY["snap_map"].items()}
+    assert out[0] == want and list(out[0]["snap_map"]) == list(SURVEY["snap_map"])
     assert out[1]["snaps"][0] == {k: v for k, v in ODD["snaps"][0].items() if k != "view"} and "job_stats" not in out[1]
     assert out[2] == {"snaps": [{"x": 2, "settings": {"view": 3}}], "x": 4, "view": 5}
     assert out[3:] == [None] * 4
-    assert "view_serial" in out[0]["snap_map"]["l"]["property_map"]
+    assert "view_serial" in out[0]["snap_map"]["mail"]["property_map"]
 
 
 def innermost(node, place=""):
@@ -152,10 +159,10 @@ def innermost(node, place=""):
 
 
 def test_inner_values(spark):
-    rows = spark.createDataFrame([("f", json.dumps(STAGING))], "path string, text string")
+    rows = spark.createDataFrame([("f", json.dumps(SURVEY))], "path string, text string")
     steps = exports.minimised_steps(exports.parse_exports(rows, fields=exports.STEP_FIELDS))
     found = strip.layout_free_values(steps).collect()
-    for name, source in STAGING["snap_map"].items():
+    for name, source in SURVEY["snap_map"].items():
         have = {r.place for r in found if r.step_id == name} - {""}
         want = set(innermost(pruned(source["property_map"]["settings"]))) - {""}
         # An object whose keys were all canvas data has no inner value left.
