@@ -52,6 +52,46 @@ def first_contained(text: Column, patterns: Sequence[str] = STEP_KINDS) -> Colum
     return F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in patterns])
 
 
+#: Length of the pieces by which patterns are looked up.
+PIECE = 3
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """The distinct runs of `n` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def classify_by_patterns(df: DataFrame, text: Column, patterns: DataFrame, key: str, column: str = "kind") -> DataFrame:
+    """The rows with the kind of the first pattern that occurs in the lower-case text; null when none does.
+
+    `patterns` has `pattern, priority, kind`; the least priority wins, then the smaller pattern. `key` names rows of `df`.
+    Each pattern is looked up by the one of its pieces of three characters that the fewest texts have (a shorter pattern by
+    itself), so texts meet only patterns with which they share a rare piece, by an equi-join; patterns with a piece that no
+    text has drop out. What meets is then searched for as a whole. Null texts, keys and patterns match nothing; an empty
+    pattern is in every text.
+    """
+    known = patterns.where("pattern is not null").select(F.lower("pattern").alias("pattern"), "priority", "kind")
+    known = known.groupBy("pattern").agg(F.min(F.struct("priority", "kind")).alias("first"))
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.lower(text).alias("_text")).where("_text is not null")
+    size = F.least(F.length("pattern"), F.lit(PIECE))
+    by_size = F.coalesce(*[F.when(size == n, _pieces(F.col("pattern"), n)) for n in range(1, PIECE + 1)], F.array(F.lit("")))
+    wanted = known.select("pattern", "first", F.explode(by_size).alias("piece"))
+    # texts give pieces of those lengths only that patterns ask for
+    sizes = [r[0] for r in wanted.select(F.length("piece")).distinct().collect()]  # at most four
+    own = F.flatten(F.array(*[F.array(F.lit("")) if n == 0 else _pieces(F.col("_text"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    pieces = texts.select("_key", F.explode(own).alias("piece"))
+    counts = pieces.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "piece", "left").groupBy("pattern").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rare"), F.first("first").alias("first")
+    )
+    index = rarest.where("rare.n > 0").select("pattern", "first", "rare.piece")
+    met = pieces.join(index, "piece").select("_key", "pattern", "first")
+    found = texts.join(met, "_key").where(F.contains("_text", "pattern"))
+    best = found.groupBy("_key").agg(F.min(F.struct("first.priority", "pattern", "first.kind")).alias("_best"))
+    joined = df.join(best, F.col(key) == F.col("_key"), "left")
+    return joined.select(*df.columns, F.col("_best.kind").alias(column))
+
+
 def classify_by_substring(
     df: DataFrame, name: str, class_id: str, patterns: Sequence[str] = STEP_KINDS, column: str = "kind"
 ) -> DataFrame:

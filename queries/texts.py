@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions import dates, paths, text
 from millrace.functions.redaction import redacted_by_kind
 from millrace.operators.aggregates import assemble
-from millrace.operators.joins import classify_by_substring
+from millrace.operators.joins import classify_by_patterns, classify_by_substring
 from millrace.operators.sets import union_positional
 from millrace.sinks.writers import csv_format
 from queries.registry import query, table
@@ -59,6 +59,22 @@ def classify_substring(spark, sf):
     return classify_by_substring(parts, "p_name", "p_type", ["ring", "plate", "promo", "red"]).select("p_partkey", "kind")
 
 
+@query(
+    """
+WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS pattern FROM benchmark),
+p AS (SELECT pattern, row_number() OVER (ORDER BY length(pattern) DESC, pattern) AS priority FROM w)
+SELECT doc_id, (SELECT min_by(pattern, priority) FROM p WHERE contains(lower(text), pattern)) AS kind FROM documents
+"""
+)
+def classify_by_pattern_table(spark, sf):
+    """The longest word of any benchmark item that occurs in a document: thousands of patterns, looked up by rare pieces."""
+    words = F.explode(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{6,}"), F.lit(0)))
+    patterns = table(spark, sf, "benchmark").select(words.alias("word")).select(F.lower("word").alias("pattern")).distinct()
+    patterns = patterns.select("pattern", F.struct(-F.length("pattern"), "pattern").alias("priority"), F.col("pattern").alias("kind"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return classify_by_patterns(docs, F.col("text"), patterns, "doc_id").select("doc_id", "kind")
+
+
 WIDGET = "dbutils.widgets.get"
 
 

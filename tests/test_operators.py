@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import aggregates, graph, mapping, routing, sets, updates
+from millrace.operators import aggregates, graph, joins, mapping, routing, sets, updates
 
 
 def test_routes_reconcile(spark):
@@ -99,15 +101,18 @@ def test_update_and_move_keep_all_rows(spark):
 def depths(spark, edges, steps=None):
     links = spark.createDataFrame([("p", a, b) for a, b in edges], "pipeline string, src_id string, dst_id string")
     extra = spark.createDataFrame([("p", s) for s in steps], "pipeline string, step_id string") if steps else None
-    return {r.step_id: r.depth for r in graph.step_depth(links, steps=extra).collect()}
+    found = {r.step_id: r.depth for r in graph.step_depth(links, steps=extra).collect()}
+    listed = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in edges])
+    within = spark.range(1).select(graph.levels_within(listed, F.array(*map(F.lit, steps or [])).cast("array<string>")).alias("m")).first().m
+    assert within == found
+    return found
 
 
 def test_longest_path_levels(spark):
-    edges = [("trunc", "read"), ("read", "csv"), ("csv", "copy"), ("copy", "insert"), ("copy", "map"), ("map", "tail")]
-    assert depths(spark, edges) == {"trunc": 0, "read": 1, "csv": 2, "copy": 3, "insert": 4, "map": 4, "tail": 5}
-    edges = [("read", "write"), ("write", "del"), ("del", "count"), ("count", "route"), ("route", "ok"), ("route", "warn"), ("ok", "union"), ("warn", "union")]
-    assert depths(spark, edges, ["alone", "union"])["union"] == 6
-    assert depths(spark, edges, ["alone", "union"])["alone"] == 0
+    edges = [("seed", "sprout"), ("water", "sprout"), ("sprout", "leaf"), ("leaf", "bloom"), ("sprout", "root"), ("root", "bloom"), ("bloom", "fruit")]
+    levels = {"seed": 0, "water": 0, "sprout": 1, "leaf": 2, "root": 2, "bloom": 3, "fruit": 4}
+    assert depths(spark, edges) == levels
+    assert depths(spark, edges, ["stone", "fruit"]) == {**levels, "stone": 0}
     assert depths(spark, [("a", "b"), ("a", "c"), ("b", "c"), ("a", "b")]) == {"a": 0, "b": 1, "c": 2}
 
 
@@ -116,6 +121,36 @@ def test_cycles_have_no_level(spark):
     assert found == {"a": 0, "e": 1, "b": None, "c": None, "d": None, "f": None}
 
 
+def test_levels_within_a_record(spark):
+    """A long chain, a long cycle, no links at all, links without an end, a step named twice: one job for all."""
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(200)]
+    rows = [(1, chain, ["n0", "n0", "x"]), (2, [*chain, ("n200", "n0")], ["x"]), (3, [], ["a", None]), (4, None, None), (5, [("a", None), (None, "b"), ("a", "b")], [])]
+    table = spark.createDataFrame(rows, "id int, links array<struct<src: string, dst: string>>, steps array<string>")
+    got = {r.id: r.m for r in table.select("id", graph.levels_within(F.col("links"), F.col("steps")).alias("m")).collect()}
+    assert got[1] == {**{f"n{k}": k for k in range(201)}, "x": 0}
+    assert got[2] == {**{f"n{k}": None for k in range(201)}, "x": 0}
+    assert (got[3], got[4], got[5]) == ({"a": 0}, {}, {"a": 0, "b": 1})
+
+
+def plain_kind(text, patterns):
+    fits = [(p, w, k) for w, p, k in patterns if w is not None and text is not None and w.lower() in text.lower()]
+    return min(fits)[2] if fits else None
+
+
+def test_classify_by_patterns(spark):
+    rng = random.Random(4)
+    texts = [(k, "".join(rng.choice("abcD .%_\nä中") for _ in range(rng.randrange(60)))) for k in range(300)] + [(1000, None), (1001, ""), (1002, "A" * 50_000 + "bcd")]
+    patterns = [("".join(rng.choice("abcd .%_ä中") for _ in range(rng.randrange(1, 7))), rng.randrange(5), f"k{n}") for n in range(200)]
+    patterns = list({p[0]: p for p in patterns}.values()) + [(None, 0, "none"), ("abcdabcdabcdabcd", 0, "long")]
+    table = spark.createDataFrame(texts, "id long, text string").withColumn("priority", F.lit(1)).withColumn("piece", F.lit("x"))
+    for some in (patterns, [p for p in patterns if p[0] and len(p[0]) > 3], [("", 9, "all"), ("Dd", 1, "two")], []):
+        known = spark.createDataFrame(some, "pattern string, priority int, kind string")
+        got = {r.id: r.kind for r in joins.classify_by_patterns(table, F.col("text"), known, "id").collect()}
+        assert got == {k: plain_kind(t, some) for k, t in texts}
+    plan = joins.classify_by_patterns(table, F.col("text"), known, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_same_result_for_any_partitioning(spark):
     rows = spark.range(1000).withColumn("k", F.col("id") % 7)
     one, many = rows.coalesce(1), rows.repartition(8)
