@@ -15,7 +15,7 @@ from millrace.operators.routing import split_errors
 from millrace.operators.sets import union
 from millrace.operators.updates import mark_matched
 from millrace.session import cut_lineage
-from millrace.sinks.writers import csv_format, guard_non_empty, named_step, write_csv, write_error_report
+from millrace.sinks.writers import append_run, csv_format, guard_non_empty, named_step, write_csv, write_error_report
 
 
 @dataclass(frozen=True)
@@ -71,13 +71,14 @@ def rejected(queue: DataFrame, valid_ids: DataFrame, key: str) -> DataFrame:
     return anti_join(queue, valid_ids, key)
 
 
-def write_request_export(run: RequestExport, folder: str) -> str | None:
-    """Write the parts; an export without rows is a failure, one without errors has no error report."""
+def write_request_export(run: RequestExport, folder: str, name: str = "run") -> str | None:
+    """Write the parts; an export without rows is a failure, one without errors has no error report. `name` tells runs
+    apart: a job that is repeated under its name replaces its own rows of the log, which `writers.read_runs` reads."""
     with named_step("write export"):
         guard_non_empty(run.export_lines, "write export").write.mode("overwrite").text(f"{folder}/export")
     with named_step("write summary"):
         write_csv(run.summary, f"{folder}/summary")
     with named_step("move to log"):
-        run.log.write.mode("append").parquet(f"{folder}/log")
+        append_run(run.log, f"{folder}/log", name)
     with named_step("write error report"):
         return None if run.errors.isEmpty() else write_error_report(run.errors, folder)

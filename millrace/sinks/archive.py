@@ -47,16 +47,19 @@ def _append(df: DataFrame, folder: str, name: str, modified: Sequence[str]) -> N
 def read_archive(spark: SparkSession, folder: str, replaced: bool = False) -> DataFrame:
     """The archive, one row per month and name; a filter on `yyyymm` reads only those months.
 
-    The last version of each name is found on month, name, run and stamps alone. What it replaced
-    is then left out by a join with its numbers, which is small where little is replaced.
+    The last version of a name is the one with the last stamps, and of equal ones that of the last run: an older file
+    that is archived later replaces nothing. It is found on month, name, run and stamps alone. What it replaced is then
+    left out by a join with its numbers, which is small where little is replaced.
     """
     stored = spark.read.parquet(folder)
     stored = stored.withColumn(MONTH, F.col(MONTH).cast("string")).filter(F.col(RUN).isin(_runs(spark, folder).ended()))
-    narrow = stored.select(MONTH, NAME, RUN, VERSION)
-    latest = narrow.groupBy(MONTH, NAME).agg(F.max(F.struct(RUN, VERSION)).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    stamps = [F.col(f"{VERSION}.`{c}`") for c in stored.schema[VERSION].dataType.names]
+    # the last field of a version only tells rows of one run apart
+    narrow = stored.select(MONTH, NAME, RUN, VERSION, F.struct(*stamps[:-1], RUN, stamps[-1]).alias("_age"))
+    latest = narrow.groupBy(MONTH, NAME).agg(F.max("_age").alias("_last"), F.count(F.lit(1)).alias("_n"))
     several = latest.filter("_n > 1").select(F.col(MONTH).alias("_m"), F.col(NAME).alias("_f"), "_last")
     same = (F.col(MONTH) == F.col("_m")) & F.col(NAME).eqNullSafe(F.col("_f"))
-    older = narrow.join(several, same).filter(F.struct(RUN, VERSION) < F.col("_last"))
+    older = narrow.join(several, same).filter(F.col("_age") < F.col("_last"))
     older = older.select(F.col(MONTH).alias("_m"), F.col(RUN).alias("_r"), F.col(f"{VERSION}._row").alias("_row"))
     gone = (F.col(MONTH) == F.col("_m")) & (F.col(RUN) == F.col("_r")) & (F.col(f"{VERSION}._row") == F.col("_row"))
     kept = stored if replaced else stored.join(older, gone, "left_anti")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,49 @@ def append_table(df: DataFrame, table: str) -> None:
     df.write.mode("append").saveAsTable(table)
 
 
+def append_run(df: DataFrame, folder: str, run: str) -> None:
+    """Add the rows of a run to a log that may be written again: a repeated run takes the place of its own rows.
+
+    The rows go to a folder of this run, and a marker tells readers that it ended; until then, and after a run that
+    failed, they see what was there before. `read_runs` reads the log.
+    """
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{folder}/{RUNS}/{run}/{attempt}")
+    marks = run_marks(spark, folder)
+    marks.put(run, attempt)
+    spark.catalog.refreshByPath(folder)
+
+
+def read_runs(spark: SparkSession, folder: str, column: str = "run") -> DataFrame:
+    """The rows of all runs that ended, with the run they belong to."""
+    ended = run_marks(spark, folder).last()
+    if not ended:
+        raise StepFailed(f"read {folder}", "no run has ended")
+    parts = [spark.read.parquet(f"{folder}/{RUNS}/{run}/{attempt}").withColumn(column, F.lit(run)) for run, attempt in sorted(ended.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+RUNS = "runs"
+
+
+class run_marks:
+    """Empty files that name a run, the order of its attempts and the attempt that holds its rows."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.folder = self.path(folder, "_ended")
+        self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(self, run: str, attempt: str) -> None:
+        self.files.create(self.path(self.folder, f"{run}.{time.time_ns()}.{attempt}")).close()
+
+    def last(self) -> dict[str, str]:
+        if not self.files.exists(self.folder):
+            return {}
+        names = sorted((f.getPath().getName().rsplit(".", 2) for f in self.files.listStatus(self.folder)), key=lambda n: int(n[1]))
+        return {run: attempt for run, _, attempt in names}
+
+
 def truncate_load(df: DataFrame, table: str) -> None:
     """Replace the rows of an existing table.
 

@@ -241,14 +241,14 @@ def error_report(spark, sf):
 SELECT yyyymm, o_custkey, o_orderkey, o_orderdate FROM (
   SELECT strftime(o_orderdate, '%Y%m') AS yyyymm, o_custkey, o_orderkey, o_orderdate,
          row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y%m'), o_custkey
-                            ORDER BY o_orderstatus = 'F', o_orderdate DESC, o_orderkey DESC) AS r
+                            ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
   FROM orders)
 WHERE r = 1
 """
 )
 def archive_months(spark, sf):
-    """Two runs into one archive. A customer stands for a file name: the second run replaces the
-    names it has and leaves the others of the month; within a run the last version wins."""
+    """Two runs into one archive. A customer stands for a file name: of the versions of a month the last one by
+    its date wins, whichever run brought it."""
     folder = new_shared_dir(spark, "archive")
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
     month = month_stamp(F.col("o_orderdate"))

@@ -8,6 +8,7 @@ from millrace.plans.request_export import rejected, request_export, write_reques
 from millrace.session import new_shared_dir
 from millrace.sinks.archive import read_archive
 from millrace.sinks.outbox import Run, sender_address, with_content
+from millrace.sinks.writers import append_run, read_runs
 from queries.registry import query, table
 
 INSTANT = "2024-07-15 18:05:09"
@@ -135,7 +136,7 @@ def request_export_written(spark, sf):
     return union(
         spark.read.text(f"{folder}/export").agg(n).select(F.lit("export").alias("part"), "n"),
         spark.read.csv(f"{folder}/summary", header=True).agg(n).select(F.lit("summary").alias("part"), "n"),
-        spark.read.parquet(f"{folder}/log").agg(n).select(F.lit("log").alias("part"), "n"),
+        read_runs(spark, f"{folder}/log").agg(n).select(F.lit("log").alias("part"), "n"),
         spark.read.csv(report, header=True).agg(n).select(F.lit("errors").alias("part"), "n"),
     )
 
@@ -186,3 +187,19 @@ def request_export_counts(spark, sf):
         run.queue.groupBy(F.concat(F.lit("queue "), "status").alias("part")).agg(n),
         rejected(queue, valid, "o_orderkey").groupBy(F.lit("rejected").alias("part")).agg(n),
     )
+
+
+@query(
+    """
+SELECT run, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM (SELECT o_orderkey, CASE WHEN o_orderdate < DATE '1996-01-01' THEN 'early' ELSE 'late' END AS run FROM orders)
+GROUP BY run
+"""
+)
+def log_repeated_runs(spark, sf):
+    """Two runs into one log, the first of which is repeated after it had written too little: it is there once."""
+    folder = new_shared_dir(spark, "run-log")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    early = orders.filter("o_orderdate < DATE '1996-01-01'")
+    for name, rows in (("early", early.filter("o_orderkey % 2 = 0")), ("late", orders.filter("o_orderdate >= DATE '1996-01-01'")), ("early", early)):
+        append_run(rows, folder, name)
+    return read_runs(spark, folder).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))

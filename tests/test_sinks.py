@@ -112,8 +112,11 @@ def test_archive(spark, tmp_path):
     run([("c", 1, "c")], "2024-02-01 00:00:00")
     january = [("202401", "a", 2, "new"), ("202401", "b", 1, "b"), ("202401", "e", 1, "")]
     assert archived(spark, folder) == [*january, ("202402", "c", 1, "c")]
-    run([("b", 0, "again")], "2024-01-05 00:00:00")
-    january[1] = ("202401", "b", 0, "again")
+    # an older file that comes later replaces nothing; of equal stamps the last run wins
+    run([("b", 0, "older")], "2024-01-05 00:00:00")
+    assert archived(spark, folder) == [*january, ("202402", "c", 1, "c")]
+    run([("b", 1, "again")], "2024-01-05 00:00:00")
+    january[1] = ("202401", "b", 1, "again")
     assert archived(spark, folder) == [*january, ("202402", "c", 1, "c")]
     run([("b", 0, "again")], "2024-01-05 00:00:00")
     assert archived(spark, folder) == [*january, ("202402", "c", 1, "c")]
@@ -142,7 +145,7 @@ def test_request_export_files(spark, tmp_path):
     report = write_request_export(run, str(tmp_path))
     assert report and glob.glob(report + "/part-*")
     assert [r.value for r in spark.read.text(f"{tmp_path}/export").collect()] == ["1,m,0,d,Fulfilled"]
-    assert spark.read.parquet(f"{tmp_path}/log").first().status == "complete"
+    assert writers.read_runs(spark, f"{tmp_path}/log").first().status == "complete"
     none = request_export(queue, ids.limit(0), items, "id", "kind", {"m": "m"}, F.col("bad") == 1, "detail")
     with pytest.raises(writers.StepFailed, match="write export"):
         write_request_export(none, str(tmp_path))
@@ -203,3 +206,20 @@ def test_queue_and_log_come_from_one_join(spark):
     assert sorted((r.k is None, r.k) for r in rest.collect()) == [(False, 0), (False, 2), (False, 3), (False, 5), (True, None)]
     plan = updates.with_destination(queue, done, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_log_of_runs(spark, tmp_path):
+    """A repeated run is there once, a failed one not at all."""
+    folder = str(tmp_path / "log")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    with pytest.raises(writers.StepFailed):
+        writers.read_runs(spark, folder)
+    writers.append_run(rows(1, 2), folder, "first.a")
+    writers.append_run(rows(7), folder, "second")
+    broken = rows(3).withColumn("id", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        writers.append_run(broken, folder, "first.a")
+    read = lambda: sorted((r.run, r.id) for r in writers.read_runs(spark, folder).collect())
+    assert read() == [("first.a", 1), ("first.a", 2), ("second", 7)]
+    writers.append_run(rows(1, 5), folder, "first.a")
+    assert read() == [("first.a", 1), ("first.a", 5), ("second", 7)]
