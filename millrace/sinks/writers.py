@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import re
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -112,21 +114,52 @@ class run_marks:
         return {run: attempt for run, _, attempt in names}
 
 
-def truncate_load(df: DataFrame, table: str) -> None:
+def truncate_load(df: DataFrame, table: str, in_place: bool = False) -> None:
     """Replace the rows of an existing table.
 
-    An overwrite empties the table before its tasks run. So the new rows are computed into the shared
-    folder first: when that fails, the old rows are still there.
+    The rows are written once, to a new folder beside the table's; then the table moves there in one step of the
+    catalog, and the old folder is deleted. A load that fails leaves the table as it was. What knows the folder and not
+    the table has to ask the catalog for it; `in_place` keeps the folder, as tables with partitions always do: the
+    rows are then computed into the shared folder first, since an overwrite empties the table before its tasks run.
     """
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
         raise StepFailed(f"load {table}", "the table does not exist")
+    rows = df.select(*[f"`{c.name}`" for c in spark.catalog.listColumns(table)])
+    about = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {table} AS JSON").first()[0])
+    if not in_place and not about.get("partition_columns"):
+        _move_to(rows, table, about)
+        return
     folder = new_shared_dir(spark, "load")
-    df.select(*spark.table(table).columns).write.parquet(folder)
+    rows.write.parquet(folder)
     spark.read.schema(spark.table(table).schema).parquet(folder).write.insertInto(table, overwrite=True)
     remove(spark, folder)
 
 
+def _move_to(rows: DataFrame, table: str, about: dict) -> None:
+    """Write into a new table of the same definition in its own folder, then give that folder to the old name."""
+    spark, load = rows.sparkSession, uuid.uuid4().hex
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    old = path(about["location"])
+    new = path(old.getParent(), f"{re.sub(r'-load-[0-9a-f]{32}$', '', old.getName())}-load-{load}")
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = new.toString().replace("\\", "\\\\").replace("'", "\\'")
+    names = [*about.get("namespace", []), f"{about['table_name']}_load_{load}"]
+    beside = ".".join(f"`{n}`" for n in names)
+    spark.sql(f"CREATE TABLE {beside} LIKE {table} LOCATION '{place}'")
+    try:
+        rows.write.insertInto(beside)
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
+    except Exception:
+        files.delete(new, True)
+        raise
+    finally:
+        # A table with a location of its own: its rows stay.
+        drop_table(spark, beside)
+    spark.catalog.refreshTable(table)
+    files.delete(old, True)
+
+
 def jdbc_load(df: DataFrame, url: str, table: str, properties: dict[str, str], truncate: bool = False) -> None:
     """The same into a database: append, or truncate and load."""
     writer = df.write.mode("overwrite" if truncate else "append").option("truncate", truncate)

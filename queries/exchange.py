@@ -8,7 +8,7 @@ from millrace.session import new_shared_dir
 from millrace.sinks import archive, writers
 from millrace.sources import files
 from millrace.sources.exports import read_pipeline_exports
-from millrace.streaming.intake import intake_to, new_files, read_intake, run_available
+from millrace.streaming.intake import intake_to, new_files, read_intake, run_and_retire, run_available
 from queries.registry import query, table
 
 
@@ -49,15 +49,13 @@ def stream_intake_files(spark, sf):
 
 @query("SELECT 'kept' AS part, CAST(c_custkey AS VARCHAR) AS line FROM customer UNION ALL SELECT 'files left', '0'")
 def stream_intake_retired(spark, sf):
-    """Files are deleted behind the stream, except those of its last batch, which a later run takes away."""
-    folder, target, state = (new_shared_dir(spark, name) for name in ("retire-in", "retire-out", "retire-state"))
-    table(spark, sf, "customer").select(F.col("c_custkey").cast("string")).write.text(folder)
-    before = [r.path for r in files.list_files(spark, folder).select("path").collect()]
-    run_available(new_files(spark, folder, retire="delete"), intake_to(target), state)
-    spark.range(1).select(F.lit("{}")).write.mode("append").text(folder)
-    run_available(new_files(spark, folder, retire="delete"), intake_to(target), state)
-    found = read_intake(spark, target).filter("text <> '{}\n'").select(F.lit("kept").alias("part"), F.explode(lines(F.col("text"))).alias("line"))
-    left = files.list_files(spark, folder).filter(F.col("path").isin(before)).agg(F.count(F.lit(1)).cast("string").alias("line"))
+    """Files of several batches are deleted when the run that took them has ended, those of its last batch too."""
+    folder, target, state, ledger = (new_shared_dir(spark, f"retire-{name}") for name in ("in", "out", "state", "ledger"))
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").cast("string"))
+    keys.write.option("maxRecordsPerFile", 10_000).text(folder)
+    run_and_retire(new_files(spark, folder, max_files=2), intake_to(target), state, ledger)
+    found = read_intake(spark, target).select(F.lit("kept").alias("part"), F.explode(lines(F.col("text"))).alias("line"))
+    left = files.list_files(spark, folder).agg(F.count(F.lit(1)).cast("string").alias("line"))
     return found.unionByName(left.select(F.lit("files left").alias("part"), "line"))
 
 

@@ -1,4 +1,6 @@
 import glob
+import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,35 @@ def test_failed_load_keeps_old_rows(spark):
     assert sorted(r.id for r in spark.table(name).collect()) == [3, 4]
 
 
+def test_load_writes_once_and_moves_the_table(spark):
+    base = new_shared_dir(spark, "move-test")
+    name = "move_" + base[-32:]
+
+    def place():
+        return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").first()[0])["location"].removeprefix("file:")
+
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, `a b` STRING) USING json LOCATION '{base}'")
+    seen = []
+    for n in (5, 3):
+        before, rows = place(), spark.range(n).select(F.lit("x").alias("a b"), F.col("id").cast("int"), F.lit(1).alias("more"))
+        seen.append(writers.observed_write(rows, lambda df: writers.truncate_load(df, name)))
+        assert not os.path.exists(before) and place().startswith(f"{base}-load-") and len(place()) == len(base) + 38
+        assert sorted(map(tuple, spark.table(name).collect())) == [(i, "x") for i in range(n)]
+    assert seen == [5, 3]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{name}_load_")]
+    writers.truncate_load(spark.range(1).select("id", F.lit("y").alias("a b")), name, in_place=True)
+    assert [tuple(r) for r in spark.table(name).collect()] == [(0, "y")]
+
+
+def test_load_of_a_table_with_partitions(spark):
+    folder = new_shared_dir(spark, "parts-test")
+    name = "parts_" + folder[-32:]
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, p BIGINT) USING parquet PARTITIONED BY (p) LOCATION '{folder}'")
+    for n in (7, 4):
+        writers.truncate_load(spark.range(n).select((F.col("id") % 3).alias("p"), "id"), name)
+        assert sorted(map(tuple, spark.table(name).collect())) == [(i, i % 3) for i in range(n)]
+
+
 def test_append_creates(spark):
     folder = new_shared_dir(spark, "append-test")
     name = "append_" + folder[-32:]
