@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,31 +30,50 @@ SECRETS = ("password", "user")
 _FLAGS = "(?iU)"
 
 
+def _settings() -> dict[tuple[str, str], dict[str, str]]:
+    """Calls by service for each setting and its pattern, ordered as in each service: one pass serves all services."""
+    calls: dict[tuple[str, str], dict[str, str]] = {}
+    last: dict[tuple[str, str], int] = {}
+    for service, own in WIDGETS.items():
+        for place, (setting, pattern, widget) in enumerate(own):
+            calls.setdefault((setting, pattern), {})[service] = "$1" + WIDGET_CALL.format(name=widget)
+            last[setting, pattern] = max(place, last.get((setting, pattern), 0))
+    return {s: calls[s] for s in sorted(calls, key=last.get)}
+
+
+SETTINGS = _settings()
+#: Every pattern of an option holds this, in capitals.
+_OPTION = ".OPTION"
+
+
 def redacted(code: Column, service: str, scope: str = SCOPE) -> Column:
     """Replace the settings of one service kind, then its secrets; other kinds have secrets only."""
-    for setting, pattern, widget in WIDGETS.get(service, []):
-        code = F.regexp_replace(code, _FLAGS + pattern.format(setting=setting), "$1" + WIDGET_CALL.format(name=widget))
-    for setting in SECRETS:
-        call = SECRET_CALL.format(scope=scope, key=f"{service}_{setting}")
-        code = F.regexp_replace(code, _FLAGS + SECRET_OPTION.format(setting=setting), f"$1{call}$3")
-        code = F.regexp_replace(code, _FLAGS + SECRET_SETTING.format(setting=setting), f"$1{call}")
-    return code
+    return redacted_by_kind(code, F.lit(service), scope)
 
 
 def redacted_by_kind(code: Column, kind: Column, scope: str = SCOPE) -> Column:
     """The service kind comes from a column. Secrets are replaced for every kind, under keys that begin with it; a
-    null or empty kind gives `unknown_password` and `unknown_user`."""
-    for service, settings in WIDGETS.items():
-        own = code
-        for setting, pattern, widget in settings:
-            own = F.regexp_replace(own, _FLAGS + pattern.format(setting=setting), "$1" + WIDGET_CALL.format(name=widget))
-        code = F.when(kind == service, own).otherwise(code)
+    null or empty kind gives `unknown_password` and `unknown_user`.
+
+    A pass over a text costs as much as decoding and encoding it, so texts go through those only that can find
+    something. Each pass has the text before it as a variable: the expression grows by one step for each, not twofold.
+    """
+    for (setting, pattern), calls in SETTINGS.items():
+        call = F.coalesce(*[F.when(kind == service, F.lit(text)) for service, text in calls.items()])
+        code = _where(code, lambda _: kind.isin(*calls), pattern.format(setting=setting), call)
     known = F.coalesce(F.nullif(kind, F.lit("")), F.lit("unknown"))
     # A kind is plain text also where it holds signs that mean something in a replacement.
     plain = F.replace(F.replace(known, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     for setting in SECRETS:
         before, after = SECRET_CALL.format(scope=scope, key=f"\0_{setting}").split("\0")
         call = F.concat(F.lit("$1" + before), plain, F.lit(after))
-        code = F.regexp_replace(code, F.lit(_FLAGS + SECRET_OPTION.format(setting=setting)), F.concat(call, F.lit("$3")))
+        code = _where(code, lambda text: F.upper(text).contains(_OPTION), SECRET_OPTION.format(setting=setting), F.concat(call, F.lit("$3")))
         code = F.regexp_replace(code, F.lit(_FLAGS + SECRET_SETTING.format(setting=setting)), call)
     return code
+
+
+def _where(code: Column, applies: Callable[[Column], Column], pattern: str, call: Column) -> Column:
+    def step(text: Column) -> Column:
+        return F.when(applies(text), F.regexp_replace(text, F.lit(_FLAGS + pattern), call)).otherwise(text)
+
+    return F.transform(F.array(code), step)[0]

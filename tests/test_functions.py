@@ -187,6 +187,17 @@ def test_every_kind_loses_its_secrets(spark):
     assert 'server="s"' in got["jdbc"] and "Email_Server" in got["email"]
 
 
+def test_settings_of_a_kind_are_replaced_in_its_own_order(spark):
+    rows = spark.createDataFrame([(k,) for k in ("smb", "ftp", "email", "jdbc")], "kind string")
+    code = F.lit("Host = 'port=44'; port='7'; share=\"s\"; SERVER='x'; user = me; nothing")
+    got = {r.kind: r.out for r in rows.select("kind", redacted_by_kind(code, F.col("kind")).alias("out")).collect()}
+    widget = 'dbutils.widgets.get("{}")'.format
+    assert got["smb"] == f"Host = {widget('SMB_Host')}; port={widget('SMB_Port')}; share={widget('SMB_Share')}; SERVER='x'; user = me; nothing"
+    assert got["ftp"] == f"Host = {widget('FTP_Host')}; port={widget('FTP_Port')}; share=\"s\"; SERVER='x'; user = me; nothing"
+    assert got["email"] == f"Host = 'port={widget('Email_Port')}'; port={widget('Email_Port')}; share=\"s\"; SERVER={widget('Email_Server')}; user = me; nothing"
+    assert got["jdbc"] == "Host = 'port=44'; port='7'; share=\"s\"; SERVER='x'; user = me; nothing"
+
+
 def test_message_stamp_in_any_session_zone(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     at = F.timestamp_micros(F.lit(1_700_000_000_000_000))  # 22:13:20 UTC
