@@ -55,8 +55,14 @@ NOTICES = {
 }
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("authorised", "authorized"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("copyright holders", "copyright holder")]
 
-#: A line that only states a copyright: it differs from copy to copy and is left out.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}©\n]*(?:(?:copyright|©|\(c\))[^\p{L}\n]*(?:\(c\)|©|copyright)?[^\p{L}\n]*[0-9]{4}[^\n]*|all rights reserved[^\p{L}\n]*)$"
+#: A line that only states a copyright: it differs from copy to copy and is left out. It begins with the word and its sign,
+#: with the sign alone, with `(c)` or the word and a year anywhere, or with "copyright by"; or it says "all rights reserved"
+#: and no more. Wrapped lines of a licence that begin with the word ("copyright notice, this list ...") are none of these.
+YEAR = r"(?:[^\n]*[^0-9\n])?(?:19|20)[0-9]{2}(?:[^0-9\n][^\n]*)?"
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}©(\n]*(?:copyright[^\p{L}\n(]*(?:\(c\)|©)[^\n]*|©[^\n]*|\(c\)" + YEAR + "|copyright" + YEAR
+    + r"|copyright by [^\n]*|(?:\(c\) ?)?all rights reserved[^\p{L}\n]*)$"
+)
 
 
 #: In every known notice, and so in every line that can be one.
@@ -66,10 +72,11 @@ NOTICE_WORD = "(?i)licen[cs]e"
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, words of letters and digits joined by one space, one spelling of each word."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
-    plain = F.concat(F.lit(" "), F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    # Two blanks between words, so that each has its own before and behind it.
+    plain = F.concat(F.lit(" "), F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for one, other in SPELLINGS:
-        plain = F.replace(plain, F.lit(f" {one} "), F.lit(f" {other} "))
-    return F.trim(plain)
+        plain = F.replace(plain, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
+    return F.trim(F.replace(plain, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:

@@ -75,16 +75,20 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
 
 
+#: Shards of 1 MB, so that small tables are split too; the operator's own limit is 64 MB.
+SMALL_SHARDS = 1 << 20
+
+
 @query
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    placed = sharding.sharded(_table(spark, folder, "documents"))
+    placed = sharding.sharded(_table(spark, folder, "documents"), shard_bytes=SMALL_SHARDS)
     return placed.select("doc_id", F.col("shard.name").alias("shard"), "shard.depth", F.col("shard.bytes").alias("n_bytes"))
 
 
 ORACLES["op3_sharding"] = f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
-n AS (SELECT depth, h >> (60 - depth) AS node FROM d, range(0, 61) AS r(depth) GROUP BY ALL HAVING sum(n_bytes) <= {sharding.SHARD_BYTES}),
+n AS (SELECT depth, h >> (60 - depth) AS node FROM d, range(0, 61) AS r(depth) GROUP BY ALL HAVING sum(n_bytes) <= {SMALL_SHARDS}),
 b AS (SELECT doc_id, n_bytes, h, min(depth)::INTEGER AS depth FROM d JOIN n ON n.node = d.h >> (60 - depth) GROUP BY ALL)
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard, depth, n_bytes FROM b
 """
@@ -104,10 +108,10 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 def _canonical(text: str) -> str:
     plain = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
-    plain = f"' ' || regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    plain = f"' ' || regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
     for one, other in licenses.SPELLINGS:
-        plain = f"replace({plain}, ' {one} ', ' {other} ')"
-    return f"sha256(trim({plain}))"
+        plain = f"replace({plain}, ' {one.replace(' ', '  ')} ', ' {other.replace(' ', '  ')} ')"
+    return f"sha256(trim(replace({plain}, '  ', ' ')))"
 
 
 def _values(texts: dict[str, list[str]]) -> str:

@@ -17,8 +17,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What an unknown character scores below the least piece.
 PENALTY = 10.0
-#: Words whose counts a worker remembers.
-REMEMBERED = 1 << 19
+#: Words whose counts a worker remembers, and their greatest length: longer ones, which may be whole texts without a
+#: blank, are counted each time.
+REMEMBERED, LONGEST = 1 << 19, 48
 
 
 class Vocabulary(NamedTuple):
@@ -60,6 +61,8 @@ class Counter(dict):
         self.by_lines = not any("\n" in p and len(p) > 1 for p, _ in vocabulary.pieces)
 
     def __missing__(self, segment: str) -> int:
+        if len(segment) > LONGEST:
+            return self.best(segment)
         if len(self) >= REMEMBERED:
             self.clear()
         self[segment] = n = self.best(segment)
@@ -112,7 +115,7 @@ class Counter(dict):
 def token_counts(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, n_tokens)` of every row: a mark goes before the text and in place of each space, then the best path of
     pieces is counted. Null and empty texts have none. The driver reads the vocabulary, whose size is that of one file;
-    each task builds the automaton once and remembers a bounded number of words."""
+    each task builds the automaton once and remembers a bounded number of words of bounded length."""
     vocabulary = read_vocabulary(path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -25,6 +25,34 @@ def test_spellings_case_and_copyright_lines_do_not_matter(spark):
     assert got[8].notices == ["Apache-2.0", "MIT"] and got[0].notices == []
 
 
+def test_headers_of_any_form(spark):
+    headers = [
+        "Copyright (c) Microsoft Corporation.",
+        "Copyright (c) Jane Doe 2019",
+        "Copyright (c) Acme. All rights reserved.",
+        "(c) the authors, 2004",
+        "© Some One",
+        "Copyright by the Board of Trustees",
+        "# Copyright: 1999, 2003 A. B.\nAll Rights Reserved.",
+        "Copyright Jane Doe 2019-2021",
+    ]
+    got = scan(spark, [f"{h}\n\n{licenses.MIT}" for h in headers])
+    assert [got[k].license_id for k in range(len(headers))] == ["MIT"] * len(headers)
+
+
+def test_lines_of_a_licence_are_no_headers(spark):
+    text = licenses.BSD_TOP + licenses.BSD_END
+    wrapped = text.replace("above copyright notice", "above\ncopyright notice").replace("THE COPYRIGHT HOLDERS", "THE\nCOPYRIGHT HOLDERS")
+    assert wrapped.count("\n") > text.count("\n") + 2
+    got = scan(spark, [wrapped, text + "\ncopyright is kept by others"])
+    assert [got[0].license_id, got[1].license_id] == ["BSD-2-Clause", None]
+
+
+def test_spellings_beside_each_other(spark):
+    got = scan(spark, ["licence licence sublicence", "License, license (sublicense)", "license license sublicence licence"])
+    assert got[0].digest == got[1].digest != got[2].digest
+
+
 def test_odd_rows(spark):
     rows = licenses.scanned(docs(spark)).collect()
     assert len(rows) == len(TEXTS) and {r.license_id for r in rows} == {None}

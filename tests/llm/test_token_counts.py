@@ -39,6 +39,13 @@ def test_ties_and_pieces_across_words(text, across):
     assert tc.Counter(vocabulary).of_text(text) == len(tokenizer(vocabulary).encode(text, add_special_tokens=False).ids)
 
 
+def test_long_words_are_not_remembered(vocabulary):
+    exact, own = tokenizer(vocabulary), tc.Counter(vocabulary)
+    texts = [f"{k}" + "abc☃日本" * 400 + f" short {'y' * tc.LONGEST} {'y' * (tc.LONGEST - 1)}" for k in range(30)]
+    assert [own.of_text(t) for t in texts] == [len(exact.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert set(own) == {tc.MARK + "short", tc.MARK + "y" * (tc.LONGEST - 1)}
+
+
 def test_odd_rows(spark):
     got = tc.token_counts(docs(spark))
     assert got.columns == ["doc_id", "n_tokens"] and got.count() == len(TEXTS)
