@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
@@ -20,31 +21,128 @@ DEEP_KEYS = ("view", "x", "y", "height", "width", "color", "render_map", "detail
 def slim_json():
     """The function over Arrow batches; all it needs is inside, so executors need no copy of this package."""
     root_keys, step_keys, deep_keys = set(ROOT_KEYS), set(STEP_KEYS), set(DEEP_KEYS)
-
-    def without(node, keys, deep):
-        if isinstance(node, list):
-            return [without(v, keys, deep) for v in node] if deep else node
-        if not isinstance(node, dict):
-            return node
-        return {k: without(v, keys, deep) if deep else v for k, v in node.items() if k not in keys}
+    after_blanks = re.compile(r"[ \t\n\r]*").match
 
     def slim(text):
         try:
-            doc = json.loads(text)
-            return slimmed(doc) if isinstance(doc, dict) else None
-        except (TypeError, ValueError, RecursionError):
-            # No JSON, deeper than Python's parser goes, or half of a surrogate pair, which no text can hold.
+            try:
+                return compact(slimmed(json.loads(text)), json_text)
+            except RecursionError:
+                return compact(slimmed(nested(text)), nested_text)
+        except (TypeError, ValueError):
+            # No JSON, or half of a surrogate pair, which no text can hold.
+            return None
+
+    def compact(doc, write):
+        if not isinstance(doc, dict):
             return None
+        text = write(doc)
+        text.encode()
+        return text
+
+    def json_text(node):
+        return json.dumps(node, ensure_ascii=False, separators=(",", ":"))
+
+    def drop(node, keys):
+        if isinstance(node, dict):
+            for key in keys & node.keys():
+                del node[key]
 
     def slimmed(doc):
-        doc = without(doc, root_keys, False)
+        if not isinstance(doc, dict):
+            return doc
+        drop(doc, root_keys)
         if isinstance(doc.get("snaps"), list):
-            doc["snaps"] = [without(step, step_keys, False) for step in doc["snaps"]]
+            for step in doc["snaps"]:
+                drop(step, step_keys)
         if isinstance(doc.get("snap_map"), dict):
-            doc["snap_map"] = {k: without(step, deep_keys, True) for k, step in doc["snap_map"].items()}
-        text = json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
-        text.encode()
-        return text
+            left = list(doc["snap_map"].values())
+            while left:
+                node = left.pop()
+                drop(node, deep_keys)
+                if isinstance(node, (dict, list)):
+                    left.extend(node.values() if isinstance(node, dict) else node)
+        return doc
+
+    # For documents deeper than the recursion of the json module goes: the same values and texts with a stack.
+
+    def nested(text):
+        scalar = json.JSONDecoder().scan_once
+        root = []
+        inside, keys = [root], [None]
+
+        def key_at(at):
+            if text[at : at + 1] != '"':
+                raise ValueError("no key")
+            key, at = scalar(text, at)
+            at = after_blanks(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("no colon")
+            return key, after_blanks(text, at + 1).end()
+
+        def put(value):
+            if isinstance(inside[-1], dict):
+                inside[-1][keys[-1]] = value
+            else:
+                inside[-1].append(value)
+
+        at = after_blanks(text, 0).end()
+        while True:
+            start = text[at : at + 1]
+            if start in ("{", "["):
+                node = {} if start == "{" else []
+                put(node)
+                inside.append(node)
+                keys.append(None)
+                at = after_blanks(text, at + 1).end()
+                if text[at : at + 1] != ("}" if start == "{" else "]"):
+                    if start == "{":
+                        keys[-1], at = key_at(at)
+                    continue
+            else:
+                try:
+                    value, at = scalar(text, at)
+                except StopIteration:
+                    raise ValueError("no value") from None
+                put(value)
+                at = after_blanks(text, at).end()
+            while len(inside) > 1 and text[at : at + 1] == ("}" if isinstance(inside[-1], dict) else "]"):
+                inside.pop()
+                keys.pop()
+                at = after_blanks(text, at + 1).end()
+            if len(inside) == 1:
+                if at < len(text):
+                    raise ValueError("more than one value")
+                return root[0]
+            if text[at : at + 1] != ",":
+                raise ValueError("no comma")
+            at = after_blanks(text, at + 1).end()
+            if isinstance(inside[-1], dict):
+                keys[-1], at = key_at(at)
+
+    def nested_text(doc):
+        # What is still to be written, last first: texts as they are, or values.
+        left, done = [(False, doc)], []
+        while left:
+            is_text, node = left.pop()
+            if is_text:
+                done.append(node)
+            elif isinstance(node, dict):
+                left.append((True, "}"))
+                for i, (key, value) in reversed(list(enumerate(node.items()))):
+                    left.append((False, value))
+                    left.append((True, ("," if i else "") + json_text(key) + ":"))
+                left.append((True, "{"))
+            elif isinstance(node, list):
+                left.append((True, "]"))
+                for i, value in reversed(list(enumerate(node))):
+                    left.append((False, value))
+                    if i:
+                        left.append((True, ","))
+                left.append((True, "["))
+            else:
+                done.append(json_text(node))
+        return "".join(done)
 
     def slim_batch(texts: pd.Series) -> pd.Series:
         return texts.map(slim)
@@ -55,8 +153,9 @@ def slim_json():
 def strip_layout(files: DataFrame, text: str = "text") -> DataFrame:
     """The documents as compact JSON without canvas data, in their own key order; null for other texts.
 
-    Settings nest to any depth and keep their order, which no built-in function can rewrite, so this
-    is a function over Arrow batches. Analyses need no stripped text: `parse_exports` does not
+    Settings nest to any depth and keep their order, which no built-in function can rewrite (a variant sorts its
+    keys, and Spark's JSON parser ends at 1,000 levels), so this is a function over Arrow batches: one pass, no
+    shuffle. Documents deeper than the json module's recursion goes are read and written with a stack. Analyses need no stripped text: `parse_exports` does not
     read the canvas, and `layout_free_values` filters it.
     """
     return files.withColumn(text, slim_json()(F.col(text)))
