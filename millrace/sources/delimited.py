@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import lines
+from millrace.sources.files import file_starts
 
 # Format of the staging files.
 SEPARATOR = "^"
@@ -67,10 +68,10 @@ def parse_delimited(
     The first `skip_lines` lines of each file, blank ones too, and then one more for a `header` are left
     out; blank lines further on are no records. Lines with bytes that are no text have `_corrupt`.
 
-    UTF-8 files are scanned by lines, so large files are split among tasks. With `auto-bom`, the default, the
-    starts of the files are read once before, to find those with a UTF-16 mark. These, and files of any
-    other charset, are read whole, one row each: for files below 2 GB. The top lines are looked for in
-    the first split of a file.
+    UTF-8 files are scanned by lines, so large files are split among tasks. With `auto-bom`, the default, two
+    bytes of each file are read when this is called, to find those with a UTF-16 mark. These, and files of any
+    other charset, are read whole, one row each: for files below 2 GB. The mark of a compressed file is
+    not seen. The top lines are looked for in the first split of a file.
 
     `multi_line` takes quoted fields with line breaks: each file then goes through one task, and lines
     cannot be skipped but for a header.
@@ -87,27 +88,22 @@ def parse_delimited(
     if charset.lower() != AUTO:
         files = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", charset).alias("text"))
         return _parse_whole(files, columns, sep, quote, escape, top, trim)
-    # As for every scan, the driver holds the list of the files.
-    starts = _numbered_lines(spark, paths).filter("_start = 0").groupBy("_file").agg(
-        F.min_by(F.hex(F.substring(F.col("_line").cast("binary"), 1, 2)), "_id").alias("mark")
-    )
-    wide = [r["_file"] for r in starts.filter(F.col("mark").isin(MARK_UTF16_LE, MARK_UTF16_BE)).collect()]
+    files = spark.read.format("binaryFile").load(paths)
+    wide = [name for name, start in file_starts(files, 2) if start.hex().upper() in (MARK_UTF16_LE, MARK_UTF16_BE)]
+    scanned = _parse_scanned(spark, paths, columns, sep, quote, escape, top, trim, without=wide)
     if not wide:
-        return _parse_scanned(spark, paths, columns, sep, quote, escape, top, trim)
-    files = spark.read.format("binaryFile").load(wide)
-    texts = decode_bytes(files.select("path", "content"))
-    found = _parse_whole(texts, columns, sep, quote, escape, top, trim)
-    rest = [r["_file"] for r in starts.filter(~F.col("mark").isin(MARK_UTF16_LE, MARK_UTF16_BE)).collect()]
-    if rest:
-        found = found.unionByName(_parse_scanned(spark, rest, columns, sep, quote, escape, top, trim))
-    return found
+        return scanned
+    texts = decode_bytes(files.filter(F.col("_metadata.file_path").isin(wide)).select("path", "content"))
+    return _parse_whole(texts, columns, sep, quote, escape, top, trim).unionByName(scanned)
 
 
-def _numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _numbered_lines(spark: SparkSession, paths: list[str], without: Sequence[str] = ()) -> DataFrame:
     """`_file, _start, _id, _line`: lines as they are, with the start of their split and numbers that rise by one
-    from line to line within a split."""
+    from line to line within a split. Files of the names in `without` are left out of the scan."""
     lines_ = spark.read.text(paths)
     meta = F.col("_metadata")
+    if without:
+        lines_ = lines_.filter(~meta["file_path"].isin(list(without)))
     return lines_.select(
         meta["file_path"].alias("_file"),
         meta["file_block_start"].alias("_start"),
@@ -116,8 +112,8 @@ def _numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def _parse_scanned(spark, paths, columns, sep, quote, escape, top, trim) -> DataFrame:
-    rows = _numbered_lines(spark, paths)
+def _parse_scanned(spark, paths, columns, sep, quote, escape, top, trim, without=()) -> DataFrame:
+    rows = _numbered_lines(spark, paths, without)
     if top:
         first = rows.filter("_start = 0").groupBy("_file").agg(F.min("_id").alias("_first"))
         rows = rows.join(first, "_file", "left")

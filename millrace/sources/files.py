@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,29 @@ from pyspark.sql import types as T
 
 from millrace.functions.paths import WORKING_PREFIX, base_name
 
+#: Files that are asked of the file system at a time.
+AT_ONCE = 16
+
+
+def file_starts(files: DataFrame, length: int) -> Iterator[tuple[str, bytes]]:
+    """The name (as in `_metadata.file_path`) and the first bytes, at most `length`, of each file of a scan. Only these
+    bytes are read, by the driver's threads; the names are those of the listing that every scan begins with."""
+    spark = files.sparkSession
+    path, conf, uri = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration(), spark._jvm.java.net.URI
+
+    def start(name: str) -> tuple[str, bytes]:
+        # The listing writes `file:///a` where the metadata has `file:/a`.
+        parts = uri(name)
+        source = path(parts.getScheme(), parts.getAuthority(), parts.getPath())
+        stream = source.getFileSystem(conf).open(source)
+        try:
+            return source.toUri().toString(), bytes(b for b in (stream.read() for _ in range(length)) if b >= 0)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        yield from pool.map(start, files.inputFiles())
+
 
 def read_binary(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """One row per file: `path, modificationTime, length, content`. A missing path is an error."""

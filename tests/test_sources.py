@@ -134,6 +134,22 @@ def test_files_of_several_charsets(spark, tmp_path):
     assert sorted(r["_corrupt"][:12] for r in bad.collect()) == ["bad � byte", "undecodable "]
 
 
+def test_only_the_starts_of_files_tell_the_charset(spark, tmp_path):
+    for name, content in [("a [1] ä%20.txt", "eins\n".encode("utf-16")), ("b {2}.txt", "zwei\n"), ("c.txt", ""), ("d.txt", "x")]:
+        put(tmp_path / "in" / name, content)
+    starts = dict(files.file_starts(spark.read.format("binaryFile").load(str(tmp_path / "in")), 2))
+    assert sorted(starts.values()) == [b"", b"x", b"zw", b"\xff\xfe"]
+    parsed = delimited.parse_delimited(spark, str(tmp_path / "in"))
+    good, bad = split_errors(parsed)
+    assert records(good) == ["eins", "x", "zwei"] and bad.count() == 0
+    # one scan of lines, without the file that is read whole; that file alone is read for its rows and for its error
+    scans = [line for line in parsed._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+    assert sum("FileScan text" in line for line in scans) == 1 and all("file_path" in line for line in scans)
+    put(tmp_path / "plain" / "f.txt", "eins\n")
+    plan = delimited.parse_delimited(spark, str(tmp_path / "plain"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_multi_line_records(spark, tmp_path):
     path = put(tmp_path / "f.txt", 'x\n"a\nb"\nc\n')
     good, bad = split_errors(delimited.parse_delimited(spark, path, header=True, multi_line=True, charset="utf-8"))
