@@ -61,34 +61,43 @@ def _slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), (h >> np.uint64(34) & mask).astype(np.int64)
 
 
+def _texts(data: np.ndarray, own, word: np.ndarray, size: int) -> pa.Array:
+    """The runs of `size` words that begin at the given ones, joined by blanks."""
+    raw = data.tobytes()
+    runs = (zip(own.start[w : w + size].tolist(), own.end[w : w + size].tolist()) for w in word.tolist())
+    return pa.array([b" ".join(raw[a:b] for a, b in run).decode() for run in runs], pa.string())
+
+
 def _class_of(n: Column) -> Column:
     """Size class: 1 + the whole logarithm of the number of shingles."""
     return (F.floor(F.log2(n.cast("double") + 0.5)) + 1).cast("int")
 
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str, size: int, containment: float) -> DataFrame:
-    """`(item, shingle, h, n_item, size_class, sketched)` of the items; `item` is the id with a hash of the text, so texts
-    under one id stay apart. The sketch of an item of n shingles is its
+    """`(item, shingle, words, h, n_item, size_class, sketched)` of the items; `item` is the id with a hash of the text, so
+    texts under one id stay apart. An item of fewer words than a shingle has one, all its words. The sketch of an item of n shingles is its
     n - ceil(containment * n) + 1 smallest hashes: a text that holds the wanted share holds one of these."""
     kind = items.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, own, h, text, word in hashed(batch.column("text"), size):
-                place = pa.array(text + rows.start)
-                raw = data.tobytes()
-                shingle = [b" ".join(raw[a:b] for a, b in zip(own.start[w : w + size].tolist(), own.end[w : w + size].tolist())).decode() for w in word.tolist()]
-                ids = [batch.column("item_id").take(place), batch.column("item_hash").take(place)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(shingle, pa.string()), pa.array(h.view(np.int64))], ["item_id", "item_hash", "shingle", "h"])
+            for n in range(1, size + 1):
+                for rows, data, own, h, text, word in hashed(batch.column("text"), n):
+                    mine = (own.count[text] == n) | (n == size)
+                    h, text, word = h[mine], text[mine], word[mine]
+                    place = pa.array(text + rows.start)
+                    ids = [batch.column("item_id").take(place), batch.column("item_hash").take(place)]
+                    number = pa.array(np.full(len(h), n, np.int32))
+                    yield pa.RecordBatch.from_arrays([*ids, _texts(data, own, word, n), number, pa.array(h.view(np.int64))], ["item_id", "item_hash", "shingle", "words", "h"])
 
     rows = items.select(F.col(item_col).alias("item_id"), F.xxhash64(F.col(text_col)).alias("item_hash"), F.col(text_col).alias("text"))
-    own = rows.mapInArrow(run, f"item_id {kind}, item_hash long, shingle string, h long").distinct()
-    own = own.select(F.struct("item_id", "item_hash").alias("item"), "shingle", "h")
+    own = rows.mapInArrow(run, f"item_id {kind}, item_hash long, shingle string, words int, h long").distinct()
+    own = own.select(F.struct("item_id", "item_hash").alias("item"), "shingle", "words", "h")
     # equal hashes of different shingles of one item would spoil the rank; the shingle decides
     per = Window.partitionBy("item")
     own = own.withColumn("n_item", F.count("*").over(per)).withColumn("rank", F.row_number().over(per.orderBy("h", "shingle")))
     wanted = F.ceil(F.lit(containment) * F.col("n_item") - 1e-9)
-    return own.select("item", "shingle", "h", "n_item", _class_of(F.col("n_item")).alias("size_class"), (F.col("rank") <= F.col("n_item") - wanted + 1).alias("sketched"))
+    return own.select("item", "shingle", "words", "h", "n_item", _class_of(F.col("n_item")).alias("size_class"), (F.col("rank") <= F.col("n_item") - wanted + 1).alias("sketched"))
 
 
 def _filter_table(own: DataFrame, slots: int) -> np.ndarray:
@@ -117,38 +126,39 @@ def contained(
     The documents are read once. Tasks hold two filters of fixed size, of the sketches and of all shingles of the items,
     marked with the least size class of the items: a document with too few shingles for a class passes it over. A
     document that meets the sketch filter hands on those of its shingles that meet the other one, as text; joins on
-    sketch and shingle do the rest exactly. Null texts, and texts and items of fewer than `size` plain words, match
-    nothing. Rows alike in id and text count once, among documents and among items; null ids are ids like others.
+    sketch and shingle do the rest exactly. An item of fewer than `size` plain words is one shingle of as many words;
+    documents are searched for runs of such lengths only if there are such items. Null texts, and texts and items
+    without plain words, match nothing. Rows alike in id and text count once, among documents and among items; null ids are ids like others.
     """
     spark = docs.sparkSession
     own = cut_lineage(item_shingles(items, item_col, item_text_col, size, containment), "item-shingles")
     tables = spark.sparkContext.broadcast((_filter_table(own.where("sketched"), slots), _filter_table(own, slots)))
     kind = docs.schema[id_col].dataType
+    lengths = sorted(r[0] for r in own.select("words").distinct().collect())  # at most `size` rows
     # the least number of shingles that a document of each class's items must have
     need = np.array([0, *(np.ceil(containment * 2.0**c - 1e-9) for c in range(254)), np.inf])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, every = tables.value
         for batch in batches:
-            for rows, data, words_, h, text, word in hashed(batch.column("text"), size):
-                a, b = _slots(h, slots)
-                room = np.maximum(words_.count - size + 1, 0)[text]
-                hit = np.flatnonzero(every[a] < 255)
-                hit = hit[need[np.maximum(every[a[hit]], every[b[hit]])] <= room[hit]]
-                asked = need[np.maximum(sketch[a[hit]], sketch[b[hit]])] <= room[hit]
-                chosen = np.zeros(len(words_.count), bool)
-                chosen[text[hit[asked]]] = True
-                live = chosen[text[hit]]
-                hit, asked = hit[live], asked[live]
-                _, once = np.unique(np.stack([text[hit].astype(np.uint64), h[hit]]), axis=1, return_index=True) if len(hit) else (None, hit)
-                hit, asked = hit[once], asked[once]
-                raw = data.tobytes()
-                shingle = [b" ".join(raw[s:e] for s, e in zip(words_.start[w : w + size].tolist(), words_.end[w : w + size].tolist())).decode() for w in word[hit].tolist()]
-                place = pa.array(text[hit] + rows.start)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(place), batch.column("text_hash").take(place), pa.array(h[hit].view(np.int64)), pa.array(shingle, pa.string()), pa.array(asked)],
-                    ["doc_id", "text_hash", "h", "shingle", "asked"],
-                )
+            for n in lengths:
+                for rows, data, words_, h, text, word in hashed(batch.column("text"), n):
+                    a, b = _slots(h, slots)
+                    room = np.maximum(words_.count - n + 1, 0)[text]
+                    hit = np.flatnonzero(every[a] < 255)
+                    hit = hit[need[np.maximum(every[a[hit]], every[b[hit]])] <= room[hit]]
+                    asked = need[np.maximum(sketch[a[hit]], sketch[b[hit]])] <= room[hit]
+                    chosen = np.zeros(len(words_.count), bool)
+                    chosen[text[hit[asked]]] = True
+                    live = chosen[text[hit]]
+                    hit, asked = hit[live], asked[live]
+                    _, once = np.unique(np.stack([text[hit].astype(np.uint64), h[hit]]), axis=1, return_index=True) if len(hit) else (None, hit)
+                    hit, asked = hit[once], asked[once]
+                    place = pa.array(text[hit] + rows.start)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(place), batch.column("text_hash").take(place), pa.array(h[hit].view(np.int64)), _texts(data, words_, word[hit], n), pa.array(asked)],
+                        ["doc_id", "text_hash", "h", "shingle", "asked"],
+                    )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("text_hash long, h long, shingle string, asked boolean").fields])

@@ -41,10 +41,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 _PLAIN = f"""list_filter(regexp_split_to_array(regexp_replace(translate(text, '{decontamination.UPPER_TEXT}',
     '{decontamination.LOWER_TEXT}'), '[\\x00-\\x08\\x0E-\\x1F!-/:-@\\[-`{{-\\x7F]', '', 'g'), '[ \\t-\\r]+'), lambda x: x <> '')"""
-_FIVES = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g"
+_RUNS = "list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))"
 ORACLES["op7_decontamination"] = f"""
-WITH d AS (SELECT DISTINCT doc_id, {_FIVES} FROM (SELECT doc_id, {_PLAIN} AS w FROM documents)),
-i AS (SELECT DISTINCT item_id, {_FIVES} FROM (SELECT item_id, {_PLAIN} AS w FROM benchmark)),
+WITH q AS (SELECT item_id, w, least(len(w), {decontamination.SHINGLE}) AS k FROM (SELECT item_id, {_PLAIN} AS w FROM benchmark) WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS g FROM q),
+d AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS g FROM (SELECT doc_id, {_PLAIN} AS w FROM documents), (SELECT DISTINCT k FROM q) WHERE len(w) >= k),
 n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
 s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (g) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS containment
