@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import math
 import random
 import re
@@ -14,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.rows import first_by_hash
+from millrace.llm.rows import early_by_hash
 
 #: Pages from whose own marks the field is fitted, at most, and pages that are set anew from their texts.
 LABELLED_PAGES = 300
 LAYOUTS = 300
+#: Of such a page, at most so many blocks in a row, characters of a text, features of a block and characters of a
+#: feature: labels are learned from bounded rows. Other pages, and all that is extracted, are taken whole.
+RUN_BLOCKS, RUN_CHARS, RUN_FEATURES, FEATURE_CHARS = 128, 1100, 64, 40
 EPOCHS = 120
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -270,14 +274,36 @@ def layout(rng: random.Random, texts: list[str]) -> tuple[list[Block], list[bool
     return found, [b.text in own and not outside & set(b.features) for b in found]
 
 
+def labelled_run(page: str) -> tuple[list[Block], list[bool] | None]:
+    """Of a page, the run of blocks that is learned from, and its labels if the page has some: all blocks of a page of
+    common length, else those around the article's beginning."""
+    found = blocks(page)
+    labels = own_labels(found)
+    first = max((labels.index(True) if labels else 0) - RUN_BLOCKS // 2, 0)
+    first = max(min(first, len(found) - RUN_BLOCKS), 0)
+    run = [Block(b.text[:RUN_CHARS], tuple(f for f in b.features if len(f) <= FEATURE_CHARS)[:RUN_FEATURES]) for b in found[first : first + RUN_BLOCKS]]
+    return run, labels and labels[first : first + RUN_BLOCKS]
+
+
 def train(pages: DataFrame, html_col: str = "html", labelled: int = LABELLED_PAGES, layouts: int = LAYOUTS, seed: int = 5) -> Field:
     """Fits the field on at most `labelled` pages, those that come first by a hash: their authors' own marks are
     the labels. As many texts of these pages are set into `layouts` further pages whose labels are known, with the
-    names that sites use for their parts. A table without pages gives a field that takes nothing."""
-    some = first_by_hash(pages.where(F.length(html_col) > 0).select(html_col), labelled, html_col).collect()
-    parsed = [blocks(r[0]) for r in some]
-    marked = [(p, y) for p in parsed if (y := own_labels(p))]
-    texts = sorted({b.text for p in parsed for b in p})
+    names that sites use for their parts. A table without pages gives a field that takes nothing.
+
+    Pages are read in tasks, which hand on a bounded run of blocks each, so what comes to the driver is at most
+    `labelled` times some 400 KB, however long the pages are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = pa.array([json.dumps(labelled_run(page)) for page in batch.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), runs], ["h", "run"])
+
+    rows = pages.where(F.length(html_col) > 0).select(F.col(html_col).alias("html"))
+    early = early_by_hash(rows, labelled, "html").select(F.xxhash64("html").alias("h"), "html")
+    some = [json.loads(r.run) for r in early.mapInArrow(run, "h long, run string").orderBy("h", "run").limit(labelled).collect()]
+    parsed = [([Block(text, tuple(features)) for text, features in found], labels) for found, labels in some]
+    marked = [(p, y) for p, y in parsed if y]
+    texts = sorted({b.text for p, _ in parsed for b in p})
     rng = random.Random(seed)
     made = [layout(rng, texts) for _ in range(layouts if texts else 0)]
     return fit([p for p, _ in marked + made], [y for _, y in marked + made], seed=seed)

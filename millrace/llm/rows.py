@@ -30,13 +30,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
+def early_by_hash(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """The rows below a bound on a hash of `key` that leaves about four times `n`; repeated rows stay together."""
+    total = df.count()
+    return df.where(F.xxhash64(*key).cast("double") / F.lit(2.0**64) + 0.5 < F.lit(4.0 * n / max(total, 1)))
+
+
 def first_by_hash(df: DataFrame, n: int, *key: str) -> DataFrame:
     """The `n` rows that come first by a hash of `key`, or all if there are fewer; equal hashes go by the key. A bound on
-    the hash leaves about four times as many before they are sorted, so tasks hand on few rows however many there are."""
-    total = df.count()
-    hashed = F.xxhash64(*key)
-    early = hashed.cast("double") / F.lit(2.0**64) + 0.5 < F.lit(4.0 * n / max(total, 1))
-    return df.where(early).orderBy(hashed, *key).limit(n)
+    the hash comes before the sort, so tasks hand on few rows however many there are."""
+    return early_by_hash(df, n, *key).orderBy(F.xxhash64(*key), *key).limit(n)
 
 
 def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:

@@ -84,3 +84,19 @@ def test_odd_rows(spark, field):
     nothing = ht.train(pages.where("false"))
     assert {r.text for r in ht.main_text(pages, nothing).collect()} == {""}
     assert ht.main_text(pages.where("false"), field).count() == 0
+
+
+def test_a_very_long_page_is_learned_from_in_part(spark):
+    parts = [f"<p class=\"{'q' * 50} {' '.join(f'k{chr(97 + j % 26)}{chr(97 + j // 26)}' for j in range(90))}\">Menu entry {k}</p>" for k in range(2000)]
+    page = "".join(parts) + "<article>" + "".join(f"<p>{'Long text with words, and a stop. ' * 60}{k}</p>" for k in range(2500)) + "</article>"
+    assert len(page) > 5_000_000
+    run, labels = ht.labelled_run(page)
+    assert len(run) == len(labels) == ht.RUN_BLOCKS and 0 < sum(labels) < ht.RUN_BLOCKS
+    assert max(len(b.text) for b in run) <= ht.RUN_CHARS and max(len(b.features) for b in run) <= ht.RUN_FEATURES
+    assert len(str(run)) < 400_000
+    short = "<nav>menu</nav><article><p>text of it</p></article>"
+    assert ht.labelled_run(short) == (ht.blocks(short), ht.own_labels(ht.blocks(short)))
+    assert ht.labelled_run("") == ([], None) and ht.labelled_run("<p>x</p>")[1] is None
+    rows = spark.createDataFrame([(1, "u", page)] + [(k, "u", short) for k in range(2, 6)], "page_id long, url string, html string")
+    found = ht.main_text(rows.where("page_id > 1"), ht.train(rows)).collect()
+    assert {r.text for r in found} == {"text of it"}
