@@ -20,15 +20,28 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be worth a search.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?+[0-9]){15}", "phone": r"\+[0-9]"}
-#: What may be an identifier of unseen form: a run of such characters with a digit.
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9]))(?=[A-Za-z._/:-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._/:-]*+"
+#: An address whose sign is written out, as in `jane(at)mail.org` or `jane [at] mail [dot] org`.
+AT = r"[(\[{<](?i:at)[)\]}>]"
+_DOT = r"(?:\.| ?[(\[{<](?i:dot)[)\]}>] ?)"
+#: What may be an identifier of unseen form: groups of digits, a written-out address, or a run of such characters with a digit.
+CANDIDATE = (
+    r"(?:\G|(?<![A-Za-z0-9]))(?:"
+    r"\(?[0-9]{2,}+(?:(?:\)?[ ./-]\(?|[()])[0-9]{2,}+)++(?![._/:-]*+[A-Za-z0-9])"
+    rf"|(?<![._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+ ?{AT} ?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
+    r"|(?=[A-Za-z._/:-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._/:-]*+)"
+)
 CANDIDATE_DIGITS = 5
-#: A context is the last two words among so many characters before a span.
+#: Contexts are the last two words, and the last word alone, among so many characters before a span.
 REACH = 60
 ROUNDS = 3
 #: Different known values that a context must hold, and the confidence that it needs.
 MIN_SEEDS = 3
 CONFIDENCE = 0.5
+#: The same for contexts of one word, which stand before many things. They add only what has a form of the kind.
+WIDE_SEEDS = 10
+WIDE_CONFIDENCE = 0.7
+#: A context of one word begins with this, which no word holds.
+WIDE = "\t"
 _SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
 _BLOCK = 512
 
@@ -102,16 +115,32 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column) -> Column:
-    worth = text.rlike(f"(?:[0-9][A-Za-z._/:-]*+){{{CANDIDATE_DIGITS}}}")
+    grouped = r"[0-9]{2}(?:\)?[ ./-]\(?|[()])[0-9]{2}"
+    worth = text.rlike(f"(?:[0-9][A-Za-z._/:-]*+){{{CANDIDATE_DIGITS}}}") | text.rlike(grouped) | text.rlike(AT)
     found = F.when(worth, spans(text, CANDIDATE)).otherwise(F.array().cast(_SPAN))
-    return F.filter(found, lambda s: F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= CANDIDATE_DIGITS)
+    return F.filter(found, lambda s: (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= CANDIDATE_DIGITS) | s["value"].rlike(AT))
 
 
-def context(before: Column) -> Column:
-    """The lexical pattern of a place: the last two words before it, lower-cased, numbers alike; null without a letter."""
+def contexts_of(before: Column) -> Column:
+    """The lexical patterns of a place: the last two words before it, lower-cased, numbers alike, and the last word alone,
+    marked by `WIDE`; none without a letter."""
     last = F.regexp_extract(F.lower(before), r"((?:[^ \t-\r]+[ \t-\r]+)?[^ \t-\r]+)[ \t-\r]*$", 1)
     plain = F.regexp_replace(F.regexp_replace(last, "[ \\t-\\r]+", " "), "[0-9]+", "0")
-    return F.when(plain.rlike(r"\p{L}"), plain)
+    word = F.element_at(F.split(plain, " "), -1)
+    letter = r"\p{L}"
+    return F.array_compact(F.array(F.when(plain.rlike(letter), plain), F.when(word.rlike(letter), F.concat(F.lit(WIDE), word))))
+
+
+def may_be(kind: Column, value: Column) -> Column:
+    """Whether a value has a form in which its kind is written: only such are taken after a single word."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    no_letter = ~value.rlike(r"\p{L}")
+    return (
+        F.when(kind == 0, value.rlike(AT))
+        .when(kind == 1, value.rlike(r"\A[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){3,}\z"))
+        .when(kind == 2, no_letter & digits.between(12, 19))
+        .otherwise(no_letter & digits.between(CANDIDATE_DIGITS, 15))
+    )
 
 
 def learn_contexts(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +149,8 @@ def learn_contexts(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS
     `seeds` has `(context, value, kind)` of known spans, `candidates` `(context, value)` of possible ones. Contexts and
     values are the two sides of a graph. In each round a context's score for a kind is the sum of its values' scores
     over the number of its values, less the more the fewer known values it has; a value's score is the chance that not
-    all of its sure contexts err. Known values keep 1. Only distinct edges count, so a context or value that a third of
+    all of its sure contexts err. Contexts of one word need `WIDE_SEEDS` and `WIDE_CONFIDENCE`, and speak only for values
+    that `may_be` of the kind. Known values keep 1. Only distinct edges count, so a context or value that a third of
     all rows hold is one row for each partner; sums are combined before shuffles, and a round ends in a table.
     """
     sure = seeds.where("context is not null").distinct()
@@ -128,12 +158,14 @@ def learn_contexts(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS
     size = cut_lineage(edges.groupBy("context").agg(F.count("*").alias("n")), "contexts")
     known = seeds.select("value", "kind").distinct().withColumn("score", F.lit(1.0)).withColumn("seed", F.lit(1))
     scores = known = cut_lineage(known, "known")
+    wide = F.col("context").startswith(WIDE)
+    enough, least = F.when(wide, F.greatest(F.lit(min_seeds), F.lit(WIDE_SEEDS))).otherwise(min_seeds), F.when(wide, F.greatest(F.lit(confidence), F.lit(WIDE_CONFIDENCE))).otherwise(confidence)
     for _ in range(rounds):
         hits = edges.join(scores, "value").groupBy("context", "kind").agg(F.sum("score").alias("hits"), F.sum("seed").alias("seeds"))
-        rated = hits.where(F.col("seeds") >= min_seeds).join(size, "context")
+        rated = hits.where(F.col("seeds") >= enough).join(size, "context")
         score = F.col("hits") / F.col("n") * (1 - 1 / (1.0 + F.col("seeds")))
-        contexts = cut_lineage(rated.select("context", "kind", score.alias("score")).where(F.col("score") >= confidence), "contexts")
-        missed = edges.join(contexts, "context").groupBy("value", "kind").agg(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))).alias("missed"))
+        contexts = cut_lineage(rated.select("context", "kind", score.alias("score")).where(F.col("score") >= least), "contexts")
+        missed = edges.join(contexts, "context").where(~wide | may_be(F.col("kind"), F.col("value"))).groupBy("value", "kind").agg(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))).alias("missed"))
         found = missed.join(known.select("value"), "value", "left_anti").select("value", "kind", (1 - F.exp("missed")).alias("score"), F.lit(0).alias("seed"))
         scores = cut_lineage(known.unionByName(found), "scores")
     return contexts, scores.where("seed = 0").select("value", "kind", "score")
@@ -150,13 +182,14 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     table = cut_lineage(rows.select("doc_id", "text_hash", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("rest")), "spans")
-    seeds = table.select(F.explode("base").alias("s")).select(context(F.col("s.before")).alias("context"), "s.value", "s.kind")
-    rest = table.select("doc_id", "text_hash", "base", F.explode("rest").alias("s")).withColumn("context", context(F.col("s.before")))
+    seeds = table.select(F.explode("base").alias("s")).select(F.explode_outer(contexts_of(F.col("s.before"))).alias("context"), "s.value", "s.kind")
+    rest = table.select("doc_id", "text_hash", "base", F.explode("rest").alias("s")).withColumn("context", F.explode(contexts_of(F.col("s.before"))))
     contexts, values = learn_contexts(seeds, rest.select("context", "s.value"), rounds, min_seeds, confidence)
     best = F.array_max(F.collect_list(F.struct(F.col("score"), (-F.col("kind")).alias("rank"))))  # of four kinds at most
     chosen = contexts.groupBy("context").agg(best.alias("c"))
     surely = values.where(F.col("score") >= confidence).select("value", "kind")
-    hit = rest.join(chosen, "context").select("doc_id", "text_hash", "base", "s", (-F.col("c.rank")).alias("kind"), F.col("s.value").alias("value")).join(surely, ["value", "kind"])
+    formed = ~F.col("context").startswith(WIDE) | may_be(-F.col("c.rank"), F.col("s.value"))
+    hit = rest.join(chosen, "context").where(formed).select("doc_id", "text_hash", "base", "s", (-F.col("c.rank")).alias("kind"), F.col("s.value").alias("value")).join(surely, ["value", "kind"])
     apart = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
     span = F.struct("kind", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "value")
     added = hit.where(apart).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("found"))

@@ -103,3 +103,64 @@ def test_contexts_reach_over_earlier_matches(spark):
         assert r.s and all(s.before == r.t[max(s.start - pd_.REACH, 0) : s.start] for s in r.s)
     rows = [(k, f"office line {k}: +49 30 90000{k}", "en", "a") for k in range(6)] + [(9, texts[0], "en", "a")]
     assert {r.doc_id: r.all for r in scan(spark, rows) if r.all != r.base} == {9: "phone:15:24"}
+
+
+def test_groups_of_digits_and_written_out_addresses(spark):
+    rows = [(k, f"my phone: +1 555 0100{k:02}", "en", "a") for k in range(20)] + [(100 + k, f"mail me: a{k}@x.org", "en", "a") for k in range(20)]
+    probes = {
+        40: ("my phone: 030 123 4567", "phone:10:22"), 41: ("my phone: (030) 123-4567.", "phone:10:24"),
+        42: ("office phone: 03012345678", "phone:14:25"), 43: ("office phone: ab-03012345678", ""),
+        44: ("mail me: jane(at)example.com", "email:9:28"), 45: ("mail me: Jane.Roe [AT] example [dot] com today", "email:9:40"),
+        46: ("pay 030 123 4567 now", ""), 47: ("my phone: 192.168.1x", "phone:10:20"), 48: ("write me: jane(at)example.com", "email:10:29"), 49: ("write me: 12345", ""),
+    }
+    got = {r.doc_id: r.all for r in scan(spark, rows + [(k, t, "en", "a") for k, (t, _) in probes.items()])}
+    assert {k: got[k] for k in probes} == {k: want for k, (_, want) in probes.items()}
+    assert all(got[k] == base(t) for k, t, *_ in rows)
+
+
+def test_candidates_in_linear_time(spark):
+    texts = ["12 34 " * 20_000, "12345 " + "a(at)" * 20_000, "1 " * 30_000 + "12345", "12.34-" * 20_000 + "x", "12345 " + "(" * 50_000, "12345 " + "ab " * 30_000]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.n for r in frame.select("k", F.size(pd_.candidate_spans(F.col("t"))).alias("n")).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
+def plainly(seeds, candidates, rounds, min_seeds, confidence):
+    """`learn_contexts` with dictionaries, for values that may be of every kind or of none."""
+    edges = {(c, v) for c, v, _ in seeds if c} | {(c, v) for c, v in candidates if c}
+    known = {(v, k) for _, v, k in seeds}
+    scores, sure = {e: 1.0 for e in known}, {}
+    for _ in range(rounds):
+        sure = {}
+        for c, k in {(c, k) for c, _ in edges for k in range(4)}:
+            values = [v for d, v in edges if d == c]
+            n_seeds = sum((v, k) in known for v in values)
+            wide = c.startswith(pd_.WIDE)
+            score = sum(scores.get((v, k), 0) for v in values) / len(values) * (1 - 1 / (1 + n_seeds))
+            if n_seeds >= (pd_.WIDE_SEEDS if wide else min_seeds) and score >= (pd_.WIDE_CONFIDENCE if wide else confidence):
+                sure[c, k] = score
+        found = {}
+        for c, v in edges:
+            for k in range(4):
+                formed = k == 3 or not c.startswith(pd_.WIDE)
+                if (c, k) in sure and formed and not any(v == w for w, _ in known):
+                    found[v, k] = 1 - (1 - found.get((v, k), 0)) * (1 - min(sure[c, k], 0.999999))
+        scores = {e: 1.0 for e in known} | found
+    return sure, {e: x for e, x in scores.items() if e not in known}
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    import random
+
+    rng = random.Random(11)
+    words_ = [f"c{k}" for k in range(14)] + [pd_.WIDE + f"w{k}" for k in range(4)]
+    values = [f"{k:05}" for k in range(150)]
+    kind = {v: rng.choice([1, 3, 3, 3]) for v in values[:100]}
+    seeds = [(rng.choice(words_ if kind[v] == 3 else words_[:4]), v, kind[v]) for v in rng.choices(values[:100], k=400)] + [(None, "77777", 3)]
+    candidates = [(rng.choice(words_), rng.choice(values[90:])) for _ in range(120)] + [(None, "88888")]
+    for rounds in (1, 3):
+        want_contexts, want_values = plainly(seeds, candidates, rounds, 3, 0.5)
+        contexts, found = pd_.learn_contexts(spark.createDataFrame(seeds, "context string, value string, kind int"), spark.createDataFrame(candidates, "context string, value string"), rounds)
+        got_contexts, got_values = {(r.context, r.kind): r.score for r in contexts.collect()}, {(r.value, r.kind): r.score for r in found.collect()}
+        assert got_contexts == pytest.approx(want_contexts) and got_values == pytest.approx(want_values)
+        assert len(want_contexts) > 3 and len(want_values) > 3
