@@ -67,7 +67,7 @@ SELECT doc_id, (SELECT min_by(pattern, priority) FROM p WHERE contains(lower(tex
 """
 )
 def classify_by_pattern_table(spark, sf):
-    """The longest word of any benchmark item that occurs in a document: thousands of patterns, looked up by rare pieces."""
+    """The longest word of any benchmark item that occurs in a document: thousands of patterns, looked up in the different words of all documents."""
     words = F.explode(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{6,}"), F.lit(0)))
     patterns = table(spark, sf, "benchmark").select(words.alias("word")).select(F.lower("word").alias("pattern")).distinct()
     patterns = patterns.select("pattern", F.struct(-F.length("pattern"), "pattern").alias("priority"), F.col("pattern").alias("kind"))

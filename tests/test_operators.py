@@ -151,6 +151,18 @@ def test_classify_by_patterns(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_words_are_searched_in_different_words(spark):
+    """Whole texts are searched only for patterns of several runs, so the work does not grow with texts times patterns."""
+    texts = [(k, f"Pre{k % 7}fixed words-{k % 5} und Größe\n{'中文' * (k % 3)}") for k in range(60)] + [(3, "other text, same key: xword"), (None, "words")]
+    table = spark.createDataFrame(texts, "id long, text string")
+    words = [("fixed", 2, "a"), ("6fix", 1, "b"), ("größe", 9, "c"), ("xword", 0, "d"), ("nowhere", 0, "e"), ("文中", 1, "f")]
+    for some, whole in ((words, False), ([*words, ("s-3 und", 0, "g"), ("-", 3, "h"), ("e\n", 1, "i")], True)):
+        got = joins.classify_by_patterns(table, F.col("text"), spark.createDataFrame(some, "pattern string, priority int, kind string"), "id")
+        want = {(k, plain_kind("\0".join(t for i, t in texts if i == k) if k is not None else None, some)) for k, _ in texts}
+        assert {tuple(r) for r in got.select("id", "kind").collect()} == want
+        assert whole == ("Contains(_text" in got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_same_result_for_any_partitioning(spark):
     rows = spark.range(1000).withColumn("k", F.col("id") % 7)
     one, many = rows.coalesce(1), rows.repartition(8)
