@@ -13,7 +13,7 @@ from millrace.operators.routing import with_export_flag
 from millrace.operators.sets import union
 from millrace.plans.intake import catalog as build_catalog
 from millrace.plans.intake import quarantine_names, steps_in_order
-from millrace.session import new_shared_dir
+from millrace.session import cut_lineage, new_shared_dir
 from millrace.sources.exports import read_pipeline_exports
 from queries.registry import query, table
 
@@ -50,8 +50,9 @@ def _filled(template):
 
 
 def _parts(spark, sf):
-    """Rows of `part`, dealt out before they grow: a document has some forty times the bytes of its row."""
-    return table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Rows of `part`, dealt out before they grow: a document has some forty times the bytes of its row. They are written,
+    since Spark takes a filter on the documents, and with it their rendering, to the few tasks below a mere repartition."""
+    return cut_lineage(table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "parts")
 
 
 def export_files(spark, sf):

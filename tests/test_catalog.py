@@ -214,3 +214,18 @@ def test_levels_are_planned_alike_for_every_depth(spark):
         assert {r.step_id: r.depth for r in levels.collect() if r.pipeline == "g"} == {f"n{i}": i for i in range(n + 1)}
         scans.append(levels._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
     assert scans[0] == scans[1] <= 4
+
+
+def test_documents_are_tested_where_they_are_dealt_to(spark, tmp_path):
+    """A filter on rendered documents does not go below the step that deals out the rows of a small file."""
+    from queries.catalog import key_profile
+
+    rows = [(k, f"name {k}", f"Brand#{k}", "TIN", k % 50) for k in range(200)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = key_profile(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "Repartition" not in plan
+    assert {r.key: r.n_files for r in got.collect()} == dict.fromkeys(
+        ["class_fqid", "instance_id", "instance_version", "link_map", "link_serial", "property_map", "render_map", "snap_map", "info", "job_stats", "snaps"], 100
+    )
